@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,10 +10,19 @@ from pyspark.sql import functions as F
 
 from raritas.catalog import sql
 from raritas.catalog.tables import DOC3, NUM2, NUM3, TEXT2, TEXT3, TEXT4, TEXT_LONG, TEXT_SHORT, View
+from raritas.functions.runtime import cut_lineage, ensure_checkpoint_dir
 from raritas.operators import attributes, graph, ngram, rowrank
-from raritas.operators.flags import collate_long, long_flags
+from raritas.operators.autoencoder import product_features
+from raritas.operators.evaluate import evaluate, stratified_folds
+from raritas.operators.flags import collate_long, long_flags, members
 from raritas.operators.loda import LodaModel, fit_loda
+from raritas.operators.random_cuts import fit_random_cuts, random_cuts
 from raritas.operators.sampling import train_sample
+from raritas.operators.tune import NetGrid, best, search_autoencoder, search_iforest
+from raritas.plans.detect import detect
+from raritas.plans.rank import rank_rows
+from raritas.plans.settings import LAYERS, Settings
+from raritas.sources.tables import numeric_projection, read_table, string_projection, with_row_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -295,3 +305,131 @@ register("pagerank_10_rounds", _pagerank(NUM3, FIXED_ROUNDS), sql.pagerank_fixed
 register("pagerank_converged", _pagerank(NUM3, None), sql.pagerank_converged(NUM3, MOST_ROUNDS))
 register("pagerank_top", _pagerank(NUM3, None, 50), sql.pagerank_top(NUM3, MOST_ROUNDS, 50))
 register("pagerank_row_score", _row_score(NUM3), sql.pagerank_row_score(NUM3))
+
+
+# ---------------------------------------------------------------- sources and projections
+
+
+def _numeric(table: str, key: str) -> Query:
+    return lambda spark, folder: numeric_projection(spark.read.parquet(f"{folder}/{table}.parquet"), key)
+
+
+def _strings(table: str, key: str) -> Query:
+    return lambda spark, folder: string_projection(spark.read.parquet(f"{folder}/{table}.parquet"), key)
+
+
+def _csv_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Write the customers as CSV to the shared folder, then read them back with inferred types."""
+    path = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex}.csv"
+    spark.read.parquet(f"{folder}/customer.parquet").write.option("header", True).csv(path)
+    return read_table(spark, path)
+
+
+def _row_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items have no key: number them, and show that the numbers run from 0 to N - 1."""
+    numbered = with_row_id(spark.read.parquet(f"{folder}/lineitem.parquet").select("l_quantity", "l_extendedprice"))
+    return numbered.agg(
+        F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count(F.lit(1)).alias("rows"), F.sum("row_id").alias("total")
+    )
+
+
+register(
+    "numeric_projection",
+    _numeric("customer", "c_custkey"),
+    "SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS c_nationkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer",
+)
+register("string_projection", _strings("customer", "c_custkey"), "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+register("csv_scan", _csv_scan, "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+register(
+    "row_numbers",
+    _row_numbers,
+    'SELECT 0::BIGINT AS first, (count(*) - 1)::BIGINT AS last, count(*) AS "rows", '
+    "(count(*) * (count(*) - 1) // 2)::BIGINT AS total FROM lineitem",
+)
+
+
+# ---------------------------------------------------------------- random cuts and product features
+
+ITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+ITEM_KEYS = ["l_orderkey", "l_linenumber"]
+
+
+def _random_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/lineitem.parquet").select(*ITEM_KEYS, *ITEM)
+    model = fit_random_cuts(items, ITEM)
+    return model.scores(items).select(*ITEM_KEYS, rounded("score", 6), "is_outlier")
+
+
+def _products(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/lineitem.parquet")
+    pairs = product_features(items, ITEM_KEYS + ITEM, ITEM, 2)
+    names = [c for c in pairs.columns if c.startswith("x_")]
+    triplets = product_features(pairs, ITEM_KEYS + names, ITEM, 3)
+    return triplets.select(*ITEM_KEYS, *[F.round(c, 6).alias(c) for c in triplets.columns if c.startswith("x_")])
+
+
+register("loda_random_cuts", _random_cuts, sql.random_cuts("lineitem", ITEM_KEYS, ITEM, random_cuts(len(ITEM))))
+register("product_features", _products, sql.product_features("lineitem", ITEM_KEYS, ITEM))
+
+
+# ---------------------------------------------------------------- labels
+
+
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """The labelled documents with ``truth`` 1 for those of low quality."""
+    marks = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("truth"))
+    return DOC3.read(spark, folder).join(marks, "doc_id")
+
+
+def _evaluate(spark: SparkSession, folder: str) -> DataFrame:
+    flagged = flagged_loda(spark, folder, DOC3)
+    judged = flagged.select("doc_id", (F.size(members("loda")) > 0).cast("int").alias("prediction"))
+    metrics = evaluate(judged.join(labelled(spark, folder).select("doc_id", "truth"), "doc_id"), "truth", "prediction")
+    return metrics.select("tp", "tn", "fp", "fn", rounded("accuracy"), rounded("precision"), rounded("recall"))
+
+
+def _folds(spark: SparkSession, folder: str) -> DataFrame:
+    return stratified_folds(labelled(spark, folder).select("doc_id", "truth"), "doc_id", "truth", 10, 3)
+
+
+register("evaluate_flags", _evaluate, sql.evaluate_flags(DOC3))
+register("stratified_folds", _folds, sql.stratified_folds(10, 3))
+
+
+# ---------------------------------------------------------------- trained detectors
+
+EVENT_SETTINGS = Settings(epochs=5, batch_size=128, activation="relu", layers=LAYERS["short"], estimators=100)
+
+
+def _detected(method: str, compat: bool = False) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        flagged = detect(NUM3.read(spark, folder), NUM3.key, method, SPLIT, settings=EVENT_SETTINGS, compat=compat)
+        return as_text(flagged, NUM3.key, method)
+
+    return query
+
+
+def _ranked(method: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        flagged = cut_lineage(detect(NUM3.read(spark, folder), NUM3.key, method, SPLIT, settings=EVENT_SETTINGS))
+        return rank_rows(flagged, NUM3.key, method, 0, TOP)[0]
+
+    return query
+
+
+def _search_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return best(search_iforest(labelled(spark, folder), "doc_id", list(DOC3.attrs), "truth", splits=5, repeats=2))
+
+
+def _search_net(spark: SparkSession, folder: str) -> DataFrame:
+    grid = NetGrid(layers=[LAYERS["short"], (4, 1, 4)], epochs=[5], activations=["relu", "tanh"], batches=[128])
+    return best(search_autoencoder(labelled(spark, folder), "doc_id", list(DOC3.attrs), "truth", grid, splits=3, repeats=1))
+
+
+register("iforest_flags", _detected("IF"))
+register("iforest_flags_compat", _detected("IF", True))
+register("iforest_rank_rows", _ranked("IF"))
+register("autoencoder_flags", _detected("AE"))
+register("autoencoder_rank_rows", _ranked("AE"))
+register("grid_search_iforest", _search_forest)
+register("grid_search_autoencoder", _search_net)

@@ -315,3 +315,51 @@ def attribute_scores(view: View) -> str:
 def attribute_summary(view: View, function: str) -> str:
     sql = "avg" if function == "mean" else "median"
     return f"""WITH {attribute_scores_ctes(view)} SELECT '{function}' AS function, round({sql}(score), 9) AS table_score FROM scores"""
+
+
+# ---------------------------------------------------------------- random cuts, products, labels
+
+
+def random_cuts(table: str, keys: list[str], attrs: list[str], weights, contamination: float = 0.1, bins: int = 10) -> str:
+    """One projection column per cut; the weights are written with exponents, which makes them doubles."""
+    cuts = range(len(weights))
+    sums = [" + ".join(f"{a} * ({w:.17e})" for a, w in zip(attrs, line) if w) for line in weights]
+    projected = ", ".join(f"{s} AS p{c}" for c, s in enumerate(sums))
+    ranges = ", ".join(f"min(p{c}) AS lo{c}, max(p{c}) AS hi{c}" for c in cuts)
+    places = ", ".join(f"least({bins - 1}, greatest(0, floor((p{c} - lo{c}) / ((hi{c} - lo{c}) / {bins}))))::INTEGER" for c in cuts)
+    names = ", ".join(keys)
+    return f"""WITH base AS (SELECT {names}, row_number() OVER () AS rid, {projected} FROM {table}),
+        edges AS (SELECT {ranges}, count(*) AS n FROM base),
+        long AS (SELECT rid, n, unnest([{places}]) AS b, unnest(range({len(weights)})) AS cut FROM base, edges),
+        hist AS (SELECT cut, b, count(*) AS c FROM long GROUP BY cut, b),
+        scored AS (SELECT l.rid AS rid, round(avg(-ln(h.c / l.n)), 9) AS score
+            FROM long l JOIN hist h ON h.cut = l.cut AND h.b = l.b GROUP BY l.rid),
+        thr AS (SELECT quantile_cont(score, {1 - contamination}) AS t FROM scored)
+        SELECT {names}, round(score, 6) AS score, score > t AS is_outlier FROM base JOIN scored ON base.rid = scored.rid, thr"""
+
+
+def product_features(table: str, keys: list[str], attrs: list[str]) -> str:
+    columns = [
+        f"round({' * '.join(attrs[a] for a in c)}, 6) AS x_{'_'.join(map(str, c))}"
+        for arity in (2, 3)
+        for c in combinations(range(len(attrs)), arity)
+    ]
+    return f"SELECT {', '.join(keys)}, {', '.join(columns)} FROM {table}"
+
+
+def evaluate_flags(view: View) -> str:
+    return f"""WITH {loda_ctes(view)},
+        judged AS (SELECT id, CAST(bool_or(is_outlier) AS INTEGER) AS prediction FROM flag GROUP BY id),
+        c AS (SELECT count(*) FILTER (prediction = 1 AND quality = 0) AS tp, count(*) FILTER (prediction = 0 AND quality = 1) AS tn,
+            count(*) FILTER (prediction = 1 AND quality = 1) AS fp, count(*) FILTER (prediction = 0 AND quality = 0) AS fn
+            FROM judged JOIN labels ON labels.doc_id = judged.id)
+        SELECT tp, tn, fp, fn, round((tp + tn) / (tp + tn + fp + fn), 9) AS accuracy,
+            CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 9) END AS precision,
+            CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 9) END AS recall FROM c"""
+
+
+def stratified_folds(splits: int, repeats: int, seed: int = 0) -> str:
+    return f"""WITH marked AS (SELECT d.doc_id AS doc_id, 1 - l.quality AS truth FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+        repeated AS (SELECT doc_id, truth, r::INTEGER AS repeat FROM marked CROSS JOIN (SELECT unnest(range({repeats})) AS r))
+        SELECT doc_id, truth, repeat, ((row_number() OVER (PARTITION BY repeat, truth
+            ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{seed}:' || CAST(repeat AS VARCHAR))) - 1) % {splits})::INTEGER AS fold FROM repeated"""

@@ -11,7 +11,8 @@ from raritas.operators.flags import flagged_cells, flagged_links
 
 # A node with more out-going arcs than this is split, so that no task holds all arcs of a hot value.
 ARCS_PER_PIECE = 100_000
-_CUT_EVERY = 8
+# The node vector is written to the checkpoint folder every few rounds and cached in between.
+_CUT_EVERY = 4
 
 
 class NotConverged(RuntimeError):
@@ -101,6 +102,8 @@ def pagerank(
 
     hanging = F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("x"))), F.lit(0.0)).alias("hanging")
     loose = state.agg(hanging).first()["hanging"]
+    # Both tables broadcast below have at most one row per node, or per piece of a node.
+    few = F.broadcast if count <= runtime.BROADCAST_ROWS else lambda table: table
     held = []
     try:
         for number in range(1, (rounds if rounds is not None else max_iter) + 1):
@@ -110,19 +113,21 @@ def pagerank(
                 F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
             )
             received = (
-                laid.join(sent, ["src", "piece"])
+                laid.join(few(sent), ["src", "piece"])
                 .groupBy(F.col("dst").alias("node"))
                 .agg(F.sum(F.col("share") * F.col("w")).alias("got"))
             )
             fresh = F.coalesce("got", F.lit(0.0)) + F.lit(alpha * loose) * F.col("hang") + F.lit(1.0 - alpha) * F.col("p")
-            moved = state.join(received, "node", "left").select(
+            moved = state.join(few(received), "node", "left").select(
                 "node", "out", "pieces", fresh.alias("x"), "p", "hang", F.abs(fresh - F.col("x")).alias("change")
             )
-            if number % _CUT_EVERY == 0:
-                state = cut_lineage(moved)
-            else:
+            if number % _CUT_EVERY:
                 state = moved.persist()
                 held.append(state)
+            else:
+                state = cut_lineage(moved)
+                while held:
+                    held.pop().unpersist()
             seen = state.agg(F.sum("change").alias("change"), hanging).first()
             loose = seen["hanging"]
             if rounds is None and seen["change"] < count * tol:
@@ -132,8 +137,7 @@ def pagerank(
                 raise NotConverged(f"no convergence within {max_iter} rounds")
         return cut_lineage(state.select("node", F.col("x").alias("rank")))
     finally:
-        laid.unpersist()
-        for table in held:
+        for table in [laid, *held]:
             table.unpersist()
 
 

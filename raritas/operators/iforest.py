@@ -44,26 +44,36 @@ def depth_limit(psi: int) -> int:
 
 
 def subsamples(sample: DataFrame, key: str, attrs: list[str], trees: int, psi: int, seed: int) -> tuple[DataFrame, int]:
-    """(tree, _order, attributes): ``psi`` distinct rows per tree, about ``trees * psi`` in all.
+    """(forest, tree, _order, attributes): ``psi`` distinct rows per tree, from a pool of at most ``trees * psi`` rows."""
+    pool, _, size = sample_rows(sample.select(key, *attrs), key, lambda n: min(n, trees * psi), seed + 1)
+    return deal_out(pool.withColumn("forest", F.lit(0)), {0: size}, key, attrs, trees, psi, seed)
+
 
-    A pool of at most ``trees * psi`` rows is taken by hash and dealt out in blocks of ``psi``. A pool too small
-    for all trees is shuffled anew, by another hash, for each further deal.
+def deal_out(
+    pool: DataFrame, sizes: dict[int, int], key: str, attrs: list[str], trees: int, psi: int, seed: int
+) -> tuple[DataFrame, int]:
+    """Deal the pool of each forest out to its trees in blocks of ``psi`` rows, in hash order.
+
+    A pool too small for all trees is shuffled anew, by another hash, for each further deal.
     """
-    pool, _, size = sample_rows(sample.select(key, *attrs), key, lambda n: min(n, trees * psi), seed + 1)
-    if size == 0:
+    if not sizes or min(sizes.values()) < 1:
         raise ValueError("the training sample is empty")
-    psi = min(psi, size)
-    blocks = size // psi
-    deals = math.ceil(trees / blocks)
-    dealt = pool.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    order = F.md5(F.concat(key_hash(key, seed + 2), F.lit(":"), F.col("deal").cast("string")))
-    dealt = dealt.withColumn("_order", order)
-    # A window holds one deal: no more rows than trees * psi.
-    place = F.row_number().over(Window.partitionBy("deal").orderBy("_order")) - 1
+    psi = min(psi, min(sizes.values()))
+
+    def per_forest(value) -> Column:
+        return F.get(F.array(*[F.lit(value(sizes.get(f, psi))) for f in range(max(sizes) + 1)]), F.col("forest"))
+
+    blocks = per_forest(lambda size: size // psi)
+    deals = per_forest(lambda size: math.ceil(trees / (size // psi)))
+    dealt = pool.withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+    salt = F.concat_ws(":", F.lit(""), F.col("forest"), F.col("deal"))
+    dealt = dealt.withColumn("_order", F.md5(F.concat(key_hash(key, seed + 2), salt)))
+    # A window holds one deal of one pool, whose size is set by the number of trees.
+    place = F.row_number().over(Window.partitionBy("forest", "deal").orderBy("_order")) - 1
     dealt = dealt.withColumn("_block", F.floor(place / psi).cast("int"))
     tree = F.col("deal") * blocks + F.col("_block")
     dealt = dealt.where(F.col("_block") < blocks).withColumn("tree", tree.cast("int")).where(F.col("tree") < trees)
-    return dealt.select("tree", "_order", *[F.col(a).cast("double").alias(a) for a in attrs]), psi
+    return dealt.select("forest", "tree", "_order", *[F.col(a).cast("double").alias(a) for a in attrs]), psi
 
 
 def grow_tree(points: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,13 +247,11 @@ def fit_iforest(
 def grow_forest(
     drawn: DataFrame, attrs: list[str], sets: list[FeatureSet], limit: int, seed: int
 ) -> dict[tuple[int, int], PackedTrees]:
-    """Grow trees from (tree, _order, attributes[, forest]) rows; result by (forest, set_id).
+    """Grow trees from (forest, tree, _order, attributes) rows; result by (forest, set_id).
 
     One group is one sub-sample and up to 64 sets. What comes back to the driver are packed trees, whose size is
     set by the settings.
     """
-    if "forest" not in drawn.columns:
-        drawn = drawn.withColumn("forest", F.lit(0))
     ship_package(drawn.sparkSession)
     share = F.explode(F.sequence(F.lit(0), F.lit((len(sets) - 1) // _SETS_PER_TASK)))
 
