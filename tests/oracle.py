@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from pathlib import Path
 
 import duckdb
@@ -12,6 +13,9 @@ TABLES = (
 ).split()
 
 
+TIMES: dict[str, float] = {}
+
+
 def run_sql(statement: str, folder: str) -> tuple[list[str], list[tuple]]:
     with duckdb.connect() as connection:
         for table in TABLES:
@@ -33,8 +37,10 @@ def in_order(names: list[str], rows) -> list[tuple]:
 
 def difference(spark, query, statement: str, folder: str) -> str | None:
     """None when both sides give the same columns and the same bag of rows."""
+    started = time.time()
     table = query(spark, folder)
     found = in_order(table.columns, table.collect())
+    TIMES[statement] = time.time() - started
     names, rows = run_sql(statement, folder)
     wanted = in_order(names, rows)
     if sorted(table.columns) != sorted(names):
