@@ -22,7 +22,7 @@ from raritas.operators.tune import NetGrid, best, search_autoencoder, search_ifo
 from raritas.plans.detect import detect
 from raritas.plans.rank import rank_rows
 from raritas.plans.settings import LAYERS, Settings
-from raritas.sources.tables import numeric_projection, read_table, string_projection, with_row_id
+from raritas.sources.tables import numeric_projection, read_table, spread, string_projection, with_row_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,14 +66,14 @@ def _outlier_tokens(view: View, n: int) -> Query:
 
 def _detect(view: View, n: int, compat: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return ngram.ngram_detect(view.read(spark, folder), view.key, list(view.attrs), n, BAND, compat)
+        return ngram.ngram_detect(view.read_spread(spark, folder), view.key, list(view.attrs), n, BAND, compat)
 
     return query
 
 
 def _rank(view: View, n: int) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        scores = ngram.ngram_detect(view.read(spark, folder), view.key, list(view.attrs), n, BAND)
+        scores = ngram.ngram_detect(view.read_spread(spark, folder), view.key, list(view.attrs), n, BAND)
         return rowrank.cutoff(ngram.with_final_score(scores).select(view.key, "final_score"), "final_score", TOP)
 
     return query
@@ -81,7 +81,7 @@ def _rank(view: View, n: int) -> Query:
 
 def _attr_score(view: View, n: int) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return ngram.attribute_hits(view.read(spark, folder), list(view.attrs), n, TOP)
+        return ngram.attribute_hits(view.read_spread(spark, folder), list(view.attrs), n, TOP)
 
     return query
 
@@ -95,7 +95,7 @@ def _attr_max(view: View, n: int) -> Query:
 
 def _attr_normalized(view: View, n: int) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        scores = ngram.attribute_normalized(view.read(spark, folder), list(view.attrs), n, TOP)
+        scores = ngram.attribute_normalized(view.read_spread(spark, folder), list(view.attrs), n, TOP)
         return scores.select("attr", "name", "score", "maximum", rounded("normalized_score"))
 
     return query
@@ -103,7 +103,7 @@ def _attr_normalized(view: View, n: int) -> Query:
 
 def _attr_summary(view: View, n: int, function: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        scores = ngram.attribute_normalized(view.read(spark, folder), list(view.attrs), n, TOP)
+        scores = ngram.attribute_normalized(view.read_spread(spark, folder), list(view.attrs), n, TOP)
         summary = attributes.table_score(scores, function, "normalized_score")
         return summary.select("function", rounded("table_score"))
 
@@ -355,7 +355,7 @@ ITEM_KEYS = ["l_orderkey", "l_linenumber"]
 
 
 def _random_cuts(spark: SparkSession, folder: str) -> DataFrame:
-    items = spark.read.parquet(f"{folder}/lineitem.parquet").select(*ITEM_KEYS, *ITEM)
+    items = spread(spark.read.parquet(f"{folder}/lineitem.parquet").select(*ITEM_KEYS, *ITEM), "l_orderkey")
     model = fit_random_cuts(items, ITEM)
     return model.scores(items).select(*ITEM_KEYS, rounded("score", 6), "is_outlier")
 
@@ -403,7 +403,7 @@ EVENT_SETTINGS = Settings(epochs=5, batch_size=128, activation="relu", layers=LA
 
 def _detected(method: str, compat: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        flagged = detect(NUM3.read(spark, folder), NUM3.key, method, SPLIT, settings=EVENT_SETTINGS, compat=compat)
+        flagged = detect(NUM3.read_spread(spark, folder), NUM3.key, method, SPLIT, settings=EVENT_SETTINGS, compat=compat)
         return as_text(flagged, NUM3.key, method)
 
     return query
@@ -411,7 +411,7 @@ def _detected(method: str, compat: bool = False) -> Query:
 
 def _ranked(method: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        flagged = cut_lineage(detect(NUM3.read(spark, folder), NUM3.key, method, SPLIT, settings=EVENT_SETTINGS))
+        flagged = cut_lineage(detect(NUM3.read_spread(spark, folder), NUM3.key, method, SPLIT, settings=EVENT_SETTINGS))
         return rank_rows(flagged, NUM3.key, method, 0, TOP)[0]
 
     return query

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raritas.sources.tables import spread
+
 
 @dataclass(frozen=True)
 class View:
@@ -22,6 +24,10 @@ class View:
         table = session.read.parquet(f"{folder}/{self.table}.parquet")
         return table.select(self.key, *[F.expr(e).alias(a) for e, a in zip(self.spark, self.attrs)])
 
+    def read_spread(self, session: SparkSession, folder: str) -> DataFrame:
+        """For queries with much work per row."""
+        return spread(self.read(session, folder), self.key)
+
     @property
     def base(self) -> str:
         columns = ", ".join(f"{e} AS a{i}" for i, e in enumerate(self.sql))

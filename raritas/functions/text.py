@@ -1,24 +1,39 @@
-"""Column expressions over character n-grams."""
+"""Expressions and steps over character n-grams. All of them are linear in the length of the text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TO_END = 2**30  # more than any array holds
+_TO_END = 2**30  # more than any array or text holds
 
 
-def gram_array(text: Column, n: int) -> Column:
-    """All character n-grams of ``text`` in order, repeats kept; empty when the text is shorter than ``n``.
+def explode_grams(df: DataFrame, text: str, n: int) -> DataFrame:
+    """One row per character n-gram of the column ``text``, which gives way to a column ``token``.
 
-    The characters are split once and zipped with themselves shifted by 1..n-1 places, which is linear in the
-    text. ``substring`` per position would rescan the text from its start each time.
+    The characters are split once and zipped with themselves shifted by 1..n-1 places; ``substring`` per position
+    would rescan the text from its start each time. The outer form of explode keeps the optimizer from copying the
+    whole expression into a ``size() > 0`` filter below.
     """
+    kept = [c for c in df.columns if c != text]
     chars = F.split(text, "")
-    grams = chars
-    for shift in range(2, n + 1):
-        grams = F.zip_with(grams, F.slice(chars, shift, _TO_END), lambda left, right: F.concat(left, right))
-    return F.slice(grams, 1, F.greatest(F.length(text) - F.lit(n - 1), F.lit(0)))
+    shifted = [F.slice(chars, k + 1, _TO_END).alias(f"c{k}") for k in range(n)]
+    zipped = df.select(*kept, F.explode_outer(F.arrays_zip(*shifted)).alias("_z"))
+    # Past the end of the text the last character is null; an empty text gives a single empty character.
+    whole = F.col(f"_z.c{n - 1}").isNotNull() & (F.col(f"_z.c{n - 1}") != "")
+    return zipped.where(whole).select(*kept, F.concat(*[f"_z.c{k}" for k in range(n)]).alias("token"))
+
+
+def gram_array(text: Column, n: int) -> Column:
+    """All character n-grams of ``text``, repeats kept, in no particular order; empty when the text is too short.
+
+    They are the non-overlapping pieces of length n counted from each of the first n places.
+    """
+    piece = F.lit(f"(?s).{{{n}}}")
+    starts = [text] + [F.substring(text, k, _TO_END) for k in range(2, n + 1)]
+    return F.concat(*[F.regexp_extract_all(start, piece, F.lit(0)) for start in starts])
 
 
 def tail(text: Column, size: int) -> Column:
@@ -31,18 +46,13 @@ def head(text: Column, size: int) -> Column:
 
 def tokens_with_attributes(texts: list[Column], n: int) -> Column:
     """Map of each distinct n-gram in a row to the bit mask of the attributes that contain it."""
-    merged = None
-    for attr, text in enumerate(texts):
+    none = F.lit(0).cast("bigint")
+
+    def marked(attr: int, text: Column) -> Column:
         grams = F.array_distinct(gram_array(text, n))
-        marked = F.map_from_arrays(grams, F.array_repeat(F.lit(1 << attr).cast("bigint"), F.size(grams)))
-        if merged is None:
-            merged = marked
-        else:
-            merged = F.map_zip_with(
-                merged,
-                marked,
-                lambda _, x, y: F.coalesce(x, F.lit(0).cast("bigint")).bitwiseOR(
-                    F.coalesce(y, F.lit(0).cast("bigint"))
-                ),
-            )
-    return merged
+        return F.map_from_arrays(grams, F.array_repeat(F.lit(1 << attr).cast("bigint"), F.size(grams)))
+
+    def merge(left: Column, right: Column) -> Column:
+        return F.map_zip_with(left, right, lambda _, x, y: F.coalesce(x, none).bitwiseOR(F.coalesce(y, none)))
+
+    return reduce(merge, [marked(attr, text) for attr, text in enumerate(texts)])

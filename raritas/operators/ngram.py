@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raritas.functions.runtime import cut_lineage
-from raritas.functions.text import gram_array, head, tail, tokens_with_attributes
+from raritas.functions.text import explode_grams, gram_array, head, tail, tokens_with_attributes
 from raritas.operators.featuresets import FeatureSet, attr_mask, feature_sets
 from raritas.plans.joins import HOT_PARTS, join_by_counted_key
 
@@ -31,8 +31,7 @@ def ngrams(df: DataFrame, key: str, attrs: list[str], n: int = 3, n_att: int = 1
     texts = F.array(
         *[F.struct(F.lit(s.set_id).alias("set_id"), F.concat(*[F.col(attrs[a]) for a in s.attrs]).alias("text")) for s in sets]
     )
-    pieces = df.select(key, F.inline(texts))
-    return pieces.select(key, "set_id", _explode_grams(F.col("text"), n)).where("token is not null")
+    return explode_grams(df.select(key, F.inline(texts)), "text", n)
 
 
 def token_frequency(grams: DataFrame) -> DataFrame:
@@ -40,11 +39,6 @@ def token_frequency(grams: DataFrame) -> DataFrame:
     return grams.groupBy("set_id", "token").agg(F.count(F.lit(1)).alias("frequency"))
 
 
-def _explode_grams(text: Column, n: int) -> Column:
-    # The outer form keeps the optimizer from copying the whole n-gram expression into a size() > 0 filter.
-    return F.explode_outer(gram_array(text, n)).alias("token")
-
-
 def _pair_seam(attrs: list[str], i: int, j: int, n: int) -> Column:
     return F.concat(tail(F.col(attrs[i]), n - 1), head(F.col(attrs[j]), n - 1))
 
@@ -83,9 +77,7 @@ def set_frequencies(df: DataFrame, attrs: list[str], n: int, sets: list[FeatureS
 
     texts = F.array(*[F.struct(F.lit(ids[name]).alias("piece"), text.alias("text")) for name, text in pieces.items()])
     counted = (
-        df.select(F.inline(texts))
-        .select("piece", _explode_grams(F.col("text"), n))
-        .where("token is not null")
+        explode_grams(df.select(F.inline(texts)), "text", n)
         .groupBy("piece", "token")
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )

@@ -26,6 +26,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     raise ValueError("only .csv, .xlsx and .parquet inputs can be read")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan over more partitions when it has fewer than twice the number of cores.
+
+    For work that is heavy per row on a table in few files. Such a table holds little per core, so moving it once is
+    cheap; a table in many partitions is left as it is. ``df`` should be a scan with narrow steps.
+    """
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows 0, 1, 2, ... in input order.
 
