@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from raritas.catalog import sql
 from raritas.catalog.tables import DOC3, NUM2, NUM3, TEXT2, TEXT3, TEXT4, TEXT_LONG, TEXT_SHORT, View
+from raritas.catalog.workbook_bytes import as_workbooks
 from raritas.functions.runtime import cut_lineage, ensure_checkpoint_dir
 from raritas.operators import attributes, graph, ngram, rowrank
 from raritas.operators.autoencoder import product_features
@@ -23,6 +24,7 @@ from raritas.plans.detect import detect
 from raritas.plans.rank import rank_rows
 from raritas.plans.settings import LAYERS, Settings
 from raritas.sources.tables import numeric_projection, read_table, spread, string_projection, with_row_id
+from raritas.sources.workbooks import parse_workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -325,6 +327,12 @@ def _csv_scan(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, path)
 
 
+def _workbook_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Pack the customers into XLSX workbooks and read the rows back out of them."""
+    customers = spark.read.parquet(f"{folder}/customer.parquet")
+    return parse_workbooks(as_workbooks(customers), customers.schema)
+
+
 def _row_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """Line items have no key: number them, and show that the numbers run from 0 to N - 1."""
     numbered = with_row_id(spark.read.parquet(f"{folder}/lineitem.parquet").select("l_quantity", "l_extendedprice"))
@@ -340,6 +348,7 @@ register(
 )
 register("string_projection", _strings("customer", "c_custkey"), "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 register("csv_scan", _csv_scan, "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+register("workbook_scan", _workbook_scan, "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 register(
     "row_numbers",
     _row_numbers,

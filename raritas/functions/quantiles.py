@@ -28,7 +28,7 @@ def exact_percentiles(df: DataFrame, group: str, value: str, share: float) -> di
         sketches = [
             F.percentile_approx(
                 F.when(F.col(group) == g, F.col(value)),
-                [max(0.0, position[g] - _MARGIN), min(1.0, position[g] + _MARGIN)],
+                _around(position[g], left[g]),
                 _ACCURACY,
             ).alias(f"q{g}")
             for g in wide
@@ -53,12 +53,17 @@ def exact_percentiles(df: DataFrame, group: str, value: str, share: float) -> di
     if not sizes:
         return {}
     counted = df.where(_within(group, value, low, high)).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    closing = [
-        F.percentile(F.when(F.col(group) == g, F.col(value)), F.lit(min(1.0, max(0.0, p))), F.col("n")).alias(f"q{g}")
-        for g, p in position.items()
-    ]
-    row = counted.agg(*closing).first()
-    return {g: row[f"q{g}"] for g in sizes}
+    # One closing aggregate per group; each knows all positions asked for and is read at its own.
+    asked = sorted({min(1.0, max(0.0, p)) for p in position.values()})
+    places = F.array(*map(F.lit, asked))
+    closed = counted.groupBy(group).agg(F.percentile(value, places, F.col("n")).alias("q")).collect()
+    return {r[group]: r["q"][asked.index(min(1.0, max(0.0, position[r[group]])))] for r in closed}
+
+
+def _around(position: float, rows: int) -> list[float]:
+    """Shares that enclose the two rows next to ``position``, whatever the sketch's error."""
+    margin = max(_MARGIN, 3 / rows)
+    return [max(0.0, position - margin), min(1.0, position + margin)]
 
 
 def _bound(group: str, bounds: dict[int, float]) -> Column:

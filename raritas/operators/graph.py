@@ -75,7 +75,9 @@ def pagerank(
     spark = nodes.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     arcs = cut_lineage(_arcs(edges, directed, weight))
-    out = arcs.groupBy("src").agg(F.sum("w").alias("out"), F.ceil(F.count(F.lit(1)) / ARCS_PER_PIECE).cast("int").alias("pieces"))
+    # The second bound keeps the table of split nodes, which is broadcast, within BROADCAST_ROWS.
+    per_piece = max(ARCS_PER_PIECE, arcs.count() // runtime.BROADCAST_ROWS)
+    out = arcs.groupBy("src").agg(F.sum("w").alias("out"), F.ceil(F.count(F.lit(1)) / per_piece).cast("int").alias("pieces"))
     ends = arcs.select(F.col("src").alias("node")).union(arcs.select(F.col("dst").alias("node")))
     known = nodes.select("node").union(ends).distinct()
     known = known.join(out.withColumnRenamed("src", "node"), "node", "left")
@@ -95,8 +97,8 @@ def pagerank(
             start = start.withColumn(name, uniform)
     state = cut_lineage(start.withColumn("change", F.lit(0.0)))
 
-    hot = out.where("pieces > 1").select("src", "pieces")
-    split = arcs.join(hot, "src", "left")
+    hot = known.where("pieces > 1").select(F.col("node").alias("src"), "pieces")
+    split = arcs.join(F.broadcast(hot), "src", "left")
     piece = F.pmod(F.xxhash64("dst"), F.coalesce("pieces", F.lit(1))).cast("int")
     laid = split.select("src", piece.alias("piece"), "dst", "w").repartition(partitions, "src", "piece").persist()
 
