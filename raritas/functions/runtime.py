@@ -54,3 +54,8 @@ def ship_package(spark: SparkSession) -> None:
             target.write(source, source.relative_to(root.parent))
     sc.addPyFile(str(archive))
     _shipped.add(sc.applicationId)
+
+
+def task_count(spark: SparkSession) -> int:
+    """Partitions for few but costly rows, which adaptive execution would otherwise merge into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raritas.functions.quantiles import exact_percentiles
-from raritas.functions.runtime import ship_package
+from raritas.functions.runtime import ship_package, task_count
 from raritas.operators.featuresets import FeatureSet, feature_sets
 from raritas.operators.flags import collate
 from raritas.operators.iforest import as_list_array
@@ -146,8 +146,7 @@ def train_networks(
     spark = rows.sparkSession
     ship_package(spark)
     weights = {m: initial_weights(s, np.random.default_rng([seed, m])) for m, s in specs.items()}
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(max(partitions, shards), "model", "shard").persist()
+    rows = rows.repartition(max(task_count(spark), shards), "model", "shard").persist()
     rounds = max(math.ceil(s.epochs / local_epochs) for s in specs.values()) if shards > 1 else 1
     try:
         for number in range(rounds):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raritas.functions.quantiles import exact_percentiles
-from raritas.functions.runtime import ship_package
+from raritas.functions.runtime import ship_package, task_count
 from raritas.operators.featuresets import FeatureSet
 from raritas.operators.flags import collate
 from raritas.operators.sampling import key_hash, sample_rows
@@ -267,7 +267,9 @@ def grow_forest(
         return pd.DataFrame(lines, columns=["forest", "tree", "set_id", "feature", "split", "path"])
 
     schema = "forest int, tree int, set_id int, feature binary, split binary, path binary"
-    grown = drawn.withColumn("part", share).groupBy("forest", "tree", "part").applyInPandas(grow, schema)
+    groups = ["forest", "tree", "part"]
+    spread = drawn.withColumn("part", share).repartition(task_count(drawn.sparkSession), *groups)
+    grown = spread.groupBy(*groups).applyInPandas(grow, schema)
     table = grown.toArrow().to_pandas().sort_values(["forest", "set_id", "tree"])
     packed = {}
     for name, lines in table.groupby(["forest", "set_id"]):

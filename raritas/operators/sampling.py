@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DIGITS = 4
+_DIGITS = 3
 _FEW = 10_000
 
 
@@ -25,7 +25,7 @@ def sample_rows(df: DataFrame, key: str, size, seed: int = 0) -> tuple[DataFrame
     """Keep exactly ``size(N)`` rows; returns the sample, N and the number of rows kept.
 
     The sample is a plain filter ``hash <= cut``: nothing is sorted or shuffled, and every run keeps the same
-    rows. The cut is found by counting rows per leading hash digits (65536 counters, combined before the
+    rows. The cut is found by counting rows per leading hash digits (4096 counters, combined before the
     shuffle) and looking closer at the one counter the cut falls into, until few hashes are left there.
     Keys must be unique.
     """

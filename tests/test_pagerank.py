@@ -37,7 +37,7 @@ def frames(spark, edges=EDGES):
 
 
 def vector(spark, values):
-    return spark.createDataFrame(list(zip(NODES, values)), "node double, weight double")
+    return spark.createDataFrame(list(zip(NODES, map(float, values))), "node double, weight double")
 
 
 def ranks(table):
