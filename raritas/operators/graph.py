@@ -119,7 +119,9 @@ def pagerank(
                 .groupBy(F.col("dst").alias("node"))
                 .agg(F.sum(F.col("share") * F.col("w")).alias("got"))
             )
-            fresh = F.coalesce("got", F.lit(0.0)) + F.lit(alpha * loose) * F.col("hang") + F.lit(1.0 - alpha) * F.col("p")
+            # An array is handed to the generated code by reference: it need not be compiled anew for each number.
+            given_back = F.get(F.array(F.lit(alpha * loose)), F.least(F.col("pieces"), F.lit(0)))
+            fresh = F.coalesce("got", F.lit(0.0)) + given_back * F.col("hang") + F.lit(1.0 - alpha) * F.col("p")
             moved = state.join(few(received), "node", "left").select(
                 "node", "out", "pieces", fresh.alias("x"), "p", "hang", F.abs(fresh - F.col("x")).alias("change")
             )
