@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from raritas.functions.quantiles import exact_percentiles
 from raritas.functions.runtime import ship_package, task_count
 from raritas.operators.featuresets import FeatureSet, feature_sets
-from raritas.operators.flags import collate
+from raritas.operators.flags import collate_scores
 from raritas.operators.iforest import as_list_array
 from raritas.operators.sampling import key_hash
 
@@ -238,8 +238,8 @@ class AutoencoderModel:
     def flag(self, df: DataFrame) -> DataFrame:
         """The table with ``single_AE``, ``pairs_AE`` and ``triplets_AE``."""
         scored = df.withColumn("_scores", self.scores_column(df.sparkSession))
-        hits = [(s, F.get(F.col("_scores"), F.lit(i)) > F.lit(self.thresholds[s.set_id])) for i, s in enumerate(self.sets)]
-        return collate(scored, hits, "AE").drop("_scores")
+        cuts = [self.thresholds[s.set_id] for s in self.sets]
+        return collate_scores(scored, "_scores", self.sets, cuts, "AE").drop("_scores")
 
 
 def fit_autoencoder(

@@ -40,11 +40,32 @@ def collate(df: DataFrame, flags: list[tuple[FeatureSet, Column]], method: str)
     return df.select("*", *columns)
 
 
+def collate_scores(df: DataFrame, scores: str, sets: list[FeatureSet], cuts: list[float], method: str) -> DataFrame:
+    """Like :func:`collate`, from an array column with one score per set and the cuts to be exceeded.
+
+    The sets are a literal array walked by one expression, so the plan stays small however many sets there are.
+    """
+    names = flag_columns(method)
+    table = F.array(
+        *[F.struct(F.array(*map(F.lit, s.attrs)).alias("attrs"), F.lit(float(t)).alias("cut")) for s, t in zip(sets, cuts)]
+    )
+    # The scores enter as an argument: a column named inside a lambda may be computed again for every element.
+    hits = F.zip_with(F.col(scores), table, lambda score, s: F.when(score > s["cut"], s["attrs"]))
+    found = df.withColumn("_hits", F.filter(hits, lambda a: a.isNotNull()))
+
+    def of_size(arity: int) -> Column:
+        return F.filter("_hits", lambda a: F.size(a) == arity)
+
+    columns = [F.transform(of_size(1), lambda a: a[0]), of_size(2), of_size(3)]
+    return found.select(*df.columns, *[c.alias(n) for c, n in zip(columns, names)])
+
+
 def long_flags(flagged: DataFrame, key: str, method: str) -> DataFrame:
     """(key, arity, attrs), one row per flag."""
     single, pairs, triplets = flag_columns(method)
     every = F.concat(F.transform(F.col(single), lambda a: F.array(a)), F.col(pairs), F.col(triplets))
-    return flagged.select(key, F.explode(every).alias("attrs")).select(key, F.size("attrs").alias("arity"), "attrs")
+    exploded = flagged.select(key, F.explode_outer(every).alias("attrs")).where("attrs is not null")
+    return exploded.select(key, F.size("attrs").alias("arity"), "attrs")
 
 
 def collate_long(df: DataFrame, flags: DataFrame, key: str, method: str) -> DataFrame:
@@ -93,7 +114,8 @@ def flagged_cells(flagged: DataFrame, key: str, attrs: list[str], method: str, c
             for i, name in enumerate(attrs)
         ]
     )
-    return rows.select(key, F.inline(cells)).where("part > 0")
+    # Outer generators, here and below: for the inner ones the optimizer copies their whole input into a filter.
+    return rows.select(key, F.inline_outer(cells)).where("part > 0")
 
 
 def flagged_links(flagged: DataFrame, attrs: list[str], method: str) -> DataFrame:
@@ -106,4 +128,4 @@ def flagged_links(flagged: DataFrame, attrs: list[str], method: str) -> DataFram
         links.append(F.when(both, F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))))
     if not links:
         return rows.select(F.lit(0.0).alias("src"), F.lit(0.0).alias("dst")).where(F.lit(False))
-    return rows.select(F.explode(F.array(*links)).alias("_l")).where("_l is not null").select("_l.src", "_l.dst")
+    return rows.select(F.explode_outer(F.array(*links)).alias("_l")).where("_l is not null").select("_l.src", "_l.dst")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from raritas.functions.quantiles import exact_percentiles
 from raritas.functions.runtime import ship_package, task_count
 from raritas.operators.featuresets import FeatureSet
-from raritas.operators.flags import collate
+from raritas.operators.flags import collate_scores
 from raritas.operators.sampling import key_hash, sample_rows
 
 PSI = 256
@@ -193,10 +193,11 @@ class ForestModel:
         cells = scored.select(key, F.posexplode("_scores").alias("_i", "score")).withColumn("_s", F.get(info, F.col("_i")))
         return cells.select(key, "_s.set_id", "_s.attrs", "score", (F.col("score") > F.col("_s.t")).alias("is_outlier"))
 
-    def flag(self, df: DataFrame, invert_singles: bool = False) -> DataFrame:
+    def flag(self, df: DataFrame) -> DataFrame:
         """The table with ``single_IF``, ``pairs_IF`` and ``triplets_IF``."""
         scored = df.withColumn("_scores", self.scores_column(df.sparkSession))
-        return collate(scored, self.hits("_scores", invert_singles), "IF").drop("_scores")
+        cuts = [self.thresholds[s.set_id] for s in self.sets]
+        return collate_scores(scored, "_scores", self.sets, cuts, "IF").drop("_scores")
 
     def hits(self, scores: str, invert_singles: bool = False) -> list[tuple[FeatureSet, Column]]:
         hits = []

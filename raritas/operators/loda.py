@@ -15,13 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raritas.operators.featuresets import FeatureSet, feature_sets
-from raritas.operators.flags import collate
+from raritas.operators.flags import collate, collate_scores
 
 BINS = 10
 EMPTY_BIN = 1e-12
 # Scores are discrete and heavily tied: they are compared on a grid of 9 decimals.
 _DECIMALS = 9
 _GRID = 10**_DECIMALS
+# Up to this many sets are written out as single expressions, which compile to fast code; beyond it the plan would
+# grow too large, and the sets become a literal array that one expression walks.
+WRITTEN_OUT = 64
 
 
 def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
@@ -67,17 +70,40 @@ class LodaModel:
                 for s in self.sets
             ]
         )
-        return self._with_surprises(df).select(key, F.inline(cells))
+        return self._with_surprises(df).select(key, F.inline_outer(cells))
+
+    def _cut(self, s: FeatureSet) -> float:
+        """The score exceeds this where its rounded value exceeds the threshold, so no score has to be rounded."""
+        return (math.floor(self.thresholds[s.set_id] * _GRID + 1e-3) + 0.5) / _GRID
 
     def _hit(self, s: FeatureSet) -> Column:
-        # score rounded to the grid > threshold, written without rounding every score
-        cut = (math.floor(self.thresholds[s.set_id] * _GRID + 1e-3) + 0.5) / _GRID
-        return self._score(s) > F.lit(cut)
+        return self._score(s) > F.lit(self._cut(s))
 
     def flag(self, df: DataFrame) -> DataFrame:
         """The table with ``single_loda``, ``pairs_loda`` and ``triplets_loda``."""
-        scored = collate(self._with_surprises(df), [(s, self._hit(s)) for s in self.sets], "loda")
-        return scored.drop(*[f"_s{a}" for a in range(len(self.attrs))])
+        if len(self.sets) <= WRITTEN_OUT:
+            scored = collate(self._with_surprises(df), [(s, self._hit(s)) for s in self.sets], "loda")
+            return scored.drop(*[f"_s{a}" for a in range(len(self.attrs))])
+        surprises = F.array(*[self._surprise(a, self._bin(a)) for a in range(len(self.attrs))])
+        means = _per_set(self.sets, lambda values: _mean(values), "_s")
+        scored = df.withColumn("_s", surprises).withColumn("_scores", means)
+        return collate_scores(scored, "_scores", self.sets, [self._cut(s) for s in self.sets], "loda").drop("_s", "_scores")
+
+
+def _per_set(sets: list[FeatureSet], combine, values: str) -> Column:
+    """Array with ``combine`` of each set's elements of the array column ``values``, sets in order of size.
+
+    ``values`` is named several times, which keeps the optimizer from moving its computation into the lambda.
+    """
+    parts = []
+    for arity in sorted({s.arity for s in sets}):
+        members = F.array(*[F.array(*map(F.lit, s.features)) for s in sets if s.arity == arity])
+        parts.append(F.transform(members, _combiner(combine, values, arity)))
+    return F.concat(*parts)
+
+
+def _combiner(combine, values: str, arity: int):
+    return lambda members: combine([F.get(F.col(values), members[k]) for k in range(arity)])
 
 
 def fit_loda(
@@ -103,13 +129,19 @@ def fit_loda(
     model = LodaModel(attrs, sets, low, high, [], {}, bins)
 
     width = bins**max_arity
-    binned = sample.select(*[model._bin(a).cast("bigint").alias(f"_b{a}") for a in range(len(attrs))])
-    codes = [
-        F.lit(s.set_id * width) + reduce(lambda code, a: code * bins + F.col(f"_b{a}"), s.features, F.lit(0).cast("bigint"))
-        for s in sets
-    ]
-    counts = binned.select(F.explode(F.array(*codes)).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.persist()
+    places = [model._bin(a).cast("bigint") for a in range(len(attrs))]
+    zero = F.lit(0).cast("bigint")
+    if len(sets) <= WRITTEN_OUT:
+        binned = sample.select(*[place.alias(f"_b{a}") for a, place in enumerate(places)])
+        codes = F.array(
+            *[F.lit(s.set_id * width) + reduce(lambda code, a: code * bins + F.col(f"_b{a}"), s.features, zero) for s in sets]
+        )
+    else:
+        binned = sample.select(F.array(*places).alias("_b"))
+        within = _per_set(sets, lambda digits: reduce(lambda code, b: code * bins + b, digits, zero), "_b")
+        starts = F.array(*[F.lit(s.set_id * width).cast("bigint") for s in sets])
+        codes = F.zip_with(within, starts, lambda code, start: code + start)
+    counts = binned.select(F.explode_outer(codes).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).persist()
     single = {r["code"]: r["n"] for r in counts.where(F.col("code") < len(attrs) * width).collect()}
     for a in range(len(attrs)):
         filled = [single.get(a * width + b, 0) for b in range(bins)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from raritas import detect, rank_attributes, rank_rows
 from raritas.functions import quantiles
 from raritas.functions.quantiles import exact_percentiles
-from raritas.operators import autoencoder, iforest
+from raritas.operators import autoencoder, iforest, loda
 from raritas.operators.autoencoder import NetSpec, fit_autoencoder, gradient, initial_weights, reconstruction_error
 from raritas.operators.evaluate import evaluate, stratified_folds
 from raritas.operators.featuresets import feature_sets
@@ -75,6 +75,16 @@ def test_loda_finds_planted_points_and_flags_few(cloud):
     assert len(shares) == 7 and all(r["s"] <= 0.1 for r in shares)
 
 
+def test_loda_with_many_sets_gives_the_same_flags(cloud, monkeypatch):
+    written = fit_loda(cloud, ATTRS)
+    monkeypatch.setattr(loda, "WRITTEN_OUT", 0)
+    walked = fit_loda(cloud, ATTRS)
+    assert walked.thresholds == written.thresholds and walked.surprise == written.surprise
+    compact = sorted(map(tuple, walked.flag(cloud).collect()))
+    monkeypatch.undo()
+    assert compact == sorted(map(tuple, written.flag(cloud).collect()))
+
+
 def test_loda_with_a_constant_attribute(spark):
     df = spark.createDataFrame([(i, 1.0, float(i % 3)) for i in range(30)], "id int, a double, b double")
     flagged = fit_loda(df, ["a", "b"]).flag(df)
