@@ -102,7 +102,6 @@ def flagged_cells(flagged: DataFrame, key: str, attrs: list[str], method: str, c
     triplets in which the attribute comes last, as the original count does.
     """
     rows = flagged.select(key, *attrs, members(method).alias("_m"), members(method, 2 if compat else 3).alias("_w"))
-    rows = rows.where(F.size("_m") > 0)
     cells = F.array(
         *[
             F.struct(
@@ -114,13 +113,20 @@ def flagged_cells(flagged: DataFrame, key: str, attrs: list[str], method: str, c
             for i, name in enumerate(attrs)
         ]
     )
-    # Outer generators, here and below: for the inner ones the optimizer copies their whole input into a filter.
+    # Outer generators, here and below, and filters behind them: otherwise the optimizer copies the whole
+    # computation of the flags into a filter below.
     return rows.select(key, F.inline_outer(cells)).where("part > 0")
 
 
+def calm_rows(flagged: DataFrame, key: str, method: str) -> DataFrame:
+    """Keys of the rows without any flag."""
+    counted = flagged.select(key, F.explode_outer(F.array(F.size(members(method)))).alias("_n"))
+    return counted.where("_n = 0").select(key)
+
+
 def flagged_links(flagged: DataFrame, attrs: list[str], method: str) -> DataFrame:
     """(src, dst) for every two anomalous attributes of a row; at most d * (d - 1) / 2 per row, d the attributes."""
-    rows = flagged.select(*attrs, F.array_distinct(members(method)).alias("_m")).where(F.size("_m") > 1)
+    rows = flagged.select(*attrs, F.array_distinct(members(method)).alias("_m"))
     links = []
     for i, j in combinations(range(len(attrs)), 2):
         a, b = F.col(attrs[i]).cast("double"), F.col(attrs[j]).cast("double")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raritas.functions.runtime import cut_lineage
-from raritas.operators.flags import flagged_cells, members
+from raritas.operators.flags import calm_rows, flagged_cells
 from raritas.plans.joins import join_by_counted_key
 
 
@@ -27,7 +27,7 @@ def count_anomalies(
     cells = cut_lineage(flagged_cells(flagged, key, attrs, method, compat))
     joined = join_by_counted_key(cells, value_participation(cells), ["attr", "value"], "rows")
     scored = joined.groupBy(key).agg(F.sum(F.col("weight") * F.col("in_anomalies")).cast("bigint").alias("Ranking_count"))
-    calm = flagged.where(F.size(members(method)) == 0).select(key, F.lit(0).cast("bigint").alias("Ranking_count"))
+    calm = calm_rows(flagged, key, method).withColumn("Ranking_count", F.lit(0).cast("bigint"))
     return scored.unionByName(calm)
 
 
