@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from raritas.llm import mixing, secret_scan, token_counts, token_files, url_filter, warc
+from raritas.llm import decontaminate, langid, mixing, secret_scan, token_counts, token_files, url_filter, warc
 
 QUERIES = {
+    "op1_langid": langid.query,
     "op2_secrets": secret_scan.query,
     "op4_token_counts": token_counts.query,
     "op5_warc": warc.query,
+    "op6_decontaminate": decontaminate.query,
     "op7_token_files": token_files.query,
     "op8_url_filter": url_filter.query,
     "op9_mixing": mixing.query,
