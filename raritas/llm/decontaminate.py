@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from raritas.functions.runtime import cut_lineage, ship_package
 from raritas.llm.common import keyed_text, slices, strings_at, text_bytes
+from raritas.llm.shingles import mixed, run_hashes
 
 WINDOW = 8
 LEAST_WORDS = 4
@@ -42,7 +43,6 @@ UNITS = frozenset(
 )
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
 SLOTS = ("", "<number>", "<unit>", "<name>")
-_MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEPARATOR = np.ones(256, dtype=bool)
 _SEPARATOR[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = False
 _SEPARATOR[128:] = False
@@ -50,12 +50,6 @@ _SENTENCE_END = np.zeros(256, dtype=bool)
 _SENTENCE_END[list(b".!?\n:|\"")] = True
 
 
-def mixed(values: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    values = (values ^ (values >> np.uint64(30))) * _MIX2
-    return (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-
-
 def word_hash(word: str) -> int:
     """64-bit FNV-1a of the word's UTF-8 bytes, finalised."""
     h = 0xCBF29CE484222325
@@ -114,10 +108,8 @@ def canonical(column: pa.Array, head_opens: bool = True) -> tuple[np.ndarray, np
 
 def hash_windows(tokens: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and hash of each run of ``length`` words within a row."""
-    n = max(0, len(tokens) - length + 1)
-    hashed = np.full(n, length, dtype=np.uint64)
-    for k in range(length):
-        hashed = mixed(hashed * _MIX1 + tokens[k : k + n])
+    hashed = run_hashes(tokens, length)
+    n = len(hashed)
     owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     place = np.flatnonzero(owner[:n] == owner[length - 1 :]) if n else np.zeros(0, dtype=np.int64)
     return place, hashed[place].view(np.int64)

@@ -35,11 +35,12 @@ def source_rates(docs: DataFrame, source: str, text: str, weights: dict[str, flo
     else:
         named = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
         weighted = sizes.withColumn("w", F.coalesce(named[F.col("src")], F.lit(0.0)).cast("double"))
-    sums = weighted.agg(F.sum("w").alias("all_w"), F.sum("size").alias("all_size"))
+    sums = weighted.agg(F.sum("w").alias("w"), F.sum("size").alias("size")).first()
+    all_w, all_size = F.lit(sums["w"] or 1.0), F.lit(sums["size"] or 0)
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(
-        F.col("w") / F.col("all_w") * F.col("all_size").cast("double") * F.lit(float(total_share)) / F.col("size").cast("double")
+        F.col("w") / all_w * all_size.cast("double") * F.lit(float(total_share)) / F.col("size").cast("double")
     )
-    return weighted.crossJoin(F.broadcast(sums)).select("src", "size", rate.alias("rate"))
+    return weighted.select("src", "size", rate.alias("rate"))
 
 
 def cumulative(rate: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from raritas.llm import decontaminate, langid, mixing, secret_scan, token_counts, token_files, url_filter, warc
+from raritas.llm import decontaminate, langid, mixing, near_join, secret_scan, token_counts, token_files, url_filter, warc
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_token_files": token_files.query,
     "op8_url_filter": url_filter.query,
     "op9_mixing": mixing.query,
+    "op10_near_join": near_join.query,
 }
 
 ORACLES = {"op5_warc": warc.SQL, "op8_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL}
