@@ -73,25 +73,29 @@ def replicate(
     temperature: float = TEMPERATURE,
     total_share: float = 1.0,
     seed: str = SEED,
+    marks: bool = True,
 ) -> DataFrame:
-    """All columns of ``docs``, one row per copy, with ``copy`` (1, 2, ...), ``rate`` and ``shuffle_key``; the order is random.
+    """All columns of ``docs``, one row per copy, in random order; with ``marks`` also copy (1, 2, ...), rate, shuffle_key.
 
-    Rows with equal keys draw equal numbers; a null key draws as the empty string. Columns of ``docs`` by these three
-    names give way to the new ones. An empty table stays empty. The table of rates has a row per source; it is broadcast
+    Rows with equal keys draw equal numbers; a null key draws as the empty string. With ``marks``, columns of
+    ``docs`` by these names give way to the new ones. An empty table stays empty. The table of rates has a row per source; it is broadcast
     if it has at most BROADCAST_ROWS rows, and joined with adaptive skew handling beyond.
     """
     spark = docs.sparkSession
-    plain = docs.drop("copy", "rate", "shuffle_key")
+    plain = docs.drop("copy", "rate", "shuffle_key") if marks else docs
     rates = source_rates(docs, source, text, weights, temperature, total_share)
     drawn = rates.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int")).withColumn("cdf", cumulative(F.col("rate") / F.col("pieces")))
-    drawn = drawn.select(F.struct("src", "rate", "pieces", "cdf").alias("mix_of"))
+    drawn = drawn.select(F.struct("src", "rate", "pieces", "cdf").alias("__mix"))
     few = rates.count() <= BROADCAST_ROWS
-    joined = plain.join(F.broadcast(drawn) if few else drawn, plain[source].eqNullSafe(F.col("mix_of.src")))
-    count = F.when(F.col("mix_of.rate") > 0, poisson_count(F.col(key), F.col("mix_of.cdf"), F.col("mix_of.pieces"), seed)).otherwise(F.lit(0).cast("long"))
-    copies = joined.withColumn("copy", F.explode(F.when(count > 0, F.sequence(F.lit(1).cast("long"), count))))
-    mixed = copies.select(*plain.columns, "copy", F.col("mix_of.rate").alias("rate"), F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("copy").cast("string"))).alias("shuffle_key"))
+    joined = plain.join(F.broadcast(drawn) if few else drawn, plain[source].eqNullSafe(F.col("__mix.src")))
+    count = F.when(F.col("__mix.rate") > 0, poisson_count(F.col(key), F.col("__mix.cdf"), F.col("__mix.pieces"), seed)).otherwise(F.lit(0).cast("long"))
+    copies = joined.withColumn("__copy", F.explode(F.when(count > 0, F.sequence(F.lit(1).cast("long"), count))))
+    name = F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__copy").cast("string"))
+    mixed = copies.withColumn("__order", F.md5(name))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return mixed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    dealt = mixed.repartition(parts, "__order").sortWithinPartitions("__order")
+    new = {"__copy": "copy", "__mix.rate": "rate", "__order": "shuffle_key"} if marks else {}
+    return dealt.select(*plain.columns, *[F.col(a).alias(b) for a, b in new.items()])
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from raritas.llm import decontaminate, langid, mixing, near_join, secret_scan, token_counts, token_files, url_filter, warc
+from raritas.llm import decontaminate, langid, mixing, near_join, secret_scan, spot_signatures, token_counts, token_files, url_filter, warc
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_secrets": secret_scan.query,
+    "op3_spot_signatures": spot_signatures.query,
     "op4_token_counts": token_counts.query,
     "op5_warc": warc.query,
     "op6_decontaminate": decontaminate.query,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_near_join": near_join.query,
 }
 
-ORACLES = {"op5_warc": warc.SQL, "op8_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL}
+ORACLES = {"op3_spot_signatures": spot_signatures.SQL, "op5_warc": warc.SQL, "op8_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL}
