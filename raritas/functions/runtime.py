@@ -8,8 +8,9 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A table is broadcast only after its rows were counted and found to be at most this many.
+# A table is broadcast only after its rows and bytes were counted and found to be at most this many.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,15 +44,28 @@ def head(text: Column, size: int) -> Column:
     return F.left(text, F.lit(size))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often and in whatever loop the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def literal(values: list) -> Column:
+    """A nested list of integers as one folded literal, built by a single call however long it is."""
+
+    def text(v) -> str:
+        return f"array({','.join(map(text, v))})" if isinstance(v, (list, tuple)) else str(v)
+
+    return F.expr(text(values))
+
+
 def tokens_with_attributes(texts: list[Column], n: int) -> Column:
-    """Map of each distinct n-gram in a row to the bit mask of the attributes that contain it."""
-    none = F.lit(0).cast("bigint")
+    """Map of each distinct n-gram in a row to the ascending numbers of the attributes that contain it."""
+    none = F.array().cast("array<int>")
 
-    def marked(attr: int, text: Column) -> Column:
-        grams = F.array_distinct(gram_array(text, n))
-        return F.map_from_arrays(grams, F.array_repeat(F.lit(1 << attr).cast("bigint"), F.size(grams)))
+    def marked(text: Column, attr: Column) -> Column:
+        return bound(F.array_distinct(gram_array(text, n)), lambda g: F.map_from_arrays(g, F.array_repeat(F.array(attr), F.size(g))))
 
     def merge(left: Column, right: Column) -> Column:
-        return F.map_zip_with(left, right, lambda _, x, y: F.coalesce(x, none).bitwiseOR(F.coalesce(y, none)))
+        return F.map_zip_with(left, right, lambda _, x, y: F.concat(F.coalesce(x, none), F.coalesce(y, none)))
 
-    return reduce(merge, [marked(attr, text) for attr, text in enumerate(texts)])
+    return F.aggregate(F.transform(F.array(*texts), marked), F.create_map().cast("map<string,array<int>>"), merge)

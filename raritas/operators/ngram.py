@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raritas.functions.runtime import cut_lineage
-from raritas.functions.text import explode_grams, gram_array, head, tail, tokens_with_attributes
-from raritas.operators.featuresets import FeatureSet, attr_mask, feature_sets
+from raritas.functions.text import bound, explode_grams, gram_array, head, literal, tail, tokens_with_attributes
+from raritas.operators.featuresets import FeatureSet, feature_sets
 from raritas.plans.joins import HOT_PARTS, join_by_counted_key
 
 ROW_COLUMNS = {1: "single_ngram", 2: "pairs_ngram", 3: "triplets_ngram"}
@@ -28,10 +28,18 @@ def ngrams(df: DataFrame, key: str, attrs: list[str], n: int = 3, n_att: int = 1
     sets = feature_sets(len(attrs), n_att, n_att)
     if not sets:
         return df.select(key, F.lit(0).alias("set_id"), F.lit("").alias("token")).where(F.lit(False))
-    texts = F.array(
-        *[F.struct(F.lit(s.set_id).alias("set_id"), F.concat(*[F.col(attrs[a]) for a in s.attrs]).alias("text")) for s in sets]
-    )
-    return explode_grams(df.select(key, F.inline(texts)), "text", n)
+    values = F.array(*[F.col(a) for a in attrs])
+    table = literal([[s.set_id, *s.attrs] for s in sets])
+
+    def whole(row: Column) -> Column:
+        def joined(s: Column) -> Column:
+            text = F.aggregate(F.slice(s, 2, n_att), F.lit(""), lambda left, a: F.concat(left, F.get(row, a)))
+            return F.struct(s[0].alias("set_id"), text.alias("text"))
+
+        return F.transform(table, joined)
+
+    # The outer generator keeps the optimizer from copying the whole expression into a filter below.
+    return explode_grams(df.select(key, F.inline_outer(bound(values, whole))), "text", n)
 
 
 def token_frequency(grams: DataFrame) -> DataFrame:
@@ -39,13 +47,26 @@ def token_frequency(grams: DataFrame) -> DataFrame:
     return grams.groupBy("set_id", "token").agg(F.count(F.lit(1)).alias("frequency"))
 
 
-def _pair_seam(attrs: list[str], i: int, j: int, n: int) -> Column:
-    return F.concat(tail(F.col(attrs[i]), n - 1), head(F.col(attrs[j]), n - 1))
+def _row_parts(attrs: list[str], n: int) -> Column:
+    """The row's values with their first and last n - 1 characters and their lengths, each taken once."""
+    values = F.array(*[F.col(a) for a in attrs])
+    return bound(
+        values,
+        lambda v: F.struct(
+            v.alias("text"),
+            F.transform(v, lambda t: head(t, n - 1)).alias("head"),
+            F.transform(v, lambda t: tail(t, n - 1)).alias("tail"),
+            F.transform(v, F.length).alias("size"),
+        ),
+    )
+
+
+def _pair_seam(row: Column, i: Column, j: Column) -> Column:
+    return F.concat(F.get(row["tail"], i), F.get(row["head"], j))
 
 
-def _triplet_seam(attrs: list[str], i: int, j: int, k: int, n: int) -> Column:
-    left = tail(F.concat(tail(F.col(attrs[i]), n - 1), tail(F.col(attrs[j]), n - 1)), n - 1)
-    return F.concat(left, head(F.col(attrs[k]), n - 1))
+def _triplet_seam(row: Column, i: Column, j: Column, k: Column, n: int) -> Column:
+    return F.concat(tail(F.concat(F.get(row["tail"], i), F.get(row["tail"], j)), n - 1), F.get(row["head"], k))
 
 
 def set_frequencies(df: DataFrame, attrs: list[str], n: int, sets: list[FeatureSet]) -> DataFrame:
@@ -53,43 +74,51 @@ def set_frequencies(df: DataFrame, attrs: list[str], n: int, sets: list[FeatureS
 
     The n-grams of a concatenation are those of its parts plus those across the seams, and a seam touches only
     n-1 characters on each side. So every text is tokenised once, however many sets it belongs to, and counts are
-    combined before they are handed to the sets. ``features`` of a set name the attributes whose values are
-    searched for its tokens; ``tested`` marks tokens occurring in one of those.
+    combined before they are handed to the sets. The second seam of a triplet is that of its last two values unless
+    the middle value has fewer than n - 1 characters; only such rows have a text of their own for it. The pieces are
+    literal lists walked by one expression, so the plan has one size whatever the number of sets. ``features`` of a set
+    name the attributes whose values are searched for its tokens; ``tested`` marks tokens occurring in one of those.
     """
-    pieces: dict[tuple[int, ...], Column] = {}
-    roles: list[tuple[int, int, int, int]] = []
-    ids: dict[tuple[int, ...], int] = {}
-
-    def piece(name: tuple[int, ...], text: Column) -> int:
-        if name not in ids:
-            ids[name] = len(ids)
-            pieces[name] = text
-        return ids[name]
+    singles = sorted({a for s in sets for a in (*s.attrs, *s.features)})
+    pairs = sorted({p for s in sets if s.arity > 1 for p in (s.attrs[:2], s.attrs[-2:])}) if n > 1 else []
+    triplets = [s for s in sets if s.arity == 3] if n > 1 else []
+    one = {a: place for place, a in enumerate(singles)}
+    two = {p: len(one) + 2 * place for place, p in enumerate(pairs)}  # the next number: first value shorter than n - 1
+    three = {s.set_id: len(one) + 2 * len(two) + place for place, s in enumerate(triplets)}
+
+    def texts(row: Column) -> Column:
+        def piece(number: Column, text: Column) -> Column:
+            return F.struct(number.alias("piece"), text.alias("text"))
+
+        def short(i: Column) -> Column:
+            return F.get(row["size"], i) < n - 1
+
+        parts = [F.transform(literal(list(one.items())), lambda s: piece(s[1], F.get(row["text"], s[0])))]
+        if pairs:
+            table = literal([(number, *p) for p, number in two.items()])
+            parts.append(F.transform(table, lambda s: piece(s[0] + short(s[1]).cast("int"), _pair_seam(row, s[1], s[2]))))
+        if triplets:
+            table = literal([(three[s.set_id], *s.attrs) for s in triplets])
+            own = F.filter(table, lambda s: short(s[2]))
+            parts.append(F.transform(own, lambda s: piece(s[0], _triplet_seam(row, s[1], s[2], s[3], n))))
+        return F.concat(*parts)
 
+    roles: list[tuple[int, int, int, int]] = []
     for s in sets:
-        for a in sorted(set(s.attrs) | set(s.features)):
-            roles.append((piece((a,), F.col(attrs[a])), s.set_id, int(a in s.attrs), int(a in s.features)))
-        if n > 1 and s.arity >= 2:
-            i, j = s.attrs[:2]
-            roles.append((piece((i, j), _pair_seam(attrs, i, j, n)), s.set_id, 1, 0))
-        if n > 1 and s.arity == 3:
-            roles.append((piece(s.attrs, _triplet_seam(attrs, *s.attrs, n)), s.set_id, 1, 0))
-
-    texts = F.array(*[F.struct(F.lit(ids[name]).alias("piece"), text.alias("text")) for name, text in pieces.items()])
+        roles += [(one[a], s.set_id, int(a in s.attrs), int(a in s.features)) for a in sorted({*s.attrs, *s.features})]
+        if pairs and s.arity > 1:
+            roles += [(two[s.attrs[:2]] + shorter, s.set_id, 1, 0) for shorter in (0, 1)]
+        if pairs and s.arity == 3:
+            roles += [(two[s.attrs[1:]], s.set_id, 1, 0), (three[s.set_id], s.set_id, 1, 0)]
     counted = (
-        explode_grams(df.select(F.inline(texts)), "text", n)
+        explode_grams(df.select(F.inline_outer(bound(_row_parts(attrs, n), texts))), "text", n)
         .groupBy("piece", "token")
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )
-    role_of = {}
-    for p, set_id, member, tested in roles:
-        role_of.setdefault(p, []).append(
-            F.struct(F.lit(set_id).alias("set_id"), F.lit(member).alias("member"), F.lit(tested).alias("tested"))
-        )
-    # The roles follow from the schema, so they are a literal in the plan rather than a joined table.
-    per_piece = F.array(*[F.array(*role_of[p]) for p in range(len(ids))])
+    # The roles follow from the schema alone, not from the data.
+    table = df.sparkSession.createDataFrame(roles, "piece int, set_id int, member int, tested int")
     return (
-        counted.select("token", "occurrences", F.inline(F.get(per_piece, F.col("piece"))))
+        counted.join(F.broadcast(table), "piece")
         .groupBy("set_id", "token")
         .agg(F.sum(F.col("occurrences") * F.col("member")).alias("frequency"), F.max("tested").alias("tested"))
     )
@@ -136,29 +165,29 @@ def _row_scores(df: DataFrame, key: str, attrs: list[str], n: int, th: float, se
     banded = with_band(freq, th).where("tested = 1")
     share = (freq.agg(F.sum("frequency")).first()[0] or 0) / len(sets)
     usual = ~F.col("unusual")
-    set_info = F.array(
-        *[F.struct(F.lit(s.arity).alias("arity"), F.lit(attr_mask(s.features)).cast("bigint").alias("mask")) for s in sets]
-    )
     first_id = min(s.set_id for s in sets)
-    info = F.get(set_info, F.col("set_id") - F.lit(first_id))
+    by_id = {s.set_id: s.features for s in sets}
+    members = literal([by_id[i] for i in range(first_id, first_id + len(sets))])
     inside = (
         # Very frequent tokens stay in the table even when unusual, so that the join can treat them apart.
         banded.where(usual | (F.col("frequency") > share / HOT_PARTS))
         .groupBy("token")
         .agg(
-            F.collect_list(F.when(usual, info)).alias("inside"),
+            F.collect_list(F.when(usual, F.col("set_id"))).alias("inside"),
             F.max("frequency").alias("rows"),
         )
     )
-    tokens = df.select(key, F.explode_outer(tokens_with_attributes([F.col(a) for a in attrs], n)).alias("token", "mask"))
-    joined = join_by_counted_key(tokens, inside, ["token"], "rows")
+    found = tokens_with_attributes([F.col(a) for a in attrs], n)
+    tokens = df.select(key, F.explode_outer(found).alias("token", "holders"))
+    weight = F.octet_length("token") + F.size("inside") * 4 + 64
+    joined = join_by_counted_key(tokens, inside, ["token"], "rows", weight)
 
     def hits(arity: int) -> Column:
-        found = _sets_touched(len(attrs), arity, sets)
-        none = F.size(
-            F.filter("inside", lambda s: (s["arity"] == arity) & (s["mask"].bitwiseAND(F.col("mask")) != 0))
-        )
-        return F.coalesce(found, F.lit(0)) - F.when(F.col("inside").isNull(), 0).otherwise(none)
+        ids = [s.set_id for s in sets if s.arity == arity]  # neighbouring numbers
+        of_size = F.filter("inside", lambda s: (s >= min(ids)) & (s <= max(ids)))
+        none = F.size(F.filter(of_size, lambda s: F.arrays_overlap(F.get(members, s - first_id), F.col("holders"))))
+        touched = _sets_touched(len(attrs), arity, sets)
+        return F.coalesce(touched, F.lit(0)) - F.when(F.col("inside").isNull(), 0).otherwise(none)
 
     return joined.groupBy(key).agg(
         *[F.sum(hits(arity)).cast("bigint").alias(ROW_COLUMNS[arity]) for arity in arities]
@@ -166,17 +195,13 @@ def _row_scores(df: DataFrame, key: str, attrs: list[str], n: int, th: float, se
 
 
 def _sets_touched(d: int, arity: int, sets: list[FeatureSet]) -> Column:
-    """How many sets of a size search at least one attribute of ``mask``."""
+    """How many sets of a size search at least one attribute of ``holders``."""
     chosen = [s for s in sets if s.arity == arity]
     if all(s.features == s.attrs for s in chosen):
         # All sets of that size: those touched are all but the ones drawn from the other attributes.
-        by_bits = [comb(d, arity) - comb(d - bits, arity) for bits in range(d + 1)]
-        return F.get(F.array(*map(F.lit, by_bits)), F.bit_count(F.col("mask")))
-    terms = [
-        F.when(F.col("mask").bitwiseAND(F.lit(attr_mask(s.features)).cast("bigint")) != 0, 1).otherwise(0)
-        for s in chosen
-    ]
-    return reduce(lambda a, b: a + b, terms)
+        by_count = [comb(d, arity) - comb(d - count, arity) for count in range(d + 1)]
+        return F.get(literal(by_count), F.size("holders"))
+    return F.size(F.filter(literal([s.features for s in chosen]), lambda f: F.arrays_overlap(f, F.col("holders"))))
 
 
 def ngram_detect(
@@ -190,7 +215,8 @@ def ngram_detect(
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    _check_width(attrs)
+    if not attrs:
+        raise ValueError("no string attribute to work on")
     sets = _search_sets(len(attrs), compat)
     if compat and n != 3 and len(attrs) >= 3:
         small = _row_scores(df, key, attrs, n, th, [s for s in sets if s.arity < 3])
@@ -206,13 +232,6 @@ def with_final_score(scores: DataFrame) -> DataFrame:
     return scores.withColumn("final_score", reduce(lambda a, b: a + b, [F.col(c) for c in ROW_COLUMNS.values()]))
 
 
-def _check_width(attrs: list[str]) -> None:
-    if not attrs:
-        raise ValueError("no string attribute to work on")
-    if len(attrs) > 62:
-        raise ValueError("at most 62 string attributes fit the attribute mask")
-
-
 def attribute_hits(df: DataFrame, attrs: list[str], n: int = 3, th: float = 0.1) -> DataFrame:
     """Score of every attribute: (attr, score).
 
@@ -220,86 +239,98 @@ def attribute_hits(df: DataFrame, attrs: list[str], n: int = 3, th: float = 0.1)
     is credited to all attributes of the set. Row numbers per token are additive over (a) rows holding the token
     inside a value and (b) rows holding it across a seam only, so no table at row level is ever shuffled.
     """
-    _check_width(attrs)
+    if not attrs:
+        raise ValueError("no string attribute to work on")
     d = len(attrs)
     sets = feature_sets(d)
+    zero = F.lit(0).cast("bigint")
     inside = (
-        df.select(F.explode_outer(tokens_with_attributes([F.col(a) for a in attrs], n)).alias("token", "mask"))
+        df.select(F.explode_outer(tokens_with_attributes([F.col(a) for a in attrs], n)).alias("token", "holders"))
         .where("token is not null")
-        .groupBy("token", "mask")
+        .groupBy("token", "holders")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    set_ids = F.array(
-        *[F.struct(F.lit(s.set_id).alias("set_id"), F.lit(s.mask).cast("bigint").alias("set_mask")) for s in sets]
+    members = literal([s.attrs for s in sets])
+    # The numbers of the sets that hold one of the attributes; a set's place in the list is its number.
+    touched = F.filter(
+        F.transform(members, lambda m, i: F.when(F.arrays_overlap(m, F.col("holders")), i)), lambda i: i.isNotNull()
     )
-    holding = (
-        inside.select("token", "mask", "rows", F.inline(set_ids))
-        .where(F.col("mask").bitwiseAND(F.col("set_mask")) != 0)
-        .select("set_id", "token", F.lit(0).cast("bigint").alias("frequency"), "rows")
+    holding = inside.select("token", "rows", F.explode_outer(touched).alias("set_id")).select(
+        "set_id", "token", zero.alias("frequency"), "rows"
     )
     parts = [holding]
-    crossing = [_crossing_tokens(attrs, s, n) for s in sets if s.arity >= 2] if n > 1 else []
-    if crossing:
+    if n > 1 and d > 1:
         parts.append(
-            df.select(F.inline(F.array(*crossing)))
+            df.select(F.inline_outer(_crossing_tokens(attrs, sets, n)))
             .select("set_id", F.explode_outer("tokens").alias("token"))
             .where("token is not null")
             .groupBy("set_id", "token")
             .agg(F.count(F.lit(1)).alias("rows"))
-            .select("set_id", "token", F.lit(0).cast("bigint").alias("frequency"), "rows")
+            .select("set_id", "token", zero.alias("frequency"), "rows")
         )
     freq = set_frequencies(df, attrs, n, sets)
-    parts.append(freq.select("set_id", "token", "frequency", F.lit(0).cast("bigint").alias("rows")))
+    parts.append(freq.select("set_id", "token", "frequency", zero.alias("rows")))
     merged = (
         reduce(DataFrame.unionByName, parts)
         .groupBy("set_id", "token")
         .agg(F.sum("frequency").alias("frequency"), F.sum("rows").alias("rows"))
     )
     per_set = with_band(cut_lineage(merged), th).where("unusual").groupBy("set_id").agg(F.sum("rows").alias("rows"))
-    members = F.get(F.array(*[F.array(*map(F.lit, s.attrs)) for s in sets]), F.col("set_id"))
-    credited = per_set.select(F.explode(members).alias("attr"), "rows")
+    credited = per_set.select(F.explode(F.get(members, F.col("set_id"))).alias("attr"), "rows")
     # One zero row per attribute keeps attributes without any hit in the result.
-    every = df.sparkSession.range(d).select(F.col("id").cast("int").alias("attr"), F.lit(0).cast("bigint").alias("rows"))
+    every = df.sparkSession.range(d).select(F.col("id").cast("int").alias("attr"), zero.alias("rows"))
     return credited.unionByName(every).groupBy("attr").agg(F.sum("rows").alias("score"))
 
 
-def _crossing_tokens(attrs: list[str], s: FeatureSet, n: int) -> Column:
-    i, j = s.attrs[:2]
-    grams = gram_array(_pair_seam(attrs, i, j, n), n)
-    if s.arity == 3:
-        grams = F.concat(grams, gram_array(_triplet_seam(attrs, *s.attrs, n), n))
-    only = F.filter(
-        F.array_distinct(grams),
-        lambda t: ~reduce(lambda a, b: a | b, [F.contains(F.col(attrs[a]), t) for a in s.attrs]),
-    )
-    return F.struct(F.lit(s.set_id).alias("set_id"), only.alias("tokens"))
+def _crossing_tokens(attrs: list[str], sets: list[FeatureSet], n: int) -> Column:
+    """For each pair and triplet the distinct tokens across its seams that none of its values contains."""
+
+    def only(row: Column, grams: Column, members: list[Column]) -> Column:
+        def beyond(t: Column) -> Column:
+            return ~reduce(lambda a, b: a | b, [F.contains(F.get(row["text"], a), t) for a in members])
+
+        return F.filter(F.array_distinct(grams), beyond)
+
+    def crossing(row: Column) -> Column:
+        def pair(s: Column) -> Column:
+            grams = gram_array(_pair_seam(row, s[1], s[2]), n)
+            return F.struct(s[0].alias("set_id"), only(row, grams, [s[1], s[2]]).alias("tokens"))
+
+        def triplet(s: Column) -> Column:
+            grams = F.concat(gram_array(_pair_seam(row, s[1], s[2]), n), gram_array(_triplet_seam(row, s[1], s[2], s[3], n), n))
+            return F.struct(s[0].alias("set_id"), only(row, grams, [s[1], s[2], s[3]]).alias("tokens"))
+
+        found = [
+            F.transform(literal([(s.set_id, *s.attrs) for s in sets if s.arity == arity]), body)
+            for arity, body in ((2, pair), (3, triplet))
+            if any(s.arity == arity for s in sets)
+        ]
+        return F.concat(*found)
+
+    return bound(_row_parts(attrs, n), crossing)
 
 
 def attribute_maximum(df: DataFrame, attrs: list[str], n: int = 3) -> DataFrame:
     """Normaliser of the attribute score: (attr, name, maximum).
 
     The possible token positions of an attribute alone, of its ordered pairs (twice per pair) and of its ordered
-    triplets (six times per triplet), summed over rows. Only total text lengths are needed, hence one aggregate.
-    Texts shorter than n - 1 contribute negative terms, which are kept.
+    triplets (six times per triplet), summed over rows. With the total length L of each attribute, T of all, and
+    K = rows * (n - 1), the sums over the others close to terms in L, T and K. Texts shorter than n - 1 contribute
+    negative terms, which are kept.
     """
     d = len(attrs)
     totals = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.coalesce(F.sum(F.length(a).cast("bigint")), F.lit(0)).alias(f"len{i}") for i, a in enumerate(attrs)],
+        F.array(*[F.coalesce(F.sum(F.length(a).cast("bigint")), F.lit(0).cast("bigint")) for a in attrs]).alias("sizes"),
     )
-    off = F.col("rows") * F.lit(n - 1)
-    length = [F.col(f"len{i}") for i in range(d)]
-    lines = []
-    for j in range(d):
-        others = [k for k in range(d) if k != j]
-        total = length[j] - off
-        for k in others:
-            total = total + (length[j] + length[k] - off) * 2
-        for x, k in enumerate(others):
-            for m in others[x + 1 :]:
-                total = total + (length[j] + length[k] + length[m] - off) * 6
-        lines.append(F.struct(F.lit(j).alias("attr"), F.lit(attrs[j]).alias("name"), total.alias("maximum")))
-    return totals.select(F.inline(F.array(*lines)))
+    whole = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda left, size: left + size)
+    lines = totals.select("rows", whole.alias("whole"), F.posexplode_outer("sizes").alias("attr", "size"))
+    own = F.col("size") - F.col("rows") * (n - 1)
+    others = F.col("whole") - F.col("size")
+    pairs = own * (d - 1) + others
+    triplets = own * comb(d - 1, 2) + others * (d - 2)
+    names = F.get(F.array(*map(F.lit, attrs)), F.col("attr"))
+    return lines.select("attr", names.alias("name"), (own + pairs * 2 + triplets * 6).alias("maximum"))
 
 
 def attribute_normalized(df: DataFrame, attrs: list[str], n: int = 3, th: float = 0.1) -> DataFrame:
