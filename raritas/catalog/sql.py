@@ -141,7 +141,7 @@ def ngram_attr_normalized(view: View, n: int, th: float) -> str:
 
 
 def sample_cte(split: float, seed: int = 0, name: str = "smp") -> str:
-    return f"""{name} AS (SELECT * FROM base QUALIFY row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':{seed}'))
+    return f"""{name} AS MATERIALIZED (SELECT * FROM base QUALIFY row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':{seed}'))
         <= floor({split} * (SELECT count(*) FROM base)))"""
 
 
@@ -165,12 +165,12 @@ def loda_ctes(view: View, split: float = 0.5, contamination: float = 0.1, bins:
         for i, c in _sets(d)
     )
     return f"""base AS ({view.base}), {sample_cte(split)},
-        edges AS (SELECT {ranges}, count(*) AS n FROM smp),
-        binned AS (SELECT id, n, {binned} FROM base, edges),
-        hist AS ({hist}),
-        surprise AS (SELECT id, {surprise} FROM binned {joins}),
-        scored AS ({scored}),
-        thr AS (SELECT set_id, quantile_cont(score, {1 - contamination}) AS t FROM scored SEMI JOIN smp USING (id) GROUP BY set_id),
+        edges AS MATERIALIZED (SELECT {ranges}, count(*) AS n FROM smp),
+        binned AS MATERIALIZED (SELECT id, n, {binned} FROM base, edges),
+        hist AS MATERIALIZED ({hist}),
+        surprise AS MATERIALIZED (SELECT id, {surprise} FROM binned {joins}),
+        scored AS MATERIALIZED ({scored}),
+        thr AS MATERIALIZED (SELECT set_id, quantile_cont(score, {1 - contamination}) AS t FROM scored SEMI JOIN smp USING (id) GROUP BY set_id),
         flag AS (SELECT s.*, s.score > t.t AS is_outlier FROM scored s JOIN thr t ON s.set_id = t.set_id)"""
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raritas.operators.flags import members, participation
+from raritas.operators.flags import members
 
 SUMMARIES = {"mean": F.avg, "median": F.median}
 
@@ -13,22 +13,17 @@ SUMMARIES = {"mean": F.avg, "median": F.median}
 def attribute_score(flagged: DataFrame, attrs: list[str], method: str) -> DataFrame:
     """(attr, name, score): flags of the attribute over ``N * (1 + (d - 1) ** 2)``.
 
-    All counters are sums over rows, so the table shrinks to one row before anything is shuffled.
+    Members are counted per attribute before anything is shuffled; a mark per row counts the rows beside them.
     """
     d = len(attrs)
-    counted = flagged.select(members(method).alias("_m")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.sum(participation(F.col("_m"), i)).alias(f"n{i}") for i in range(d)],
-    )
-    lines = [
-        F.struct(
-            F.lit(i).alias("attr"),
-            F.lit(name).alias("name"),
-            F.try_divide(F.col(f"n{i}"), F.col("rows") * (1 + (d - 1) ** 2)).alias("score"),
-        )
-        for i, name in enumerate(attrs)
-    ]
-    return counted.select(F.inline(F.array(*lines)))
+    marked = flagged.select(F.explode_outer(F.concat(F.array(F.lit(-1)), members(method))).alias("attr"))
+    counts = marked.groupBy("attr").agg(F.count(F.lit(1)).alias("n"))
+    # One row of at most d + 1 entries.
+    whole = counts.agg(F.map_from_entries(F.collect_list(F.struct("attr", "n"))).alias("n"))
+    lines = whole.select("n", F.posexplode(F.array(*map(F.lit, attrs))).alias("attr", "name"))
+    rows = F.coalesce(F.try_element_at("n", F.lit(-1)), F.lit(0))
+    flags = F.coalesce(F.try_element_at("n", F.col("attr")), F.lit(0))
+    return lines.select("attr", "name", F.try_divide(flags, rows * (1 + (d - 1) ** 2)).alias("score"))
 
 
 def table_score(scores: DataFrame, function: str = "mean", score: str = "score") -> DataFrame:

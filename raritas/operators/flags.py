@@ -7,11 +7,10 @@ long form has one row (key, arity, attrs) per flag.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from raritas.functions.text import bound
 from raritas.operators.featuresets import FeatureSet
 
 METHODS = ("loda", "IF", "AE")
@@ -90,7 +89,7 @@ def members(method: str, counted: int = 3) -> Column:
     return F.concat(single, F.flatten(pairs), F.flatten(triplets))
 
 
-def participation(members_column: Column, attr: int) -> Column:
+def participation(members_column: Column, attr: int | Column) -> Column:
     """In how many flags of the row the attribute takes part."""
     return F.size(members_column) - F.size(F.array_remove(members_column, attr))
 
@@ -101,21 +100,24 @@ def flagged_cells(flagged: DataFrame, key: str, attrs: list[str], method: str, c
     ``part`` is the attribute's number of flags in the row. ``weight`` equals it, but under ``compat`` leaves out
     triplets in which the attribute comes last, as the original count does.
     """
-    rows = flagged.select(key, *attrs, members(method).alias("_m"), members(method, 2 if compat else 3).alias("_w"))
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("attr"),
-                F.col(name).cast("double").alias("value"),
-                participation(F.col("_m"), i).alias("part"),
-                participation(F.col("_w"), i).alias("weight"),
+    values = F.array(*[F.col(name).cast("double") for name in attrs])
+    weighed = members(method, 2 if compat else 3)
+    given = F.struct(values.alias("v"), members(method).alias("m"), weighed.alias("w"))
+
+    def cells(row: Column) -> Column:
+        def cell(attr: Column) -> Column:
+            return F.struct(
+                attr.alias("attr"),
+                F.get(row["v"], attr).alias("value"),
+                participation(row["m"], attr).alias("part"),
+                participation(row["w"], attr).alias("weight"),
             )
-            for i, name in enumerate(attrs)
-        ]
-    )
+
+        return F.transform(F.array_distinct(row["m"]), cell)
+
     # Outer generators, here and below, and filters behind them: otherwise the optimizer copies the whole
     # computation of the flags into a filter below.
-    return rows.select(key, F.inline_outer(cells)).where("part > 0")
+    return flagged.select(key, F.inline_outer(bound(given, cells))).where("part > 0")
 
 
 def calm_rows(flagged: DataFrame, key: str, method: str) -> DataFrame:
@@ -126,12 +128,18 @@ def calm_rows(flagged: DataFrame, key: str, method: str) -> DataFrame:
 
 def flagged_links(flagged: DataFrame, attrs: list[str], method: str) -> DataFrame:
     """(src, dst) for every two anomalous attributes of a row; at most d * (d - 1) / 2 per row, d the attributes."""
-    rows = flagged.select(*attrs, F.array_distinct(members(method)).alias("_m"))
-    links = []
-    for i, j in combinations(range(len(attrs)), 2):
-        a, b = F.col(attrs[i]).cast("double"), F.col(attrs[j]).cast("double")
-        both = F.array_contains("_m", i) & F.array_contains("_m", j)
-        links.append(F.when(both, F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))))
-    if not links:
-        return rows.select(F.lit(0.0).alias("src"), F.lit(0.0).alias("dst")).where(F.lit(False))
-    return rows.select(F.explode_outer(F.array(*links)).alias("_l")).where("_l is not null").select("_l.src", "_l.dst")
+    values = F.array(*[F.col(name).cast("double") for name in attrs])
+    given = F.struct(values.alias("v"), F.array_sort(F.array_distinct(members(method))).alias("m"))
+
+    def links(row: Column) -> Column:
+        def from_one(i: Column, place: Column) -> Column:
+            def link(j: Column) -> Column:
+                a, b = F.get(row["v"], i), F.get(row["v"], j)
+                return F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+
+            return F.transform(F.slice(row["m"], place + 2, len(attrs)), link)
+
+        return F.flatten(F.transform(row["m"], from_one))
+
+    found = flagged.select(F.explode_outer(bound(given, links)).alias("_l"))
+    return found.where("_l is not null").select("_l.src", "_l.dst")

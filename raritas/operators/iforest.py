@@ -81,7 +81,7 @@ def grow_tree(points: np.ndarray, limit: int, rng: np.random.Generator) -> tuple
 
     A branch that ends early keeps going left, so that scoring takes the same number of steps for every row.
     """
-    feature = np.zeros(2**limit - 1, dtype=np.int8)
+    feature = np.zeros(2**limit - 1, dtype=np.int32)
     split = np.full(2**limit - 1, np.inf)
     path = np.zeros(2**limit, dtype=np.float64)
     todo = [(0, 0, np.arange(len(points)))]
@@ -275,7 +275,7 @@ def grow_forest(
     packed = {}
     for name, lines in table.groupby(["forest", "set_id"]):
         packed[(int(name[0]), int(name[1]))] = PackedTrees(
-            np.stack([np.frombuffer(b, dtype=np.int8) for b in lines["feature"]]),
+            np.stack([np.frombuffer(b, dtype=np.int32) for b in lines["feature"]]),
             np.stack([np.frombuffer(b, dtype=np.float64) for b in lines["split"]]),
             np.stack([np.frombuffer(b, dtype=np.float64) for b in lines["path"]]),
         )

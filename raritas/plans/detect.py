@@ -13,7 +13,7 @@ from raritas.operators.iforest import fit_iforest
 from raritas.operators.loda import fit_loda
 from raritas.operators.ngram import ngram_detect
 from raritas.operators.sampling import sample_rows
-from raritas.plans.settings import Settings, check_method, check_split, size_profile
+from raritas.plans.settings import Settings, check_method, check_split, choose_settings
 from raritas.sources.tables import numeric_projection, string_projection
 
 
@@ -27,6 +27,8 @@ def detect(
     th: float = 0.3,
     seed: int = 0,
     settings: Settings | None = None,
+    profile: str = "by_rows",
+    shards: int = 1,
     compat: bool = False,
     on_null: str = "error",
 ) -> DataFrame:
@@ -34,7 +36,9 @@ def detect(
 
     Numeric detectors return the key, the numeric attributes and three flag columns; 'ngram' returns the key, the
     string attributes and three score columns. ``con`` is the autoencoder's share of outliers, ``n`` and ``th``
-    are the n-gram length and frequency band. ``settings`` replaces the size-dependent defaults.
+    are the n-gram length and frequency band. ``profile`` names the tuned settings of the trained detectors: 'small',
+    'big', or 'by_rows' (the original rule: big above 10000 rows); ``settings`` replaces them. ``shards`` is the number of
+    parts of the sample that an autoencoder is trained on side by side; a part is held by one task.
     """
     check_method(method)
     if method == "ngram":
@@ -45,12 +49,12 @@ def detect(
     numbers = numeric_projection(df, key, on_null)
     attrs = numbers.columns[1:]
     sample, rows, _ = sample_rows(numbers, key, lambda size: int(train_split * size), seed)
-    chosen = settings or size_profile(rows)
+    chosen = settings or choose_settings(profile, rows)
     if method == "loda":
         return fit_loda(sample, attrs).flag(numbers)
     if method == "AE":
         spec = NetSpec(chosen.layers, chosen.epochs, chosen.activation, chosen.batch_size)
-        return fit_autoencoder(sample, key, attrs, spec, con, seed).flag(numbers)
+        return fit_autoencoder(sample, key, attrs, spec, con, seed, shards).flag(numbers)
     if compat:
         return _compat_forest(numbers, sample, key, attrs, chosen.estimators, seed)
     return fit_iforest(sample, key, attrs, feature_sets(len(attrs)), chosen.estimators).flag(numbers)

@@ -30,6 +30,15 @@ def size_profile(rows: int) -> Settings:
     return PROFILES["big" if rows > BIG_ROWS else "small"]
 
 
+def choose_settings(profile: str, rows: int) -> Settings:
+    """'small' or 'big', or 'by_rows' for the original rule that takes one of them by the number of rows."""
+    if profile == "by_rows":
+        return size_profile(rows)
+    if profile not in PROFILES:
+        raise ValueError(f"the profile is 'by_rows', {' or '.join(map(repr, PROFILES))}")
+    return PROFILES[profile]
+
+
 def check_method(method: str) -> None:
     if method not in DETECTORS:
         raise ValueError(f"unknown method {method!r}; choose one of {', '.join(DETECTORS)}")

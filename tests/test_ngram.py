@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -142,3 +143,40 @@ def test_maximum_may_be_negative_and_matches_loops(spark):
         found = {r["attr"]: r["maximum"] for r in ngram.attribute_maximum(df, names, n).collect()}
         assert [found[a] for a in range(3)] == wanted
     assert min(wanted) < 0
+
+
+def test_sixteen_attributes(spark):
+    rows = random_rows(5, 16, 50)
+    df, names = table(spark, rows)
+    started = time.time()
+    found = {r["id"]: tuple(r)[1:] for r in ngram.ngram_detect(df, "id", names, 2, 0.3).collect()}
+    detected = time.time()
+    scores = {r["attr"]: r["score"] for r in ngram.attribute_hits(df, names, 2, 0.3).collect()}
+    scored = time.time()
+    maximum = {r["attr"]: r["maximum"] for r in ngram.attribute_maximum(df, names, 2).collect()}
+    print(f"detect {detected - started:.1f} s, hits {scored - detected:.1f} s, maximum {time.time() - scored:.1f} s")
+    assert found == dict(enumerate(brute_rows(rows, 2, 0.3)))
+    assert scores == dict(enumerate(brute_attributes(rows, 2, 0.3)))
+    sizes = [sum(len(r[a]) for r in rows) - len(rows) for a in range(16)]
+    lengths = [sum(len(r[a]) for r in rows) for a in range(16)]
+    for a in range(16):
+        pairs = sum(sizes[a] + lengths[b] for b in range(16) if b != a)
+        triplets = sum(sizes[a] + lengths[b] + lengths[c] for b, c in combinations([x for x in range(16) if x != a], 2))
+        assert maximum[a] == sizes[a] + 2 * pairs + 6 * triplets
+
+
+def test_more_attributes_than_a_word_has_bits(spark):
+    rows = [tuple("ab" if (i * a) % 7 else "b" for a in range(70)) for i in range(4)]
+    df, names = table(spark, rows)
+    found = {r["id"]: r["single_ngram"] for r in ngram.ngram_detect(df, "id", names, 2, 0.0).collect()}
+    alone = [sum(t in r[a] for a in range(70) for t in unusual([x[a] for x in rows], 2, 0.0)) for r in rows]
+    assert found == dict(enumerate(alone))
+
+
+def test_shuffled_token_join_leaves_rows_without_tokens_out(spark, monkeypatch):
+    rows = [*random_rows(6, 3), ("", "", ""), ("a", "", "b")]
+    df, names = table(spark, rows)
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_PARTS", 50)
+    found = {r["id"]: tuple(r)[1:] for r in ngram.ngram_detect(df, "id", names, 2, 0.3).collect()}
+    assert found == dict(enumerate(brute_rows(rows, 2, 0.3)))
