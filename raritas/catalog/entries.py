@@ -19,10 +19,9 @@ from raritas.operators.flags import collate_long, long_flags, members
 from raritas.operators.loda import LodaModel, fit_loda
 from raritas.operators.random_cuts import fit_random_cuts, random_cuts
 from raritas.operators.sampling import train_sample
-from raritas.operators.tune import NetGrid, best, search_autoencoder, search_iforest
+from raritas.operators.tune import best, search_autoencoder, search_iforest
 from raritas.plans.detect import detect
-from raritas.plans.rank import rank_rows
-from raritas.plans.settings import LAYERS, Settings
+from raritas.plans.rank import rank_attributes, rank_rows
 from raritas.sources.tables import numeric_projection, read_table, spread, string_projection, with_row_id
 from raritas.sources.workbooks import parse_workbooks
 
@@ -284,11 +283,11 @@ def _edges(view: View) -> Query:
     return lambda spark, folder: _graph(spark, folder, view)[2]
 
 
-def _pagerank(view: View, rounds: int | None, top: int | None = None) -> Query:
+def _pagerank(view: View, rounds: int | None, positions: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         _, nodes, edges = _graph(spark, folder, view)
         ranks = graph.pagerank(nodes, edges, rounds=rounds).select("node", rounded("rank"))
-        return ranks if top is None else graph.rank_order(ranks).limit(top)
+        return graph.rank_positions(ranks) if positions else ranks
 
     return query
 
@@ -305,7 +304,7 @@ register("graph_nodes", _nodes(NUM3), sql.graph_nodes(NUM3))
 register("graph_edges", _edges(NUM3), sql.graph_edges(NUM3))
 register("pagerank_10_rounds", _pagerank(NUM3, FIXED_ROUNDS), sql.pagerank_fixed(NUM3, FIXED_ROUNDS))
 register("pagerank_converged", _pagerank(NUM3, None), sql.pagerank_converged(NUM3, MOST_ROUNDS))
-register("pagerank_top", _pagerank(NUM3, None, 50), sql.pagerank_top(NUM3, MOST_ROUNDS, 50))
+register("pagerank_top", _pagerank(NUM3, None, True), sql.pagerank_positions(NUM3, MOST_ROUNDS))
 register("pagerank_row_score", _row_score(NUM3), sql.pagerank_row_score(NUM3))
 
 
@@ -334,11 +333,8 @@ def _workbook_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _row_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items have no key: number them, and show that the numbers run from 0 to N - 1."""
-    numbered = with_row_id(spark.read.parquet(f"{folder}/lineitem.parquet").select("l_quantity", "l_extendedprice"))
-    return numbered.agg(
-        F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count(F.lit(1)).alias("rows"), F.sum("row_id").alias("total")
-    )
+    """Line items have no key of one column: number them in the order of the file."""
+    return with_row_id(spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_linenumber"))
 
 
 register(
@@ -352,8 +348,7 @@ register("workbook_scan", _workbook_scan, "SELECT c_custkey, c_name, c_nationkey
 register(
     "row_numbers",
     _row_numbers,
-    'SELECT 0::BIGINT AS first, (count(*) - 1)::BIGINT AS last, count(*) AS "rows", '
-    "(count(*) * (count(*) - 1) // 2)::BIGINT AS total FROM lineitem",
+    "SELECT row_number() OVER () - 1 AS row_id, l_orderkey, l_linenumber FROM lineitem",
 )
 
 
@@ -407,12 +402,15 @@ register("stratified_folds", _folds, sql.stratified_folds(10, 3))
 
 # ---------------------------------------------------------------- trained detectors
 
-EVENT_SETTINGS = Settings(epochs=5, batch_size=128, activation="relu", layers=LAYERS["short"], estimators=100)
+# Parts that the sample is trained on side by side, and the labelled rows that the search of networks uses.
+SHARDS = 8
+FIT_ROWS = 400
 
 
-def _detected(method: str, compat: bool = False) -> Query:
+def _detected(method: str, profile: str = "small", compat: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        flagged = detect(NUM3.read_spread(spark, folder), NUM3.key, method, SPLIT, settings=EVENT_SETTINGS, compat=compat)
+        view = NUM3.read_spread(spark, folder)
+        flagged = detect(view, NUM3.key, method, SPLIT, profile=profile, shards=SHARDS, compat=compat)
         return as_text(flagged, NUM3.key, method)
 
     return query
@@ -420,25 +418,87 @@ def _detected(method: str, compat: bool = False) -> Query:
 
 def _ranked(method: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        flagged = cut_lineage(detect(NUM3.read_spread(spark, folder), NUM3.key, method, SPLIT, settings=EVENT_SETTINGS))
+        flagged = cut_lineage(detect(NUM3.read_spread(spark, folder), NUM3.key, method, SPLIT, profile="small", shards=SHARDS))
         return rank_rows(flagged, NUM3.key, method, 0, TOP)[0]
 
     return query
 
 
 def _search_forest(spark: SparkSession, folder: str) -> DataFrame:
-    return best(search_iforest(labelled(spark, folder), "doc_id", list(DOC3.attrs), "truth", splits=5, repeats=2))
+    return best(search_iforest(labelled(spark, folder), "doc_id", list(DOC3.attrs), "truth"))
 
 
 def _search_net(spark: SparkSession, folder: str) -> DataFrame:
-    grid = NetGrid(layers=[LAYERS["short"], (4, 1, 4)], epochs=[5], activations=["relu", "tanh"], batches=[128])
-    return best(search_autoencoder(labelled(spark, folder), "doc_id", list(DOC3.attrs), "truth", grid, splits=3, repeats=1))
+    return best(search_autoencoder(labelled(spark, folder), "doc_id", list(DOC3.attrs), "truth", fit_rows=FIT_ROWS))
 
 
 register("iforest_flags", _detected("IF"))
-register("iforest_flags_compat", _detected("IF", True))
+register("iforest_flags_big", _detected("IF", "big"))
+register("iforest_flags_compat", _detected("IF", compat=True))
 register("iforest_rank_rows", _ranked("IF"))
 register("autoencoder_flags", _detected("AE"))
+register("autoencoder_flags_big", _detected("AE", "big"))
 register("autoencoder_rank_rows", _ranked("AE"))
 register("grid_search_iforest", _search_forest)
 register("grid_search_autoencoder", _search_net)
+
+
+# ---------------------------------------------------------------- the public functions, end to end
+
+# Attributes above 1 - 0.95 of the score are reported: a share that the flags and n-grams of these tables reach.
+WIDE_TOP = 0.95
+
+
+def _found(view: View, method: str) -> Callable[[SparkSession, str], DataFrame]:
+    def found(spark: SparkSession, folder: str) -> DataFrame:
+        return cut_lineage(detect(view.read_spread(spark, folder), view.key, method, SPLIT, th=BAND))
+
+    return found
+
+
+def _public_rows(view: View, method: str, ind: int = 0) -> Query:
+    return lambda spark, folder: rank_rows(_found(view, method)(spark, folder), view.key, method, ind, TOP)[0]
+
+
+def _public_share(view: View, method: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        summary = rank_rows(_found(view, method)(spark, folder), view.key, method, 0, TOP)[1]
+        return summary.select("selected", "rows", rounded("share"))
+
+    return query
+
+
+def _public_attributes(view: View, method: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        data = view.read_spread(spark, folder) if method == "ngram" else _found(view, method)(spark, folder)
+        above, _ = rank_attributes(data, view.key, method, WIDE_TOP)
+        score = "normalized_score" if method == "ngram" else "score"
+        return above.withColumn(score, F.round(score, 9))
+
+    return query
+
+
+def _public_table_score(view: View, method: str, function: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        _, score = rank_attributes(_found(view, method)(spark, folder), view.key, method, WIDE_TOP, function)
+        return score.select("function", rounded("table_score"))
+
+    return query
+
+
+register("detect_loda", lambda spark, folder: as_text(_found(NUM3, "loda")(spark, folder), NUM3.key), sql.loda_wide(NUM3))
+register(
+    "detect_ngram",
+    lambda spark, folder: _found(TEXT3, "ngram")(spark, folder).drop(*TEXT3.attrs),
+    sql.ngram_scores(TEXT3, 3, BAND),
+)
+register("rank_rows_loda", _public_rows(NUM3, "loda"), sql.rank_cutoff(NUM3, TOP))
+register("rank_rows_loda_share", _public_share(NUM3, "loda"), sql.rank_share(NUM3, TOP))
+register("rank_rows_loda_graph", _public_rows(NUM3, "loda", 1), sql.graph_ranked(NUM3, TOP))
+register("rank_rows_ngram", _public_rows(TEXT3, "ngram"), sql.ngram_ranked(TEXT3, 3, BAND, TOP))
+register("rank_attributes_loda", _public_attributes(NUM3, "loda"), sql.attributes_above(NUM3, WIDE_TOP))
+register(
+    "rank_attributes_ngram", _public_attributes(TEXT3, "ngram"), sql.ngram_attributes_above(TEXT3, 3, WIDE_TOP, WIDE_TOP)
+)
+for _function in ("mean", "median"):
+    register(f"rank_attributes_{_function}", _public_table_score(NUM3, "loda", _function), sql.attribute_summary(NUM3, _function))

@@ -287,9 +287,24 @@ def pagerank_converged(view: View, most: int) -> str:
     return f"WITH {pagerank_converged_ctes(view, most)} SELECT node, round(x, 9) AS rank FROM final"
 
 
-def pagerank_top(view: View, most: int, k: int) -> str:
+def pagerank_positions(view: View, most: int) -> str:
     return f"""WITH {pagerank_converged_ctes(view, most)}, r AS (SELECT node, round(x, 9) AS rank FROM final)
-        SELECT node, rank FROM r ORDER BY rank DESC, node LIMIT {k}"""
+        SELECT node, rank, row_number() OVER (ORDER BY rank DESC, node) - 1 AS position FROM r"""
+
+
+def graph_ranked(view: View, th: float) -> str:
+    return f"""WITH ranked AS ({pagerank_row_score(view)})
+        SELECT * FROM ranked WHERE pagerank_score > {_edge("pagerank_score", th)}"""
+
+
+def attributes_above(view: View, th: float) -> str:
+    return f"""WITH {attribute_scores_ctes(view)}
+        SELECT attr, name, round(score, 9) AS score FROM scores WHERE score > {1 - th}"""
+
+
+def ngram_attributes_above(view: View, n: int, band: float, th: float) -> str:
+    return f"""SELECT attr, name, score, maximum, normalized_score FROM ({ngram_attr_normalized(view, n, band)})
+        WHERE normalized_score > {1 - th}"""
 
 
 def pagerank_row_score(view: View) -> str:

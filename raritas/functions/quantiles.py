@@ -25,17 +25,13 @@ def exact_percentiles(df: DataFrame, group: str, value: str, share: float) -> di
     position = dict.fromkeys(sizes, share)
     wide = {g for g, n in sizes.items() if n > CLOSING_ROWS}
     while wide:
-        sketches = [
-            F.percentile_approx(
-                F.when(F.col(group) == g, F.col(value)),
-                _around(position[g], left[g]),
-                _ACCURACY,
-            ).alias(f"q{g}")
-            for g in wide
-        ]
-        row = df.where(_within(group, value, low, high)).agg(*sketches).first()
-        for g in wide:
-            low[g], high[g] = row[f"q{g}"]
+        # One sketch per group, combined on the map side; each knows all shares asked for and is read at its own two.
+        around = {g: _around(position[g], left[g]) for g in wide}
+        asked = sorted({share for pair in around.values() for share in pair})
+        sketch = F.percentile_approx(value, asked, _ACCURACY).alias("q")
+        rows = df.where(_within(group, value, low, high) & F.col(group).isin(list(wide))).groupBy(group).agg(sketch).collect()
+        for r in rows:
+            low[r[group]], high[r[group]] = (r["q"][asked.index(share)] for share in around[r[group]])
         inside = _within(group, value, low, high)
         under = F.col(value) < _bound(group, low)
         counts = (

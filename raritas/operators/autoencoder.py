@@ -1,9 +1,10 @@
 """Autoencoder detector: small dense networks trained on shards of the sample and averaged.
 
 For every feature set one network reads the product of the set's attributes, standardised. Training is data
-parallel: each shard of the sample runs some epochs from the common weights, the results are averaged weighted by
-shard size (McMahan et al., 2017), and the next round starts from there. With one shard this is ordinary
-mini-batch training.
+parallel: each shard of the sample runs some epochs from the common state, the states (weights and optimizer moments)
+are averaged weighted by shard size (McMahan et al., 2017), and the next round starts from there. The number of shards
+and the epochs of a round are settings, whatever the size of the table. With one shard the average is that shard's
+state, so the rounds add up to ordinary mini-batch training.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from raritas.operators.flags import collate_scores
 from raritas.operators.iforest import as_list_array
 from raritas.operators.sampling import key_hash
 
-SHARD_ROWS = 100_000
 LOCAL_EPOCHS = 5
+# Networks that one task trains on its shard; the rows of a shard are sent once for as many.
+NETWORKS_PER_TASK = 64
 _MERGE_FAN_IN = 64
 
 
@@ -119,10 +121,16 @@ def gradient(spec: NetSpec, flat: np.ndarray, x: np.ndarray, rng: np.random.Gene
     return np.concatenate([piece.ravel() for pair in reversed(parts) for piece in pair])
 
 
-def train_local(spec: NetSpec, flat: np.ndarray, x: np.ndarray, epochs: int, rng: np.random.Generator) -> np.ndarray:
-    """Mini-batch Adam over the rows of one shard."""
-    flat = flat.copy()
-    first, second, step = np.zeros_like(flat), np.zeros_like(flat), 0
+def fresh_state(spec: NetSpec, rng: np.random.Generator) -> np.ndarray:
+    """Initial weights, both moments and the number of steps, in one vector."""
+    flat = initial_weights(spec, rng)
+    return np.concatenate([flat, np.zeros(2 * len(flat) + 1)])
+
+
+def train_local(spec: NetSpec, state: np.ndarray, x: np.ndarray, epochs: int, rng: np.random.Generator) -> np.ndarray:
+    """Mini-batch Adam over the rows of one shard, from a state to a state."""
+    flat, first, second = (part.copy() for part in np.split(state[:-1], 3))
+    step = state[-1]
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for start in range(0, len(x), spec.batch):
@@ -132,47 +140,69 @@ def train_local(spec: NetSpec, flat: np.ndarray, x: np.ndarray, epochs: int, rng
             second = 0.999 * second + 0.001 * g * g
             rate = spec.learning_rate * math.sqrt(1.0 - 0.999**step) / (1.0 - 0.9**step)
             flat -= rate * first / (np.sqrt(second) + 1e-7)
-    return flat
+    return np.concatenate([flat, first, second, [step]])
+
+
+@dataclass(frozen=True)
+class Network:
+    """A network to train: each input is a product of attributes, standardised; rows of ``skip`` are left out."""
+
+    spec: NetSpec
+    inputs: tuple[tuple[int, ...], ...]
+    mean: tuple[float, ...]
+    scale: tuple[float, ...]
+    skip: int | None = None
+
+    def read(self, table: np.ndarray) -> np.ndarray:
+        columns = [reduce(np.multiply, [table[:, a] for a in attrs]) for attrs in self.inputs]
+        return (np.column_stack(columns) - np.array(self.mean)) / np.array(self.scale)
 
 
 def train_networks(
-    rows: DataFrame, specs: dict[int, NetSpec], shards: int, seed: int = 0, local_epochs: int = LOCAL_EPOCHS
-) -> dict[int, np.ndarray]:
-    """Train one network per model number on (model, shard, _order, x) rows, ``x`` an array of doubles.
+    rows: DataFrame, networks: list[Network], shards: int, seed: int = 0, local_epochs: int = LOCAL_EPOCHS
+) -> list[np.ndarray]:
+    """Weights of each network, trained on (shard, fold, _order, v) rows, ``v`` the array of attributes.
 
-    A group is one shard for one model. Only weights travel: to the tasks by broadcast, back through a two-level
-    weighted mean, so that no task gathers the weights of all shards.
+    A group is one shard for a block of networks, so rows are sent once per block and never once per network. Only
+    states travel: to the tasks by broadcast, back through a two-level weighted mean, so that no task gathers the states
+    of all shards.
     """
     spark = rows.sparkSession
     ship_package(spark)
-    weights = {m: initial_weights(s, np.random.default_rng([seed, m])) for m, s in specs.items()}
-    rows = rows.repartition(max(task_count(spark), shards), "model", "shard").persist()
-    rounds = max(math.ceil(s.epochs / local_epochs) for s in specs.values()) if shards > 1 else 1
+    states = {m: fresh_state(n.spec, np.random.default_rng([seed, m])) for m, n in enumerate(networks)}
+    blocks = math.ceil(len(networks) / NETWORKS_PER_TASK)
+    sent = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else rows.withColumn("block", F.lit(0))
+    sent = sent.repartition(max(task_count(spark), shards * blocks), "block", "shard").persist()
     try:
-        for number in range(rounds):
-            shared = spark.sparkContext.broadcast((weights, specs))
+        for number in range(max(math.ceil(n.spec.epochs / local_epochs) for n in networks)):
+            shared = spark.sparkContext.broadcast((states, networks))
 
             def local(group: pd.DataFrame) -> pd.DataFrame:
-                model, shard = int(group["model"].iloc[0]), int(group["shard"].iloc[0])
+                block, shard = int(group["block"].iloc[0]), int(group["shard"].iloc[0])
                 known, settings = shared.value
-                spec = settings[model]
-                epochs = spec.epochs if rounds == 1 else min(local_epochs, spec.epochs - number * local_epochs)
-                flat = known[model]
-                if epochs > 0:
-                    x = np.stack(group.sort_values("_order")["x"].to_numpy())
-                    flat = train_local(spec, flat, x, epochs, np.random.default_rng([seed, model, shard, number]))
-                return pd.DataFrame({"model": [model], "shard": [shard], "size": [float(len(group))], "w": [flat]})
-
-            trained = rows.groupBy("model", "shard").applyInPandas(local, "model int, shard int, size double, w array<double>")
-            weights.update(_averaged(trained, shards))
+                group = group.sort_values("_order")
+                table, fold = np.stack(group["v"].to_numpy()).astype(np.float64), group["fold"].to_numpy()
+                lines = []
+                for m in range(block * NETWORKS_PER_TASK, min(len(settings), (block + 1) * NETWORKS_PER_TASK)):
+                    network = settings[m]
+                    x = network.read(table if network.skip is None else table[fold != network.skip])
+                    epochs = min(local_epochs, network.spec.epochs - number * local_epochs)
+                    state = known[m]
+                    if epochs > 0 and len(x):
+                        state = train_local(network.spec, state, x, epochs, np.random.default_rng([seed, m, shard, number]))
+                    lines.append((m, shard, float(len(x)), state))
+                return pd.DataFrame(lines, columns=["model", "shard", "size", "w"])
+
+            trained = sent.groupBy("block", "shard").applyInPandas(local, "model int, shard int, size double, w array<double>")
+            states.update(_averaged(trained.where("size > 0"), shards))
             shared.unpersist()
     finally:
-        rows.unpersist()
-    return weights
+        sent.unpersist()
+    return [states[m][: (len(states[m]) - 1) // 3] for m in range(len(networks))]
 
 
 def _averaged(trained: DataFrame, shards: int) -> dict[int, np.ndarray]:
-    """Weights per model, averaged over shards by their sizes."""
+    """States per model, averaged over shards by their sizes."""
     vectors = trained.select("model", "shard", "size", array_to_vector("w").alias("w"))
     merged = vectors
     if shards > 1:
@@ -249,12 +279,18 @@ def fit_autoencoder(
     spec: NetSpec,
     contamination: float = 0.1,
     seed: int = 0,
-    shard_rows: int = SHARD_ROWS,
+    shards: int = 1,
     local_epochs: int = LOCAL_EPOCHS,
 ) -> AutoencoderModel:
-    """Train a network per feature set on ``sample`` and take thresholds from the training errors."""
+    """Train a network per feature set on ``sample`` and take thresholds from the training errors.
+
+    The sample is dealt out to ``shards`` tasks by a hash of its keys; one task holds one shard, so a large sample needs
+    a number of shards to match. Training takes ``epochs / local_epochs`` rounds, whatever their number.
+    """
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must be a share up to one half")
+    if shards < 1 or local_epochs < 1:
+        raise ValueError("shards and local_epochs must be positive")
     sets = feature_sets(len(attrs))
     products = [product_of(attrs, s) for s in sets]
     stats = sample.agg(
@@ -265,16 +301,16 @@ def fit_autoencoder(
         raise ValueError("the training sample is empty")
     mean = [stats[f"mean{i}"] for i in range(len(sets))]
     scale = [stats[f"std{i}"] or 1.0 for i in range(len(sets))]
-    shards = math.ceil(stats["rows"] / shard_rows)
     hashed = key_hash(key, seed + 3)
-    units = F.array(
-        *[F.struct(F.lit(i).alias("model"), F.array((p - F.lit(mean[i])) / F.lit(scale[i])).alias("x")) for i, p in enumerate(products)]
-    )
     rows = sample.select(
-        F.pmod(F.xxhash64(hashed), F.lit(shards)).cast("int").alias("shard"), hashed.alias("_order"), F.inline(units)
+        F.pmod(F.xxhash64(hashed), F.lit(shards)).cast("int").alias("shard"),
+        F.lit(-1).alias("fold"),
+        hashed.alias("_order"),
+        F.array(*[F.col(a).cast("double") for a in attrs]).alias("v"),
     )
-    weights = train_networks(rows, dict.fromkeys(range(len(sets)), spec), shards, seed, local_epochs)
-    model = AutoencoderModel(attrs, sets, spec, mean, scale, [weights[i] for i in range(len(sets))])
+    networks = [Network(spec, (s.features,), (mean[i],), (scale[i],)) for i, s in enumerate(sets)]
+    weights = train_networks(rows, networks, shards, seed, local_epochs)
+    model = AutoencoderModel(attrs, sets, spec, mean, scale, weights)
     scored = sample.select(F.posexplode(model.scores_column(sample.sparkSession)).alias("i", "score")).persist()
     cuts = exact_percentiles(scored, "i", "score", 1 - contamination)
     scored.unpersist()

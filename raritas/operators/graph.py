@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from raritas.functions import runtime
 from raritas.functions.runtime import cut_lineage
 from raritas.operators.flags import flagged_cells, flagged_links
+from raritas.sources.tables import with_row_id
 
 # A node with more out-going arcs than this is split, so that no task holds all arcs of a hot value.
 ARCS_PER_PIECE = 100_000
@@ -150,6 +151,11 @@ def rank_order(ranks: DataFrame) -> DataFrame:
     return ranks.orderBy(F.desc("rank"), "node")
 
 
+def rank_positions(ranks: DataFrame) -> DataFrame:
+    """All nodes with ``position`` 0, 1, 2, ... by falling rank; numbered range by range, without a common task."""
+    return with_row_id(rank_order(ranks), "position")
+
+
 def pagerank_score(table: DataFrame, key: str, attrs: list[str], nodes: DataFrame) -> DataFrame:
     """(key, pagerank_score): nodes first seen in the row, times the number of nodes less one.
 

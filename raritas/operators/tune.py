@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raritas.functions.quantiles import exact_percentiles
-from raritas.operators.autoencoder import SHARD_ROWS, NetSpec, reconstruction_error, train_networks
+from raritas.functions.runtime import cut_lineage
+from raritas.operators.autoencoder import Network, NetSpec, reconstruction_error, train_networks
 from raritas.operators.evaluate import stratified_folds
 from raritas.operators.featuresets import FeatureSet
 from raritas.operators.iforest import (
@@ -55,51 +55,56 @@ def search_iforest(
 ) -> DataFrame:
     """(candidate, trees, accuracy, fits): mean accuracy over all folds; ``label`` is 1 for outliers.
 
-    A fold's forest is grown once at its largest size: its first trees are the smaller candidates. Training reads a
-    hash-drawn pool whose size follows from the number of trees; every row is scored by the forest of its fold.
+    All repeats and folds are one frame: a row has its fold in every repeat, and (repeat, fold) is the number of a
+    forest. A forest is grown once at its largest size: its first trees are the smaller candidates. Training reads a
+    hash-drawn pool whose size follows from the number of trees; every row is scored by the forests of its folds.
     """
-    parts = [_forest_repeat(df, key, attrs, label, list(trees), splits, psi, seed + r) for r in range(repeats)]
-    per_fold = reduce(DataFrame.unionByName, parts)
-    sizes = F.array(*map(F.lit, trees))
-    scored = per_fold.groupBy("candidate").agg(F.avg("accuracy").alias("accuracy"), F.count(F.lit(1)).alias("fits"))
-    return scored.select("candidate", F.get(sizes, F.col("candidate")).alias("trees"), "accuracy", "fits")
-
-
-def _forest_repeat(
-    df: DataFrame, key: str, attrs: list[str], label: str, trees: list[int], splits: int, psi: int, seed: int
-) -> DataFrame:
-    most = max(trees)
-    folds = stratified_folds(df.select(key, *attrs, label), key, label, splits, 1, seed)
+    trees, most = list(trees), max(trees)
+    dealt = stratified_folds(df.select(key, *attrs, label), key, label, splits, repeats, seed)
+    folds = cut_lineage(
+        dealt.groupBy(key, label, *attrs).agg(F.sort_array(F.collect_list(F.struct("repeat", "fold"))).alias("_f"))
+        .select(key, label, *attrs, F.col("_f.fold").alias("folds"))
+    )
     pool, _, _ = sample_rows(folds, key, lambda n: min(n, 2 * most * psi), seed)
     # Each pool row trains the forests of all folds but its own.
-    others = F.filter(F.sequence(F.lit(0), F.lit(splits - 1)), lambda f: f != F.col("fold"))
-    pool = pool.withColumn("forest", F.explode(others)).select(key, "forest", *attrs).persist()
+    others = F.flatten(
+        F.transform(
+            "folds", lambda own, r: F.transform(F.filter(F.sequence(F.lit(0), F.lit(splits - 1)), lambda f: f != own), lambda f: r * splits + f)
+        )
+    )
+    pool = cut_lineage(pool.withColumn("forest", F.explode(others)).select(key, "forest", *attrs))
     sizes = {r["forest"]: r["n"] for r in pool.groupBy("forest").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn, psi = deal_out(pool, sizes, key, attrs, most, psi, seed)
     whole = FeatureSet(0, tuple(range(len(attrs))), tuple(range(len(attrs))))
     packed = grow_forest(drawn, attrs, [whole], depth_limit(psi), seed)
-    pool.unpersist()
     norm = average_path(psi) or 1.0
     shared = df.sparkSession.sparkContext.broadcast({f: t for (f, _), t in packed.items()})
 
-    def outliers(fold: pa.Array, *columns: pa.Array) -> pa.Array:
-        folds_of_rows = fold.to_numpy(zero_copy_only=False)
-        table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
-        result = np.empty((len(table), len(trees)))
-        for f in np.unique(folds_of_rows):
-            rows = np.flatnonzero(folds_of_rows == f)
-            sums = np.cumsum(shared.value[int(f)].paths(table[rows]), axis=1)
-            for i, size in enumerate(trees):
-                result[rows, i] = 2.0 ** (-sums[:, size - 1] / size / norm) > AUTO_THRESHOLD
+    def right(marks: pa.Array, own: pa.Array, *columns: pa.Array) -> pa.Array:
+        """Whether each candidate of each repeat judges the row as marked, repeat by repeat."""
+        truth, table = marks.to_numpy(zero_copy_only=False), np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
+        forests = own.flatten().to_numpy(zero_copy_only=False).reshape(len(table), repeats)
+        result = np.empty((len(table), repeats * len(trees)))
+        for r in range(repeats):
+            for f in np.unique(forests[:, r]):
+                rows = np.flatnonzero(forests[:, r] == f)
+                sums = np.cumsum(shared.value[r * splits + int(f)].paths(table[rows]), axis=1)
+                for i, size in enumerate(trees):
+                    outlier = 2.0 ** (-sums[:, size - 1] / size / norm) > AUTO_THRESHOLD
+                    result[rows, r * len(trees) + i] = outlier == (truth[rows] == 1)
         return as_list_array(result)
 
-    judged = F.arrow_udf(outliers, "array<double>")(F.col("fold"), *[F.col(a).cast("double") for a in attrs])
-    hits = folds.select("fold", label, F.posexplode(judged).alias("candidate", "outlier"))
-    return (
-        hits.groupBy("candidate", "fold")
-        .agg(F.avg((F.col("outlier") == F.col(label)).cast("double")).alias("accuracy"))
-        .select("candidate", "accuracy")
+    judged = F.arrow_udf(right, "array<double>")(F.col(label), F.col("folds"), *[F.col(a).cast("double") for a in attrs])
+    hits = folds.select("folds", F.posexplode(judged).alias("place", "right"))
+    repeat = F.floor(F.col("place") / len(trees)).cast("int")
+    per_fold = (
+        hits.select((F.col("place") % len(trees)).alias("candidate"), repeat.alias("repeat"), F.get("folds", repeat).alias("fold"), "right")
+        .groupBy("candidate", "repeat", "fold")
+        .agg(F.avg("right").alias("accuracy"))
     )
+    sizes_of = F.array(*map(F.lit, trees))
+    scored = per_fold.groupBy("candidate").agg(F.avg("accuracy").alias("accuracy"), F.count(F.lit(1)).alias("fits"))
+    return scored.select("candidate", F.get(sizes_of, F.col("candidate")).alias("trees"), "accuracy", "fits")
 
 
 @dataclass(frozen=True)
@@ -124,15 +129,19 @@ def search_autoencoder(
     repeats: int = 3,
     contamination: float = 0.1,
     seed: int = 1,
-    shard_rows: int = SHARD_ROWS,
+    shards: int = 1,
+    fit_rows: int | None = None,
 ) -> DataFrame:
     """(candidate, layers, epochs, activation, batch, accuracy, fits); ``label`` is 1 for outliers.
 
-    One network per candidate and fold reads all attributes at once. Networks train side by side, each on shards
-    of the rows outside its fold.
+    One network per candidate and fold reads all attributes at once. A task trains a block of networks on its shard of
+    the rows, each on those outside its fold. ``fit_rows`` bounds the labelled rows that the search uses, drawn by a
+    hash of their keys; without it all are used.
     """
+    if fit_rows is not None:
+        df, _, _ = sample_rows(df, key, lambda n: min(n, fit_rows), seed)
     specs = grid.specs(len(attrs))
-    parts = [_net_repeat(df, key, attrs, label, specs, splits, contamination, seed + r, shard_rows) for r in range(repeats)]
+    parts = [_net_repeat(df, key, attrs, label, specs, splits, contamination, seed + r, shards) for r in range(repeats)]
     scored = (
         reduce(DataFrame.unionByName, parts)
         .groupBy("candidate")
@@ -161,7 +170,7 @@ def _net_repeat(
     splits: int,
     contamination: float,
     seed: int,
-    shard_rows: int,
+    shards: int,
 ) -> DataFrame:
     spark = df.sparkSession
     folds = stratified_folds(df.select(key, label, *[F.col(a).cast("double").alias(a) for a in attrs]), key, label, splits, 1, seed)
@@ -178,43 +187,27 @@ def _net_repeat(
     )
     mean = {r["train"]: [r[f"mean{i}"] for i in range(len(attrs))] for r in stats}
     scale = {r["train"]: [r[f"std{i}"] or 1.0 for i in range(len(attrs))] for r in stats}
-    shards = max(1, math.ceil(max(r["rows"] for r in stats) / shard_rows))
-
-    def by_fold(values: dict[int, list[float]], i: int) -> Column:
-        return F.get(F.array(*[F.lit(values[f][i]) for f in range(splits)]), F.col("train"))
-
-    x = F.array(*[(F.col(a) - by_fold(mean, i)) / by_fold(scale, i) for i, a in enumerate(attrs)])
     hashed = key_hash(key, seed)
-    rows = (
-        folds.withColumn("train", others)
-        .withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1))))
-        .select(
-            (F.col("candidate") * splits + F.col("train")).alias("model"),
-            F.pmod(F.xxhash64(hashed), F.lit(shards)).cast("int").alias("shard"),
-            hashed.alias("_order"),
-            x.alias("x"),
-        )
+    rows = folds.select(
+        F.pmod(F.xxhash64(hashed), F.lit(shards)).cast("int").alias("shard"), "fold", hashed.alias("_order"), F.array(*attrs).alias("v")
     )
-    models = {c * splits + f: replace(s) for c, s in enumerate(specs) for f in range(splits)}
-    weights = train_networks(rows, models, shards, seed)
-    shared = spark.sparkContext.broadcast((models, weights, mean, scale))
+    inputs = tuple((i,) for i in range(len(attrs)))
+    networks = [Network(s, inputs, tuple(mean[f]), tuple(scale[f]), f) for s in specs for f in range(splits)]
+    # One round: with one shard there is nothing to average in between, with more the average is taken at the end.
+    weights = train_networks(rows, networks, shards, seed, max(s.epochs for s in specs))
+    shared = spark.sparkContext.broadcast((networks, weights))
 
     def errors(*columns: pa.Array) -> pa.Array:
-        settings, known, means, scales = shared.value
+        known, trained = shared.value
         table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
-        result = np.empty((len(table), len(settings)))
-        for f in range(splits):
-            inputs = (table - np.array(means[f])) / np.array(scales[f])
-            for m in range(f, len(settings), splits):
-                result[:, m] = reconstruction_error(settings[m], known[m], inputs)
-        return as_list_array(result)
+        return as_list_array(np.column_stack([reconstruction_error(n.spec, w, n.read(table)) for n, w in zip(known, trained)]))
 
     scored = folds.select(
         "fold", label, F.posexplode(F.arrow_udf(errors, "array<double>")(*map(F.col, attrs))).alias("model", "error")
     ).persist()
     own = F.col("model") % splits == F.col("fold")
     cuts = exact_percentiles(scored.where(~own), "model", "error", 1 - contamination)
-    cut = F.get(F.array(*[F.lit(cuts[m]) for m in range(len(models))]), F.col("model"))
+    cut = F.get(F.array(*[F.lit(cuts[m]) for m in range(len(networks))]), F.col("model"))
     right = (F.col("error") > cut).cast("int") == F.col(label)
     result = scored.where(own).groupBy("model").agg(F.avg(right.cast("double")).alias("accuracy")).collect()
     scored.unpersist()

@@ -184,15 +184,17 @@ def test_training_lowers_the_error():
     spec = NetSpec((6, 2, 6), 1, "tanh", 16, inputs=2, output="linear", dropout=0.0, activity_l2=0.0)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 1)) * np.array([[1.0, 2.0]])
-    start = initial_weights(spec, rng)
-    trained = autoencoder.train_local(spec, start, x, 30, rng)
+    start = autoencoder.fresh_state(spec, rng)
+    size = (len(start) - 1) // 3
+    trained = autoencoder.train_local(spec, start, x, 30, rng)[:size]
+    start = start[:size]
     assert reconstruction_error(spec, trained, x).mean() < 0.5 * reconstruction_error(spec, start, x).mean()
 
 
-@pytest.mark.parametrize("shard_rows", [100_000, 120])
-def test_autoencoder_ranks_planted_points_first(cloud, shard_rows):
+@pytest.mark.parametrize("shards", [1, 4])
+def test_autoencoder_ranks_planted_points_first(cloud, shards):
     spec = NetSpec((8, 1, 8), 6, "relu", 32)
-    model = fit_autoencoder(cloud, "id", ATTRS, spec, shard_rows=shard_rows, local_epochs=3)
+    model = fit_autoencoder(cloud, "id", ATTRS, spec, shards=shards, local_epochs=3)
     scores = model.scores(cloud, "id").persist()
     for set_id in range(3):
         assert top_rows(scores, set_id) == set(range(PLANTED))
@@ -200,6 +202,40 @@ def test_autoencoder_ranks_planted_points_first(cloud, shard_rows):
     assert all(r["n"] <= 60 for r in flagged)
 
 
+def test_one_shard_in_rounds_is_one_uninterrupted_training():
+    spec = NetSpec((4, 1, 4), 6, "tanh", 16, dropout=0.0)
+    x = np.random.default_rng(3).normal(size=(64, 1))
+    start = autoencoder.fresh_state(spec, np.random.default_rng(4))
+
+    class InOrder:
+        def permutation(self, n):
+            return np.arange(n)
+
+        def random(self, shape):
+            return np.ones(shape)
+
+    whole = autoencoder.train_local(spec, start, x, 6, InOrder())
+    parts = start
+    for _ in range(3):
+        parts = autoencoder.train_local(spec, parts, x, 2, InOrder())
+    assert parts == pytest.approx(whole) and whole[-1] == 24
+
+
+def test_profiles_are_named(cloud):
+    from raritas.plans.settings import PROFILES, choose_settings
+
+    assert choose_settings("by_rows", 10_000) == PROFILES["small"] and choose_settings("by_rows", 10_001) == PROFILES["big"]
+    assert choose_settings("big", 5) == PROFILES["big"]
+    with pytest.raises(ValueError):
+        choose_settings("medium", 5)
+
+
+def test_trees_split_on_any_of_200_attributes():
+    rng = np.random.default_rng(8)
+    grown = [grow_tree(rng.normal(size=(256, 200)), 8, rng) for _ in range(5)]
+    assert max(feature.max() for feature, _, _ in grown) > 127
+
+
 @pytest.mark.parametrize("method", ["loda", "IF", "AE"])
 def test_detect_then_rank(cloud, method):
     flagged = detect(cloud, "id", method, settings=SETTINGS)
