@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -29,6 +30,13 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results were written: its cleaner acts on what the driver's
+    garbage collections find, and these may be far apart."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``keys`` (distinct values, counted; broadcast only when few)."""
     few = keys.count() <= BROADCAST_ROWS
@@ -37,7 +45,8 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 def unit_interval(*parts: Column | str) -> Column:
     """A number in [0, 1) from the first 52 bits of the md5 of the parts joined by colons (null: the empty string)."""
-    joined = F.concat_ws(":", *[F.coalesce(F.col(p).cast("string") if isinstance(p, str) else p, F.lit("")) for p in parts])
+    named = [F.col(p) if isinstance(p, str) else p for p in parts]
+    joined = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in named])
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 

@@ -7,7 +7,8 @@ Method: a candidate is a maximal run of at least ``window`` token characters (A-
 smallest of hex (0-9a-f or 0-9A-F), alnum and base64 that holds all its characters. A window slides over it; counts per
 character are updated by the character that enters and the one that leaves, and with them the entropy in bits. Windows
 at or above the class threshold that mix letters and digits are joined to spans (kinds ``entropy_hex``,
-``entropy_alnum``, ``entropy_base64``). A candidate on the allow list is suppressed; base spans never are.
+``entropy_alnum``, ``entropy_base64``). A candidate on the allow list is suppressed, and so is a span that lies within a
+base span; base spans never are.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,6 +105,18 @@ def entropy_spans(text: str, window: int, thresholds: dict[str, float], allowed:
     return found
 
 
+def beyond(spans: list[Span], base: list[Span]) -> list[Span]:
+    """Spans that do not lie within a base span."""
+    starts, ends = sorted(s[0] for s in base), sorted((s[0], s[1]) for s in base)
+    reach = list(accumulate((end for _, end in ends), max))  # the farthest end of all spans that begin so far
+
+    def covered(span: Span) -> bool:
+        before = bisect_right(starts, span[0])
+        return before > 0 and reach[before - 1] >= span[1]
+
+    return [s for s in spans if not covered(s)]
+
+
 def joined(spans: list[Span]) -> str:
     ordered = sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in ordered)
@@ -137,7 +152,7 @@ def scan_secrets(
                 for i in pa.compute.indices_nonzero(hits).to_pylist():
                     whole = texts[i].as_py()
                     base = base_spans(whole)
-                    found = base + entropy_spans(whole, window, limits, allow)
+                    found = base + beyond(entropy_spans(whole, window, limits, allow), base)
                     counts = [sum(kind == k for _, _, kind in base) for k in KINDS[:3]]
                     rows[i] = (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), len(found) - len(base))
                 columns = [pa.array(list(c), schema_field) for c, schema_field in zip(zip(*rows, strict=True), (pa.int64(),) * 3 + (pa.string(),) * 2 + (pa.int64(),), strict=True)]

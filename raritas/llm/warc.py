@@ -46,7 +46,8 @@ def mark_revisits(pages: DataFrame, key: str, url: str, html: str, least: int =
         joined = marked.join(F.broadcast(groups), "digest", "left")
     else:  # decide on narrow rows first, so that payloads are moved by their keys and never by a common digest
         decided = narrow.join(groups, "digest").where(~F.col("key").eqNullSafe(F.col("response"))).distinct()
-        joined = marked.join(decided, (marked["key"].eqNullSafe(decided["key"])) & (marked["digest"] == decided["digest"]), "left").drop(decided["key"]).drop(decided["digest"])
+        decided = decided.withColumnsRenamed({"key": "d_key", "digest": "d_digest"})
+        joined = marked.join(decided, F.col("key").eqNullSafe(F.col("d_key")) & (F.col("digest") == F.col("d_digest")), "left")
     revisit = F.col("response").isNotNull() & ~F.col("key").eqNullSafe(F.col("response")) & (F.col("bytes") >= least)
     return joined.select("key", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("response")).alias("refers_to"))
 
