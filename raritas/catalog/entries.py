@@ -359,7 +359,8 @@ ITEM_KEYS = ["l_orderkey", "l_linenumber"]
 
 
 def _random_cuts(spark: SparkSession, folder: str) -> DataFrame:
-    items = spread(spark.read.parquet(f"{folder}/lineitem.parquet").select(*ITEM_KEYS, *ITEM), "l_orderkey")
+    # Spread and written once; fitting and scoring pass over it several times.
+    items = cut_lineage(spread(spark.read.parquet(f"{folder}/lineitem.parquet").select(*ITEM_KEYS, *ITEM), "l_orderkey"))
     model = fit_random_cuts(items, ITEM)
     return model.scores(items).select(*ITEM_KEYS, rounded("score", 6), "is_outlier")
 

@@ -26,6 +26,8 @@ def workbook_bytes(rows: pd.DataFrame) -> bytes:
         for v in values:
             if isinstance(v, str):
                 cells.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>')
+            elif v is None or v != v:
+                cells.append("<c/>")
             else:
                 cells.append(f"<c><v>{v!r}</v></c>")
         return "<row>" + "".join(cells) + "</row>"

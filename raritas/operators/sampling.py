@@ -27,7 +27,7 @@ def sample_rows(df: DataFrame, key: str, size, seed: int = 0) -> tuple[DataFrame
     The sample is a plain filter ``hash <= cut``: nothing is sorted or shuffled, and every run keeps the same
     rows. The cut is found by counting rows per leading hash digits (4096 counters, combined before the
     shuffle) and looking closer at the one counter the cut falls into, until few hashes are left there.
-    Keys must be unique.
+    Equal keys cannot be told apart: a cut that would fall between them is an error.
     """
     hashed = key_hash(key, seed)
     keys = df.select(hashed.alias("h"))
@@ -55,5 +55,10 @@ def sample_rows(df: DataFrame, key: str, size, seed: int = 0) -> tuple[DataFrame
             # 'g' follows every hexadecimal digit, so this takes in all hashes with the prefix.
             return df.where(hashed < F.lit(prefix + "g")), total, wanted
         if n <= _FEW or len(prefix) == 32:
-            last = keys.where(F.col("h").startswith(prefix)).orderBy("h").limit(wanted - below).collect()[-1]["h"]
-            return df.where(hashed <= F.lit(last)), total, wanted
+            left = wanted - below
+            if n > _FEW:
+                raise ValueError(f"{n} rows have one key; keys must be unique")
+            last = [r["h"] for r in keys.where(F.col("h").startswith(prefix)).orderBy("h").limit(left + 1).collect()]
+            if last[left - 1] == last[left]:
+                raise ValueError("the sample would part rows with one key; keys must be unique")
+            return df.where(hashed <= F.lit(last[left - 1])), total, wanted

@@ -24,7 +24,8 @@ _BATCH = 10_000
 def read_workbooks(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """First sheet of every workbook under ``path``; the first row names the columns.
 
-    Without a schema, the header and the first data row of one workbook decide names and types.
+    Without a schema all rows of all workbooks are read once more for it: a column is a double if all its cells are
+    numbers, a boolean if all are booleans, else a string.
     """
     return parse_workbooks(spark.read.format("binaryFile").load(path).select("path", "content"), schema)
 
@@ -32,7 +33,7 @@ def read_workbooks(spark: SparkSession, path: str, schema: T.StructType | str |
 def parse_workbooks(files: DataFrame, schema: T.StructType | str | None = None) -> DataFrame:
     """Rows of the workbooks held in the binary column ``content``."""
     if schema is None:
-        schema = _infer(bytes(files.select("content").first()["content"]))
+        schema = _infer(files)
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     names = schema.fieldNames()
@@ -58,15 +59,28 @@ def parse_workbooks(files: DataFrame, schema: T.StructType | str | None = None)
     return parsed.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def _infer(content: bytes) -> T.StructType:
-    cells = _sheet_rows(content)
-    header, first = next(cells, []), next(cells, [])
-    fields = []
-    for i, name in enumerate(header):
-        value = first[i] if i < len(first) else None
-        kind = T.DoubleType() if isinstance(value, float) else T.BooleanType() if isinstance(value, bool) else T.StringType()
-        fields.append(T.StructField(str(name), kind))
-    return T.StructType(fields)
+def _infer(files: DataFrame) -> T.StructType:
+    """Names in the order of their first places, and types by all cells; one row per file and column is gathered."""
+    ship_package(files.sparkSession)
+
+    def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                cells = _sheet_rows(content)
+                header = [str(name) for name in next(cells, [])]
+                seen = [set() for _ in header]
+                for row in cells:
+                    for kind, value in zip(seen, row):
+                        if value is not None:
+                            kind.add("boolean" if isinstance(value, bool) else "double" if isinstance(value, float) else "string")
+                lines = [(name, place, "string" if len(kind) > 1 else "".join(kind)) for place, (name, kind) in enumerate(zip(header, seen))]
+                yield pd.DataFrame(lines, columns=["name", "place", "kind"])
+
+    found = files.select("content").mapInPandas(kinds, "name string, place int, kind string")
+    columns = found.groupBy("name").agg(F.min("place").alias("place"), F.collect_set(F.when(F.col("kind") != "", F.col("kind"))).alias("kinds"))
+    rows = sorted(columns.collect(), key=lambda r: (r["place"], r["name"]))  # as many rows as columns
+    names = {"double": T.DoubleType(), "boolean": T.BooleanType()}
+    return T.StructType([T.StructField(r["name"], names.get(r["kinds"][0], T.StringType()) if len(r["kinds"]) == 1 else T.StringType()) for r in rows])
 
 
 def _text(value) -> str | None:

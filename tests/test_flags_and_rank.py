@@ -129,3 +129,13 @@ def test_attribute_scores(spark):
     assert attributes.attributes_above(scores.withColumn("score", F.lit(0.95))).count() == 4
     with pytest.raises(ValueError):
         attributes.table_score(scores, "mode")
+
+
+def test_equal_keys_are_not_parted(spark):
+    from raritas.operators.sampling import sample_rows
+
+    with pytest.raises(ValueError):
+        sample_rows(spark.createDataFrame([(1,), (1,)], "id long"), "id", lambda n: 1)
+    with pytest.raises(ValueError):
+        sample_rows(spark.range(20_001).select((F.col("id") * 0).alias("id")), "id", lambda n: 5)
+    assert sample_rows(spark.createDataFrame([(1,), (1,), (2,)], "id long"), "id", lambda n: 3)[2] == 3

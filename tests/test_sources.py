@@ -32,6 +32,19 @@ def test_folder_of_workbooks(spark, tmp_path):
     assert sorted(r["id"] for r in typed.collect()) == [0, 1, 10, 11, 20, 21]
 
 
+def test_workbook_types_follow_all_rows(spark, tmp_path):
+    folder = tmp_path / "odd.xlsx"
+    folder.mkdir()
+    first = pd.DataFrame({"n": [None, 2.0, 3.0], "mixed": [1.0, 2.0, 3.0], "none": [None, None, None]}).astype(object)
+    second = pd.DataFrame({"n": [4.0], "mixed": ["text"], "more": [5.0]}).astype(object)
+    for name, rows in (("a", first), ("b", second)):
+        (folder / f"{name}.xlsx").write_bytes(workbook_bytes(rows.where(rows.notna(), None)))
+    table = read_table(spark, str(folder))
+    assert dict(table.dtypes) == {"n": "double", "mixed": "string", "none": "string", "more": "double"}
+    assert sorted(r["mixed"] for r in table.collect()) == ["1", "2", "3", "text"]
+    assert sorted(r["n"] for r in table.where("n is not null").collect()) == [2.0, 3.0, 4.0]
+
+
 def test_projections_and_missing_values(spark):
     df = spark.createDataFrame([(1, 2, "a", True), (2, None, None, False)], "id int, n int, s string, b boolean")
     assert numeric_projection(df, "id", "drop").columns == ["id", "n"]
