@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raritas.functions.runtime import cut_lineage, ship_package
-from raritas.llm.common import keyed_text, slices, strings_at, text_bytes
-from raritas.llm.shingles import mixed, run_hashes
+from raritas.llm.common import keyed_text, slices, text_bytes
+from raritas.llm.shingles import hash_spans, run_hashes
 
 WINDOW = 8
 LEAST_WORDS = 4
@@ -32,7 +32,7 @@ SHARE = 0.5
 AGREEMENT = 0.8
 # Item windows that are looked up in memory at once; more of them are looked up in further blocks of as many.
 BLOCK_WINDOWS = 2_000_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 # Units of measure and money.
 UNITS = frozenset(
@@ -47,47 +47,43 @@ _SEPARATOR = np.ones(256, dtype=bool)
 _SEPARATOR[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = False
 _SEPARATOR[128:] = False
 _SENTENCE_END = np.zeros(256, dtype=bool)
-_SENTENCE_END[list(b".!?\n:|\"")] = True
+_SENTENCE_END[list(b".!?:")] = True  # not the line end: texts are wrapped anew
 
 
-def word_hash(word: str) -> int:
-    """64-bit FNV-1a of the word's UTF-8 bytes, finalised."""
-    h = 0xCBF29CE484222325
-    for b in word.encode():
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return int(mixed(np.array([h], dtype=np.uint64))[0])
+def _changed(data: np.ndarray) -> np.ndarray:
+    """Places of the bytes that tell a capital letter (A-Z, and Latin-1 letters in UTF-8) from its small one by 0x20."""
+    upper = (data >= 0x41) & (data <= 0x5A)
+    if len(data) > 1:
+        upper[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    return upper
+
+
+def _hashes_of(words: list[str]) -> np.ndarray:
+    data = np.frombuffer("".join(words).encode(), dtype=np.uint8)
+    ends = np.cumsum([len(w.encode()) for w in words])
+    return hash_spans(data, ends - np.diff(ends, prepend=0), ends)
 
 
-def words_of(data: np.ndarray, bounds: np.ndarray, head_opens: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """All words of all rows, the bounds of each row among them, and whether each word begins a sentence.
+def words_of(data: np.ndarray, bounds: np.ndarray, head_opens: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of all words of all rows, the bounds of each row among them, and whether each begins a sentence.
 
     ``head_opens``: whether the first word of a row counts as one that does.
     """
-    gap = _SEPARATOR[data]
-    starts = ~gap
+    inside = ~_SEPARATOR[data]
+    starts, ends = inside.copy(), inside.copy()
     if len(data) > 1:
-        starts[1:] &= gap[:-1]
-    heads = bounds[:-1][bounds[:-1] < len(data)]
-    starts[heads] |= ~gap[heads]
-    begin = np.flatnonzero(starts)
-    gone = np.flatnonzero(gap)
-    edges = np.concatenate((begin - np.searchsorted(gone, begin), [len(data) - len(gone)]))
+        starts[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+    heads, tails = bounds[:-1][bounds[:-1] < len(data)], bounds[1:][bounds[1:] > 0] - 1
+    starts[heads] |= inside[heads]
+    ends[tails] |= inside[tails]
+    begin, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     rows = np.searchsorted(begin, bounds)
     stops = np.concatenate(([0], np.flatnonzero(_SENTENCE_END[data]) + 1))
     last_stop = stops[np.searchsorted(stops, begin, side="right") - 1] if len(begin) else begin
-    previous = np.concatenate(([-1], begin[:-1]))
-    opening = last_stop > previous
+    opening = last_stop > np.concatenate(([-1], begin[:-1]))
     opening[rows[:-1][rows[:-1] < len(begin)]] = head_opens
-    return strings_at(data[~gap], edges), rows, opening
-
-
-def classify(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each distinct word: hash in lower case, whether it has a digit, is a unit, is capitalised."""
-    hashes = np.fromiter((word_hash(w.lower()) for w in words), dtype=np.uint64, count=len(words))
-    digit = np.fromiter((any(c.isdigit() for c in w) for w in words), dtype=bool, count=len(words))
-    unit = np.fromiter((w.lower() in UNITS for w in words), dtype=bool, count=len(words))
-    capital = np.fromiter((w[:1].isupper() and w[1:].islower() for w in words), dtype=bool, count=len(words))
-    return hashes, digit, unit, capital
+    return begin, end, rows, opening
 
 
 def canonical(column: pa.Array, head_opens: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,14 +91,22 @@ def canonical(column: pa.Array, head_opens: bool = True) -> tuple[np.ndarray, np
 
     A number with a unit stuck to it is one ``number`` slot, as is the number alone, so that 5kg and 7kg agree.
     """
-    words, rows, opening = words_of(*text_bytes(column), head_opens)
-    coded = words.dictionary_encode()
-    at = coded.indices.to_numpy(zero_copy_only=False)
-    hashes, digit, unit, capital = (x[at] for x in classify(coded.dictionary.to_pylist()))
-    after_number = np.concatenate(([False], digit[:-1])) if len(at) else digit
-    after_number[rows[:-1][rows[:-1] < len(at)]] = False
-    kind = np.select([digit, unit & after_number, capital & ~opening], [NUMBER, UNIT, NAME], WORD)
-    slot_hash = np.array([0, *(word_hash(s) for s in SLOTS[1:])], dtype=np.uint64)
+    data, bounds = text_bytes(column)
+    begin, end, rows, opening = words_of(data, bounds, head_opens)
+    upper = _changed(data)
+    hashes = hash_spans(data + (upper.view(np.uint8) << 5), begin, end)
+
+    def within(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int32)))
+        return total[end] - total[begin]
+
+    digit = within((data >= 0x30) & (data <= 0x39)) > 0
+    first = begin + (data[begin] == 0xC3) if len(begin) else begin  # the byte that shows the case of the first letter
+    capital = upper[first] & (within(upper) == 1) & (end - first > 1) if len(begin) else digit
+    after_number = np.concatenate(([False], digit[:-1])) if len(begin) else digit
+    after_number[rows[:-1][rows[:-1] < len(begin)]] = False
+    kind = np.select([digit, after_number & np.isin(hashes, _hashes_of(sorted(UNITS))), capital & ~opening], [NUMBER, UNIT, NAME], WORD)
+    slot_hash = np.concatenate((np.zeros(1, dtype=np.uint64), _hashes_of(list(SLOTS[1:]))))
     return np.where(kind == WORD, hashes, slot_hash[kind]), kind, hashes, rows
 
 

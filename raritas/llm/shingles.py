@@ -35,9 +35,21 @@ def _hash_piece(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
+def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the ascending spans ``data[begin:end]``. Long data are hashed in pieces that end between spans."""
+    out = np.empty(len(begin), dtype=np.uint64)
+    first = 0
+    while first < len(begin):
+        stop = max(first + 1, int(np.searchsorted(end, begin[first] + PIECE_BYTES, side="right")))
+        a, z = begin[first], end[stop - 1]
+        out[first:stop] = _hash_piece(data[a:z], begin[first:stop] - a, end[first:stop] - a)
+        first = stop
+    return out
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs of bytes other than ASCII white space, A-Z in lower case) of all rows, and the bounds of
-    each row among them. Long batches are hashed in pieces that end between words."""
+    each row among them."""
     upper = (data >= 0x41) & (data <= 0x5A)
     data = data + (upper.view(np.uint8) << 5)
     blank = SPACES[data]
@@ -50,14 +62,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     tails = bounds[1:][bounds[1:] > 0] - 1
     ends[tails] |= ~blank[tails]
     begin, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    out = np.empty(len(begin), dtype=np.uint64)
-    first = 0
-    while first < len(begin):
-        stop = max(first + 1, int(np.searchsorted(end, begin[first] + PIECE_BYTES, side="right")))
-        a, z = begin[first], end[stop - 1]
-        out[first:stop] = _hash_piece(data[a:z], begin[first:stop] - a, end[first:stop] - a)
-        first = stop
-    return out, np.searchsorted(begin, bounds)
+    return hash_spans(data, begin, end), np.searchsorted(begin, bounds)
 
 
 def run_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
