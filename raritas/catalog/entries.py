@@ -13,15 +13,18 @@ from raritas.catalog.tables import DOC3, NUM2, NUM3, TEXT2, TEXT3, TEXT4, TEXT_L
 from raritas.catalog.workbook_bytes import as_workbooks
 from raritas.functions.runtime import cut_lineage, ensure_checkpoint_dir
 from raritas.operators import attributes, graph, ngram, rowrank
-from raritas.operators.autoencoder import product_features
+from raritas.operators.autoencoder import input_statistics, product_features
 from raritas.operators.evaluate import evaluate, stratified_folds
+from raritas.operators.featuresets import feature_sets
 from raritas.operators.flags import collate_long, long_flags, members
+from raritas.operators.iforest import fit_iforest
 from raritas.operators.loda import LodaModel, fit_loda
 from raritas.operators.random_cuts import fit_random_cuts, random_cuts
 from raritas.operators.sampling import train_sample
 from raritas.operators.tune import best, search_autoencoder, search_iforest
 from raritas.plans.detect import detect
 from raritas.plans.rank import rank_attributes, rank_rows
+from raritas.plans.settings import PROFILES
 from raritas.sources.tables import numeric_projection, read_table, spread, string_projection, with_row_id
 from raritas.sources.workbooks import parse_workbooks
 
@@ -406,6 +409,7 @@ register("stratified_folds", _folds, sql.stratified_folds(10, 3))
 # Parts that the sample is trained on side by side, and the labelled rows that the search of networks uses.
 SHARDS = 8
 FIT_ROWS = 400
+FEW_TREES = 10
 
 
 def _detected(method: str, profile: str = "small", compat: bool = False) -> Query:
@@ -425,6 +429,23 @@ def _ranked(method: str) -> Query:
     return query
 
 
+def _inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """What the networks of each feature set are standardised by, from the training sample."""
+    sets = feature_sets(len(NUM3.attrs))
+    sample = train_sample(NUM3.read(spark, folder), NUM3.key, SPLIT)
+    mean, scale = input_statistics(sample, list(NUM3.attrs), sets)
+    lines = [(s.label, round(m, 6), round(d, 6)) for s, m, d in zip(sets, mean, scale)]
+    return spark.createDataFrame(lines, "attrs string, mean double, deviation double")
+
+
+def _forest_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A forest of few trees over the whole table, few enough to be grown and walked in SQL as well."""
+    table = NUM3.read_spread(spark, folder)
+    sample = train_sample(table, NUM3.key, SPLIT)
+    model = fit_iforest(sample, NUM3.key, list(NUM3.attrs), feature_sets(len(NUM3.attrs)), FEW_TREES)
+    return model.scores(table, NUM3.key).select(NUM3.key, "attrs", rounded("score", 6), "is_outlier")
+
+
 def _search_forest(spark: SparkSession, folder: str) -> DataFrame:
     return best(search_iforest(labelled(spark, folder), "doc_id", list(DOC3.attrs), "truth"))
 
@@ -433,12 +454,14 @@ def _search_net(spark: SparkSession, folder: str) -> DataFrame:
     return best(search_autoencoder(labelled(spark, folder), "doc_id", list(DOC3.attrs), "truth", fit_rows=FIT_ROWS))
 
 
+register("iforest_scores_few_trees", _forest_scores, sql.iforest_scores(NUM3, FEW_TREES))
 register("iforest_flags", _detected("IF"))
-register("iforest_flags_big", _detected("IF", "big"))
+register("iforest_flags_big", _detected("IF", "big"), sql.iforest_wide(NUM3, PROFILES["big"].estimators))
 register("iforest_flags_compat", _detected("IF", compat=True))
 register("iforest_rank_rows", _ranked("IF"))
 register("autoencoder_flags", _detected("AE"))
 register("autoencoder_flags_big", _detected("AE", "big"))
+register("autoencoder_inputs", _inputs, sql.autoencoder_inputs(NUM3))
 register("autoencoder_rank_rows", _ranked("AE"))
 register("grid_search_iforest", _search_forest)
 register("grid_search_autoencoder", _search_net)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from raritas.catalog.tables import View
@@ -332,6 +333,83 @@ def attribute_summary(view: View, function: str) -> str:
     return f"""WITH {attribute_scores_ctes(view)} SELECT '{function}' AS function, round({sql}(score), 9) AS table_score FROM scores"""
 
 
+# ---------------------------------------------------------------- isolation forest
+
+
+def iforest_scores(view: View, trees: int, psi: int = 256, levels: int = 8, seed: int = 42, split: float = 0.5) -> str:
+    """A forest per feature set: sub-samples by hashes of the keys, trees level by level by hashes of their nodes.
+
+    For samples of at least ``psi`` rows, ``levels`` being log2(psi). Values a set does not have are null.
+    """
+    sets = _sets(len(view.attrs))
+    points = " UNION ALL ".join(
+        f"SELECT {i} AS set_id, {', '.join(f'a{c[k]} AS v{k}' if k < len(c) else f'NULL::DOUBLE AS v{k}' for k in range(3))}, * FROM {{0}}"
+        for i, c in sets
+    )
+    length = "CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE 2.0 * (ln(n - 1) + 0.57721566490153286) - 2.0 * (n - 1) / n END"
+    ctes = [
+        f"base AS ({view.base})",
+        sample_cte(split),
+        f"pool AS MATERIALIZED (SELECT * FROM smp QUALIFY row_number() OVER (ORDER BY md5(id || ':{seed + 1}')) <= {trees * psi})",
+        f"plan AS MATERIALIZED (SELECT count(*) // {psi} AS blocks, CAST(ceil({trees} / (count(*) // {psi})) AS BIGINT) AS deals FROM pool)",
+        f"dealt AS (SELECT p.*, blocks, d AS deal, (row_number() OVER (PARTITION BY d ORDER BY md5(md5(id || ':{seed + 2}') || ':0:' || d)) - 1)"
+        f" // {psi} AS block FROM pool p, plan, unnest(range(deals)) AS t(d))",
+        f"drawn AS MATERIALIZED (SELECT * EXCLUDE (blocks, deal, block), deal * blocks + block AS tree FROM dealt"
+        f" WHERE block < blocks AND deal * blocks + block < {trees})",
+        f"r0 AS MATERIALIZED (SELECT *, 0::BIGINT AS node FROM ({points.format('drawn')}))",
+    ]
+    # the place of the chosen one among the features that vary
+    usable = [f"coalesce((h{k} > l{k})::INTEGER, 0)" for k in range(3)]
+    pick = (
+        f"CASE WHEN u0 = 1 AND (num % (u0 + u1 + u2)) = 0 THEN 0 WHEN u1 = 1 AND (num % (u0 + u1 + u2)) = u0 THEN 1 ELSE 2 END"
+    )
+    for k in range(levels):
+        ends = ", ".join(f"min(v{j}) AS l{j}, max(v{j}) AS h{j}" for j in range(3))
+        flags = ", ".join(f"{usable[j]} AS u{j}" for j in range(3))
+        drawn = f"md5('{seed}:0:' || tree || ':' || set_id || ':' || node)"
+        ctes.append(
+            f"s{k} AS MATERIALIZED (SELECT *, {flags}, CAST('0x' || substr({drawn}, 1, 8) AS BIGINT) AS num,"
+            f" CAST('0x' || substr({drawn}, 9, 13) AS BIGINT) / 4503599627370496.0 AS share"
+            f" FROM (SELECT set_id, tree, node, count(*) AS n, {ends} FROM r{k} GROUP BY set_id, tree, node))"
+        )
+        ctes.append(
+            f"p{k} AS MATERIALIZED (SELECT set_id, tree, node, n, f, CASE f WHEN 0 THEN least(l0 + share * (h0 - l0), nextafter(h0, l0))"
+            f" WHEN 1 THEN least(l1 + share * (h1 - l1), nextafter(h1, l1)) WHEN 2 THEN least(l2 + share * (h2 - l2), nextafter(h2, l2)) END AS cut"
+            f" FROM (SELECT *, CASE WHEN n > 1 AND u0 + u1 + u2 > 0 THEN {pick} END AS f FROM s{k}))"
+        )
+        moved = "2 * r.node + CASE WHEN (CASE f WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END) <= cut THEN 1 ELSE 2 END AS node"
+        ctes.append(
+            f"r{k + 1} AS MATERIALIZED (SELECT r.* EXCLUDE (node), {moved} FROM r{k} r JOIN p{k} p"
+            f" ON r.set_id = p.set_id AND r.tree = p.tree AND r.node = p.node WHERE f IS NOT NULL)"
+        )
+    leaves = [f"SELECT set_id, tree, node, {k} + ({length}) AS path FROM p{k} WHERE f IS NULL" for k in range(levels)]
+    leaves.append(f"SELECT set_id, tree, node, {levels} + ({length}) AS path FROM (SELECT set_id, tree, node, count(*) AS n FROM r{levels} GROUP BY ALL)")
+    ctes.append(f"leaf AS MATERIALIZED ({' UNION ALL '.join(leaves)})")
+    ctes.append(f"w0 AS (SELECT *, 0::BIGINT AS node FROM ({points.format('base')}), unnest(range({trees})) AS t(tree))")
+    for k in range(levels):
+        value = "CASE f WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END"
+        ctes.append(
+            f"w{k + 1} AS (SELECT w.* EXCLUDE (node), CASE WHEN f IS NULL THEN w.node ELSE 2 * w.node + CASE WHEN ({value}) <= cut THEN 1 ELSE 2 END END AS node"
+            f" FROM w{k} w LEFT JOIN p{k} p ON w.set_id = p.set_id AND w.tree = p.tree AND w.node = p.node)"
+        )
+    labels = ", ".join(f"({i}, '{'-'.join(map(str, c))}')" for i, c in sets)
+    norm = 2.0 * (math.log(psi - 1) + 0.57721566490153286) - 2.0 * (psi - 1) / psi
+    return f"""WITH {', '.join(ctes)}, names(set_id, attrs) AS (VALUES {labels}),
+        scored AS (SELECT id, w.set_id AS set_id, pow(2.0, -avg(path) / {norm!r}) AS score
+            FROM w{levels} w JOIN leaf l ON w.set_id = l.set_id AND w.tree = l.tree AND w.node = l.node GROUP BY id, w.set_id)
+        SELECT id AS {view.key}, attrs, round(score, 6) AS score, score > 0.5 AS is_outlier FROM scored JOIN names USING (set_id)"""
+
+
+def iforest_wide(view: View, trees: int) -> str:
+    places = ", ".join(f"('{'-'.join(map(str, c))}', {i}, {len(c)})" for i, c in _sets(len(view.attrs)))
+    wide = ", ".join(
+        f"coalesce(string_agg(CASE WHEN arity = {r} AND is_outlier THEN attrs END, ',' ORDER BY set_id), '') AS {c}"
+        for r, c in ((1, '"single_IF"'), (2, '"pairs_IF"'), (3, '"triplets_IF"'))
+    )
+    return f"""SELECT {view.key}, {wide} FROM ({iforest_scores(view, trees)})
+        JOIN (VALUES {places}) AS t(attrs, set_id, arity) USING (attrs) GROUP BY {view.key}"""
+
+
 # ---------------------------------------------------------------- random cuts, products, labels
 
 
@@ -362,6 +440,15 @@ def product_features(table: str, keys: list[str], attrs: list[str]) -> str:
     return f"SELECT {', '.join(keys)}, {', '.join(columns)} FROM {table}"
 
 
+def autoencoder_inputs(view: View, split: float = 0.5) -> str:
+    lines = " UNION ALL ".join(
+        f"SELECT '{'-'.join(map(str, c))}' AS attrs, round(avg({' * '.join(f'a{a}' for a in c)}), 6) AS mean, "
+        f"round(coalesce(nullif(stddev_pop({' * '.join(f'a{a}' for a in c)}), 0), 1), 6) AS deviation FROM smp"
+        for _, c in _sets(len(view.attrs))
+    )
+    return f"WITH base AS ({view.base}), {sample_cte(split)} {lines}"
+
+
 def evaluate_flags(view: View) -> str:
     return f"""WITH {loda_ctes(view)},
         judged AS (SELECT id, CAST(bool_or(is_outlier) AS INTEGER) AS prediction FROM flag GROUP BY id),

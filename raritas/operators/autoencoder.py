@@ -272,6 +272,19 @@ class AutoencoderModel:
         return collate_scores(scored, "_scores", self.sets, cuts, "AE").drop("_scores")
 
 
+def input_statistics(sample: DataFrame, attrs: list[str], sets: list[FeatureSet]) -> tuple[list[float], list[float]]:
+    """Mean and deviation of the product of each set's attributes, in one pass; a deviation of 0 counts as 1."""
+    products = [product_of(attrs, s) for s in sets]
+    stats = sample.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.array(*[F.avg(p) for p in products]).alias("mean"),
+        F.array(*[F.stddev_pop(p) for p in products]).alias("std"),
+    ).first()
+    if stats["rows"] == 0:
+        raise ValueError("the training sample is empty")
+    return list(stats["mean"]), [std or 1.0 for std in stats["std"]]
+
+
 def fit_autoencoder(
     sample: DataFrame,
     key: str,
@@ -292,15 +305,7 @@ def fit_autoencoder(
     if shards < 1 or local_epochs < 1:
         raise ValueError("shards and local_epochs must be positive")
     sets = feature_sets(len(attrs))
-    products = [product_of(attrs, s) for s in sets]
-    stats = sample.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[f(p).alias(f"{n}{i}") for i, p in enumerate(products) for n, f in (("mean", F.avg), ("std", F.stddev_pop))],
-    ).first()
-    if stats["rows"] == 0:
-        raise ValueError("the training sample is empty")
-    mean = [stats[f"mean{i}"] for i in range(len(sets))]
-    scale = [stats[f"std{i}"] or 1.0 for i in range(len(sets))]
+    mean, scale = input_statistics(sample, attrs, sets)
     hashed = key_hash(key, seed + 3)
     rows = sample.select(
         F.pmod(F.xxhash64(hashed), F.lit(shards)).cast("int").alias("shard"),

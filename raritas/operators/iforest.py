@@ -7,7 +7,9 @@ broadcast to score all rows in Arrow batches.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -76,9 +78,22 @@ def deal_out(
     return dealt.select("forest", "tree", "_order", *[F.col(a).cast("double").alias(a) for a in attrs]), psi
 
 
-def grow_tree(points: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_draws(name: str) -> Callable[[int], tuple[int, float]]:
+    """For each node of a tree a whole number and a share in [0, 1), from the MD5 of ``name:node``."""
+
+    def draw(node: int) -> tuple[int, float]:
+        digits = hashlib.md5(f"{name}:{node}".encode()).hexdigest()
+        return int(digits[:8], 16), int(digits[8:21], 16) / 2.0**52
+
+    return draw
+
+
+def grow_tree(
+    points: np.ndarray, limit: int, draw: Callable[[int], tuple[int, float]]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One tree as heap-ordered arrays: split feature, split value, and path length per place at the lowest level.
 
+    A node's draw picks one of the features that vary in it and a value between their ends.
     A branch that ends early keeps going left, so that scoring takes the same number of steps for every row.
     """
     feature = np.zeros(2**limit - 1, dtype=np.int32)
@@ -93,8 +108,9 @@ def grow_tree(points: np.ndarray, limit: int, rng: np.random.Generator) -> tuple
         if len(usable) == 0:
             path[((node + 1) << (limit - depth)) - 2**limit] = depth + average_path(len(rows))
             continue
-        chosen = usable[rng.integers(len(usable))]
-        value = rng.uniform(low[chosen], high[chosen])
+        number, share = draw(node)
+        chosen = usable[number % len(usable)]
+        value = low[chosen] + share * (high[chosen] - low[chosen])
         feature[node], split[node] = chosen, min(value, np.nextafter(high[chosen], low[chosen]))
         left = inside[:, chosen] <= split[node]
         todo.append((2 * node + 1, depth + 1, rows[left]))
@@ -262,8 +278,8 @@ def grow_forest(
         table = rows[attrs].to_numpy(dtype=np.float64)
         lines = []
         for s in sets[part * _SETS_PER_TASK : (part + 1) * _SETS_PER_TASK]:
-            rng = np.random.default_rng([seed, forest, tree, s.set_id])
-            feature, split, path = grow_tree(table[:, list(s.features)], limit, rng)
+            draw = hashed_draws(f"{seed}:{forest}:{tree}:{s.set_id}")
+            feature, split, path = grow_tree(table[:, list(s.features)], limit, draw)
             lines.append((forest, tree, s.set_id, feature.tobytes(), split.tobytes(), path.tobytes()))
         return pd.DataFrame(lines, columns=["forest", "tree", "set_id", "feature", "split", "path"])
 

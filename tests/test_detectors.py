@@ -11,7 +11,7 @@ from raritas.operators import autoencoder, iforest, loda
 from raritas.operators.autoencoder import NetSpec, fit_autoencoder, gradient, initial_weights, reconstruction_error
 from raritas.operators.evaluate import evaluate, stratified_folds
 from raritas.operators.featuresets import feature_sets
-from raritas.operators.iforest import PackedTrees, average_path, fit_iforest, grow_tree
+from raritas.operators.iforest import PackedTrees, average_path, fit_iforest, grow_tree, hashed_draws
 from raritas.operators.loda import fit_loda
 from raritas.operators.random_cuts import fit_random_cuts, random_cuts
 from raritas.operators.sampling import sample_rows, train_sample
@@ -104,7 +104,7 @@ def test_average_path_and_tree_against_walk():
     assert average_path(256) == pytest.approx(2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)
     rng = np.random.default_rng(5)
     points = np.round(rng.normal(size=(64, 2)), 1)
-    feature, split, path = grow_tree(points, 6, rng)
+    feature, split, path = grow_tree(points, 6, hashed_draws("a"))
     trees = PackedTrees(feature[None], split[None], path[None])
     for x in points:
         node, depth = 0, 0
@@ -122,7 +122,7 @@ def trees_reached(trees, points):
 
 def test_step_function_equals_the_trees():
     rng = np.random.default_rng(2)
-    grown = [grow_tree(rng.normal(size=(50, 1)), 6, rng) for _ in range(7)]
+    grown = [grow_tree(rng.normal(size=(50, 1)), 6, hashed_draws(str(i))) for i in range(7)]
     trees = PackedTrees(*[np.stack(part) for part in zip(*grown)])
     breaks, values = trees.steps()
     x = np.concatenate([rng.normal(size=200), breaks])
@@ -232,7 +232,7 @@ def test_profiles_are_named(cloud):
 
 def test_trees_split_on_any_of_200_attributes():
     rng = np.random.default_rng(8)
-    grown = [grow_tree(rng.normal(size=(256, 200)), 8, rng) for _ in range(5)]
+    grown = [grow_tree(rng.normal(size=(256, 200)), 8, hashed_draws(str(i))) for i in range(5)]
     assert max(feature.max() for feature, _, _ in grown) > 127
 
 
