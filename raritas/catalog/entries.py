@@ -295,6 +295,18 @@ def _pagerank(view: View, rounds: int | None, positions: bool = False) -> Query:
     return query
 
 
+def _pagerank_options(view: View, directed: bool, weighted: bool, given: tuple[str, ...]) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        _, nodes, edges = _graph(spark, folder, view)
+        nodes = cut_lineage(nodes)
+        vectors = {name: nodes.select("node", F.expr(sql.NODE_WEIGHTS[name]).alias("weight")) for name in given}
+        edges = edges.withColumn("w", F.expr(sql.EDGE_WEIGHT))
+        ranks = graph.pagerank(nodes, edges, rounds=FIXED_ROUNDS, directed=directed, weight="w" if weighted else None, **vectors)
+        return ranks.select("node", rounded("rank"))
+
+    return query
+
+
 def _row_score(view: View) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         flagged, nodes, _ = _graph(spark, folder, view)
@@ -308,6 +320,13 @@ register("graph_edges", _edges(NUM3), sql.graph_edges(NUM3))
 register("pagerank_10_rounds", _pagerank(NUM3, FIXED_ROUNDS), sql.pagerank_fixed(NUM3, FIXED_ROUNDS))
 register("pagerank_converged", _pagerank(NUM3, None), sql.pagerank_converged(NUM3, MOST_ROUNDS))
 register("pagerank_top", _pagerank(NUM3, None, True), sql.pagerank_positions(NUM3, MOST_ROUNDS))
+for _name, _options in {
+    "personalized": (False, False, ("personalization",)),
+    "started": (False, False, ("nstart",)),
+    "weighted": (False, True, ()),
+    "directed": (True, True, ("personalization", "dangling", "nstart")),
+}.items():
+    register(f"pagerank_{_name}", _pagerank_options(NUM3, *_options), sql.pagerank_options(NUM3, FIXED_ROUNDS, *_options))
 register("pagerank_row_score", _row_score(NUM3), sql.pagerank_row_score(NUM3))
 
 
@@ -455,7 +474,7 @@ def _search_net(spark: SparkSession, folder: str) -> DataFrame:
 
 
 register("iforest_scores_few_trees", _forest_scores, sql.iforest_scores(NUM3, FEW_TREES))
-register("iforest_flags", _detected("IF"))
+register("iforest_flags", _detected("IF"), sql.iforest_wide(NUM3, PROFILES["small"].estimators))
 register("iforest_flags_big", _detected("IF", "big"), sql.iforest_wide(NUM3, PROFILES["big"].estimators))
 register("iforest_flags_compat", _detected("IF", compat=True))
 register("iforest_rank_rows", _ranked("IF"))

@@ -288,6 +288,37 @@ def pagerank_converged(view: View, most: int) -> str:
     return f"WITH {pagerank_converged_ctes(view, most)} SELECT node, round(x, 9) AS rank FROM final"
 
 
+# Vectors over the nodes and weights of the edges for the queries with options, alike in Spark and in SQL.
+NODE_WEIGHTS = {"personalization": "1 + abs(node) % 7", "nstart": "1 + abs(node) % 3", "dangling": "1 + abs(node) % 5"}
+EDGE_WEIGHT = "1 + abs(src - dst) % 4"
+
+
+def pagerank_options(view: View, rounds: int, directed: bool, weighted: bool, given: tuple[str, ...], alpha: float = 0.85) -> str:
+    """Power iteration with weights and vectors; without a dangling vector the personalisation takes its place."""
+    weight = EDGE_WEIGHT if weighted else "1.0"
+    back = "" if directed else f" UNION ALL SELECT dst, src, {weight} FROM edge WHERE src <> dst"
+
+    def vector(name: str, otherwise: str) -> str:
+        return f"({NODE_WEIGHTS[name]}) / sum({NODE_WEIGHTS[name]}) OVER ()" if name in given else otherwise
+
+    uniform = "1.0::DOUBLE / count(*) OVER ()"
+    p = vector("personalization", uniform)
+    text = f"""{graph_ctes(view)},
+        arc AS MATERIALIZED (SELECT src, dst, {weight} AS w FROM edge{back}),
+        deg AS MATERIALIZED (SELECT src, sum(w) AS k FROM arc GROUP BY src),
+        v AS MATERIALIZED (SELECT node, {p} AS p, {vector("dangling", p)} AS hang, {vector("nstart", uniform)} AS x FROM node),
+        r0 AS (SELECT node, x FROM v)"""
+    for k in range(1, rounds + 1):
+        before = f"r{k - 1}"
+        text += f""",
+        g{k} AS (SELECT a.dst AS node, sum({alpha} * r.x * a.w / d.k) AS got FROM arc a JOIN deg d ON d.src = a.src
+            JOIN {before} r ON r.node = a.src GROUP BY a.dst),
+        h{k} AS (SELECT coalesce(sum({alpha} * r.x), 0) AS loose FROM {before} r ANTI JOIN deg d ON d.src = r.node),
+        r{k} AS MATERIALIZED (SELECT v.node AS node, coalesce(g.got, 0) + h.loose * v.hang + {1.0 - alpha} * v.p AS x
+            FROM v CROSS JOIN h{k} h LEFT JOIN g{k} g ON g.node = v.node)"""
+    return f"WITH {text} SELECT node, round(x, 9) AS rank FROM r{rounds}"
+
+
 def pagerank_positions(view: View, most: int) -> str:
     return f"""WITH {pagerank_converged_ctes(view, most)}, r AS (SELECT node, round(x, 9) AS rank FROM final)
         SELECT node, rank, row_number() OVER (ORDER BY rank DESC, node) - 1 AS position FROM r"""
