@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raritas.functions.runtime import cut_lineage, ship_package
-from raritas.llm.common import BROADCAST_ROWS, keyed_text, slices, text_bytes
+from raritas.llm.common import BROADCAST_ROWS, keyed_text, release, slices, text_bytes
 from raritas.llm.components import components
 from raritas.llm.shingles import mixed, shingle_sets
 
@@ -181,6 +181,8 @@ def candidates(given: DataFrame, nodes: DataFrame, rule: Rule, boundary: int) ->
     shared = entries.groupBy("token", "light").agg(F.min("nid").alias("a"), F.max("nid").alias("z")).where("a <> z").select("token", "light")
     met = entries.join(shared, ["token", "light"], "left_semi").groupBy("nid").agg(F.sum(F.col("light").cast("int")).alias("keys_met"), F.sum((~F.col("light")).cast("int")).alias("met"))
     met = cut_lineage(met.withColumnRenamed("nid", "met_nid"))
+    del entries, shared
+    release(given.sparkSession)
     need = F.greatest(F.lit(1), F.expr(f"((n * {rule.percent} + 99) div 100) div 20"))
     # 64 bits of two nodes may agree; their counts are then added, which keeps both and loses none
     left = nodes.join(_small(met, met.count()), F.col("nid") == F.col("met_nid")).where((F.col("keys_met") > 0) | (F.col("met") >= need * F.col("copies")))
@@ -188,7 +190,9 @@ def candidates(given: DataFrame, nodes: DataFrame, rule: Rule, boundary: int) ->
     few = left.count()
     texts = given.join(_small(left.select(F.col("key").alias("k")), few), F.col("key").eqNullSafe(F.col("k")), "left_semi")
     sets = full_sets(texts, rule, boundary).join(_small(left.select("node", "copies"), few), "node").dropDuplicates(["node"])
-    return cut_lineage(sets).withColumn("sid", F.monotonically_increasing_id())  # the same at each reading of the checkpoint
+    sets = cut_lineage(sets)
+    release(given.sparkSession)
+    return sets.withColumn("sid", F.monotonically_increasing_id())  # the same at each reading of the checkpoint
 
 
 def meetings(sets: DataFrame, rule: Rule, boundary: int) -> DataFrame:
@@ -207,6 +211,7 @@ def meetings(sets: DataFrame, rule: Rule, boundary: int) -> DataFrame:
 def bundle(met: DataFrame) -> DataFrame:
     """Rows (sid, bundle) of nodes that meet another, directly or not."""
     met = cut_lineage(met)
+    release(met.sparkSession)
     least = met.groupBy("bucket", "light").agg(F.min("sid").alias("m"), F.max("sid").alias("z")).where("m < z").drop("z")
     edges = met.join(least, ["bucket", "light"]).select(F.col("sid").alias("a"), F.col("m").alias("b"))
     return components(edges).select(F.col("a").alias("sid"), F.col("m").alias("bundle"))
@@ -296,6 +301,7 @@ def near_join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Ru
     sets = candidates(given, nodes, rule, boundary)
     bundles = cut_lineage(bundle(meetings(sets, rule, boundary)))
     found = cut_lineage(compare_bundles(sets, bundles, rule))
+    release(spark)
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     named = sets.select("sid", "node").join(nodes.select("node", "key"), "node").join(links, "sid").join(joined.withColumnRenamed("a", "sid"), "sid", "left")
