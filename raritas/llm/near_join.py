@@ -38,7 +38,7 @@ from raritas.llm.shingles import mixed, shingle_sets
 SLICE_BYTES = 4 << 20
 MOST_BOUNDARY = 64
 # Shingles in a block of a bundle, and in a task's pack of small bundles; a longer set is a block of its own.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 
 
 @dataclass(frozen=True)
@@ -272,7 +272,7 @@ def compare_bundles(sets: DataFrame, bundles: DataFrame, rule: Rule, block_shing
     members = sets.select("sid", "n", "copies", "tokens").join(bundles, "sid")
     sizes = cut_lineage(sets.select("sid", "n").join(bundles, "sid").groupBy("bundle").agg(F.sum("n").alias("all")).withColumn("blocks", F.ceil(F.col("all") / block_shingles).cast("int")))
     small = sizes.where("blocks = 1").agg(F.sum("all").alias("s")).first()["s"] or 0
-    packs = max(1, -(-int(small) // block_shingles), sets.sparkSession.sparkContext.defaultParallelism)
+    packs = max(-(-int(small) // block_shingles), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = members.join(sizes.select("bundle", "blocks"), "bundle").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
