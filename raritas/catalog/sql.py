@@ -367,24 +367,28 @@ def attribute_summary(view: View, function: str) -> str:
 # ---------------------------------------------------------------- isolation forest
 
 
-def iforest_scores(view: View, trees: int, psi: int = 256, levels: int = 8, seed: int = 42, split: float = 0.5) -> str:
+def iforest_scores(
+    view: View, trees: int, sets=None, split: float = 0.5, sample_seed: int = 0, most: int = 256, levels: int = 8, seed: int = 42
+) -> str:
     """A forest per feature set: sub-samples by hashes of the keys, trees level by level by hashes of their nodes.
 
-    For samples of at least ``psi`` rows, ``levels`` being log2(psi). Values a set does not have are null.
+    ``sets`` are (number, reported attributes, read attributes); values a set does not read are null. For samples of
+    129 rows at least, for which trees have ``levels`` levels.
     """
-    sets = _sets(len(view.attrs))
+    sets = sets or [(i, c, c) for i, c in _sets(len(view.attrs))]
     points = " UNION ALL ".join(
         f"SELECT {i} AS set_id, {', '.join(f'a{c[k]} AS v{k}' if k < len(c) else f'NULL::DOUBLE AS v{k}' for k in range(3))}, * FROM {{0}}"
-        for i, c in sets
+        for i, _, c in sets
     )
     length = "CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE 2.0 * (ln(n - 1) + 0.57721566490153286) - 2.0 * (n - 1) / n END"
     ctes = [
         f"base AS ({view.base})",
-        sample_cte(split),
-        f"pool AS MATERIALIZED (SELECT * FROM smp QUALIFY row_number() OVER (ORDER BY md5(id || ':{seed + 1}')) <= {trees * psi})",
-        f"plan AS MATERIALIZED (SELECT count(*) // {psi} AS blocks, CAST(ceil({trees} / (count(*) // {psi})) AS BIGINT) AS deals FROM pool)",
+        sample_cte(split, sample_seed),
+        f"pool AS MATERIALIZED (SELECT * FROM smp QUALIFY row_number() OVER (ORDER BY md5(id || ':{seed + 1}')) <= {trees * most})",
+        f"plan AS MATERIALIZED (SELECT psi, n // psi AS blocks, CAST(ceil({trees} / (n // psi)) AS BIGINT) AS deals"
+        f" FROM (SELECT count(*) AS n, least({most}, count(*)) AS psi FROM pool))",
         f"dealt AS (SELECT p.*, blocks, d AS deal, (row_number() OVER (PARTITION BY d ORDER BY md5(md5(id || ':{seed + 2}') || ':0:' || d)) - 1)"
-        f" // {psi} AS block FROM pool p, plan, unnest(range(deals)) AS t(d))",
+        f" // psi AS block FROM pool p, plan, unnest(range(deals)) AS t(d))",
         f"drawn AS MATERIALIZED (SELECT * EXCLUDE (blocks, deal, block), deal * blocks + block AS tree FROM dealt"
         f" WHERE block < blocks AND deal * blocks + block < {trees})",
         f"r0 AS MATERIALIZED (SELECT *, 0::BIGINT AS node FROM ({points.format('drawn')}))",
@@ -423,22 +427,36 @@ def iforest_scores(view: View, trees: int, psi: int = 256, levels: int = 8, seed
             f"w{k + 1} AS (SELECT w.* EXCLUDE (node), CASE WHEN f IS NULL THEN w.node ELSE 2 * w.node + CASE WHEN ({value}) <= cut THEN 1 ELSE 2 END END AS node"
             f" FROM w{k} w LEFT JOIN p{k} p ON w.set_id = p.set_id AND w.tree = p.tree AND w.node = p.node)"
         )
-    labels = ", ".join(f"({i}, '{'-'.join(map(str, c))}')" for i, c in sets)
-    norm = 2.0 * (math.log(psi - 1) + 0.57721566490153286) - 2.0 * (psi - 1) / psi
+    labels = ", ".join(f"({i}, '{'-'.join(map(str, c))}')" for i, c, _ in sets)
     return f"""WITH {', '.join(ctes)}, names(set_id, attrs) AS (VALUES {labels}),
-        scored AS (SELECT id, w.set_id AS set_id, pow(2.0, -avg(path) / {norm!r}) AS score
+        scored AS (SELECT id, w.set_id AS set_id, pow(2.0, -avg(path) / (SELECT {length} FROM (SELECT psi AS n FROM plan))) AS score
             FROM w{levels} w JOIN leaf l ON w.set_id = l.set_id AND w.tree = l.tree AND w.node = l.node GROUP BY id, w.set_id)
         SELECT id AS {view.key}, attrs, round(score, 6) AS score, score > 0.5 AS is_outlier FROM scored JOIN names USING (set_id)"""
 
 
-def iforest_wide(view: View, trees: int) -> str:
+def _wide_forest(view: View, scores: str) -> str:
     places = ", ".join(f"('{'-'.join(map(str, c))}', {i}, {len(c)})" for i, c in _sets(len(view.attrs)))
     wide = ", ".join(
         f"coalesce(string_agg(CASE WHEN arity = {r} AND is_outlier THEN attrs END, ',' ORDER BY set_id), '') AS {c}"
         for r, c in ((1, '"single_IF"'), (2, '"pairs_IF"'), (3, '"triplets_IF"'))
     )
-    return f"""SELECT {view.key}, {wide} FROM ({iforest_scores(view, trees)})
-        JOIN (VALUES {places}) AS t(attrs, set_id, arity) USING (attrs) GROUP BY {view.key}"""
+    return f"SELECT {view.key}, {wide} FROM ({scores}) JOIN (VALUES {places}) AS t(attrs, set_id, arity) USING (attrs) GROUP BY {view.key}"
+
+
+def iforest_wide(view: View, trees: int) -> str:
+    return _wide_forest(view, iforest_scores(view, trees))
+
+
+def iforest_wide_compat(view: View, trees: int) -> str:
+    """Single attributes beside attribute d - 2 and inverted, none for the last two; pairs from a sample of their own."""
+    d = len(view.attrs)
+    single = [(i, c, (c[0], d - 2)) for i, c in _sets(d) if len(c) == 1 and c[0] < d - 2]
+    pairs = [(i, c, c) for i, c in _sets(d) if len(c) == 2]
+    triplets = [(i, c, c) for i, c in _sets(d) if len(c) == 3]
+    scores = f"""SELECT {view.key}, attrs, CASE WHEN strpos(attrs, '-') = 0 THEN NOT is_outlier ELSE is_outlier END AS is_outlier
+        FROM ({iforest_scores(view, trees, single + triplets)})
+        UNION ALL SELECT {view.key}, attrs, is_outlier FROM ({iforest_scores(view, 100, pairs, 0.2, 7)})"""
+    return _wide_forest(view, scores)
 
 
 # ---------------------------------------------------------------- random cuts, products, labels
