@@ -477,7 +477,7 @@ register("iforest_scores_few_trees", _forest_scores, sql.iforest_scores(NUM3, FE
 register("iforest_flags", _detected("IF"), sql.iforest_wide(NUM3, PROFILES["small"].estimators))
 register("iforest_flags_big", _detected("IF", "big"), sql.iforest_wide(NUM3, PROFILES["big"].estimators))
 register("iforest_flags_compat", _detected("IF", compat=True), sql.iforest_wide_compat(NUM3, PROFILES["small"].estimators))
-register("iforest_rank_rows", _ranked("IF"))
+register("iforest_rank_rows", _ranked("IF"), sql.iforest_rank_cutoff(NUM3, PROFILES["small"].estimators, TOP))
 register("autoencoder_flags", _detected("AE"))
 register("autoencoder_flags_big", _detected("AE", "big"))
 register("autoencoder_inputs", _inputs, sql.autoencoder_inputs(NUM3))

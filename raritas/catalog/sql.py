@@ -196,21 +196,21 @@ def loda_wide(view: View) -> str:
 # ---------------------------------------------------------------- ranking and graph
 
 
-def cells_ctes(view: View) -> str:
-    """LODA flags, then cell(id, attr, v) and taken(id, attr, part, weight) for anomalous attributes."""
+def cells_ctes(view: View, flags: str | None = None) -> str:
+    """Flags, by default LODA's, then cell(id, attr, v) and taken(id, attr, part, weight) for anomalous attributes."""
     d = len(view.attrs)
     member = _values((i, a, int(not (len(c) == 3 and a == c[2]))) for i, c in _sets(d) for a in c)
     cell = " UNION ALL ".join(f"SELECT id, {a} AS attr, a{a} AS v FROM base" for a in range(d))
-    return f"""{loda_ctes(view)}, member(set_id, attr, counted) AS (VALUES {member}), cell AS ({cell}),
+    return f"""{flags or loda_ctes(view)}, member(set_id, attr, counted) AS (VALUES {member}), cell AS ({cell}),
         taken AS (SELECT f.id AS id, m.attr AS attr, count(*) AS part, sum(m.counted) AS weight
             FROM flag f JOIN member m ON f.set_id = m.set_id WHERE f.is_outlier GROUP BY f.id, m.attr),
         anomalous AS (SELECT t.id AS id, t.attr AS attr, c.v AS v, t.part AS part, t.weight AS weight
             FROM taken t JOIN cell c ON c.id = t.id AND c.attr = t.attr)"""
 
 
-def rank_count_ctes(view: View, compat: bool = False) -> str:
+def rank_count_ctes(view: View, compat: bool = False, flags: str | None = None) -> str:
     taken = "weight" if compat else "part"
-    return f"""{cells_ctes(view)},
+    return f"""{cells_ctes(view, flags)},
         participation AS (SELECT attr, v, sum(part) AS n FROM anomalous GROUP BY attr, v),
         ranked AS (SELECT b.id AS {view.key}, coalesce(sum(a.{taken} * p.n), 0)::BIGINT AS "Ranking_count" FROM base b
             LEFT JOIN anomalous a ON a.id = b.id LEFT JOIN participation p ON p.attr = a.attr AND p.v = a.v GROUP BY b.id)"""
@@ -447,6 +447,13 @@ def iforest_wide(view: View, trees: int) -> str:
     return _wide_forest(view, iforest_scores(view, trees))
 
 
+def iforest_rank_cutoff(view: View, trees: int, th: float) -> str:
+    places = ", ".join(f"('{'-'.join(map(str, c))}', {i})" for i, c in _sets(len(view.attrs)))
+    flags = f"""base AS ({view.base}), flag AS MATERIALIZED (SELECT {view.key} AS id, set_id, is_outlier
+        FROM ({iforest_scores(view, trees)}) JOIN (VALUES {places}) AS t(attrs, set_id) USING (attrs))"""
+    return f"""WITH {rank_count_ctes(view, flags=flags)} SELECT * FROM ranked WHERE "Ranking_count" > {_edge("Ranking_count", th)}"""
+
+
 def iforest_wide_compat(view: View, trees: int) -> str:
     """Single attributes beside attribute d - 2 and inverted, none for the last two; pairs from a sample of their own."""
     d = len(view.attrs)
