@@ -19,6 +19,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 from raritas.functions.runtime import cut_lineage  # noqa: E402
 from raritas.llm import decontaminate, langid, mixing, near_join, token_files  # noqa: E402
 from raritas.llm.common import BROADCAST_ROWS, shared_folder  # noqa: E402
+from raritas.llm.components import components  # noqa: E402
 
 # Near duplicates: word 5-grams, similarity 0.8 or more.
 NEAR = near_join.Rule(words=5, percent=80)
@@ -37,17 +38,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Fitted on the labelled documents of the input; the column ``lang`` stays as it is.
     """
     model = langid.fit_languages(docs)
-    columns = docs.columns
-    judged = langid.identify_languages(docs.select("text", F.struct(*columns).alias("row")), model)
-    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    judged = langid.identify_languages(docs, model, marks=("__lang_pred", "__score"))
+    return judged.where(F.col("__lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by near duplicates: the one with the least doc_id.
 
-    Documents without a word are linked with nothing and stay. Of rows that share that doc_id the first by text stays.
+    Documents without a word are linked with nothing and stay. Rows that share a doc_id are one document, whatever their
+    texts: their groups are one, and of rows with the doc_id that stays, if any of them is linked, the first by text does.
     """
     groups = cut_lineage(near_join.near_join(docs, rule=NEAR))
+    ends = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most"))
+    parted = cut_lineage(ends.where("least < most").select("doc_id", "least"))
+    if not parted.isEmpty():
+        joined = components(groups.join(parted, "doc_id").select(F.col("component_id").alias("a"), F.col("least").alias("b")))
+        merged = groups.join(joined, F.col("component_id") == F.col("a"), "left")
+        groups = cut_lineage(merged.select("doc_id", "n_links", F.coalesce("m", "component_id").alias("component_id")))
     kept = _without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")))
     repeated = cut_lineage(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_links").alias("links")).where("n > 1 AND links > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")))
     if repeated.isEmpty():

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import DataFrame
 
 from raritas.functions.runtime import ship_package

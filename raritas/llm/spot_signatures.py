@@ -4,9 +4,9 @@ An anchor is a common word. Its signature is the anchor and the next ``chain`` c
 among the ``reach`` words behind it. A text's signatures are a set; its fingerprint is a digest of the sorted set. A text
 with words but without a signature has its whole word sequence as its only one; a text without a word has none.
 
-Sets are compared by Jaccard likeness with pruning: sets are partitioned by their length so that a pair that can reach a
-threshold lies in one partition or in two neighbours, and pairs farther apart, or whose lengths alone bound the likeness
-below the threshold, are decided without looking at their members.
+Sets are compared by Jaccard likeness with pruning: sets are partitioned by their length so that a pair that can reach
+``PRUNE`` lies in one partition or in two neighbours. Pairs farther apart, or whose lengths alone bound the likeness
+below it, get 0.0 without a look at their members; all other likenesses are exact.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ ANCHORS = (
 ).split()
 CHAIN = 3
 REACH = 16
+PRUNE = 0.1
 WORD_GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -58,23 +59,19 @@ def fingerprint(spots: Column) -> Column:
     return F.md5(F.array_join(F.sort_array(spots), ","))
 
 
-def length_partition(size: Column, threshold: float) -> Column:
-    """Number of the length partition: sets whose likeness reaches ``threshold`` are in one or in two neighbours."""
-    return F.when(size > 0, F.floor(F.log(size.cast("double")) / F.lit(-log(threshold)))).otherwise(F.lit(-2)).cast("int")
+def length_partition(size: Column, threshold: float = PRUNE) -> Column:
+    """Number of the length partition: sets whose likeness reaches ``threshold`` are in one or in two neighbours; empty
+    sets are in one of their own, which is no neighbour."""
+    place = F.log(size.cast("double")) / F.lit(-log(threshold)) + F.lit(1e-9)  # whole powers stand at their own place
+    return F.when(size > 0, F.floor(place)).otherwise(F.lit(-2)).cast("int")
 
 
-def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
-    """Jaccard likeness of two sets. Two empty sets are equal (1.0).
-
-    With a threshold, 0.0 for pairs that cannot reach it by their lengths; their members are not compared.
-    """
+def likeness(a: Column, b: Column, threshold: float = PRUNE) -> Column:
+    """Jaccard likeness of two sets, 0.0 where their lengths keep it below ``threshold``. Two empty sets are equal (1.0)."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    apart = F.abs(length_partition(F.size(a), threshold) - length_partition(F.size(b), threshold)) > 1
     value = bound(F.size(F.array_intersect(a, b)), lambda common: common / (small + large - common))
-    out = F.when(large == 0, F.lit(1.0)).when(small == 0, F.lit(0.0))
-    if threshold > 0:
-        apart = F.abs(length_partition(F.size(a), threshold) - length_partition(F.size(b), threshold)) > 1
-        out = out.when(apart | (small < large * threshold), F.lit(0.0))
-    return out.otherwise(value)
+    return F.when(large == 0, F.lit(1.0)).when(apart | (small < large * threshold), F.lit(0.0)).otherwise(value)
 
 
 def _bucket(key: Column, splits: list[int]) -> Column:
@@ -119,7 +116,8 @@ def beside_next(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Window
 def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness to each other and to the next text's.
 
-    Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures. Null texts
+    Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures and the
+    set's length_partition. Null texts
     are empty. Repeated rows are rows of their own. The edited text replaces the last third of the code points by as many
     first ones of the next text, or all it has. An empty table gives no rows.
     """
@@ -140,6 +138,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
         likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
         F.size("spots").cast("long").alias("n_signatures"),
+        length_partition(F.size("spots")).alias("length_partition"),
     )
 
 
@@ -180,8 +179,11 @@ counted AS (SELECT *, len(list_intersect(s1, s2)) AS c2, len(list_intersect(s1,
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
        md5(array_to_string(list_sort(s1), ',')) AS fingerprint,
        md5(array_to_string(list_sort(s2), ',')) AS edited_fingerprint,
-       CASE WHEN len(s1) + len(s2) = 0 THEN 1.0 ELSE c2 / (len(s1) + len(s2) - c2) END AS near_edited,
-       CASE WHEN len(s1) + len(s3) = 0 THEN 1.0 ELSE c3 / (len(s1) + len(s3) - c3) END AS near_next,
-       len(s1) AS n_signatures
+       CASE WHEN len(s1) + len(s2) = 0 THEN 1.0 WHEN least(len(s1), len(s2)) < greatest(len(s1), len(s2)) * {PRUNE}::DOUBLE THEN 0.0
+            ELSE c2 / (len(s1) + len(s2) - c2) END AS near_edited,
+       CASE WHEN len(s1) + len(s3) = 0 THEN 1.0 WHEN least(len(s1), len(s3)) < greatest(len(s1), len(s3)) * {PRUNE}::DOUBLE THEN 0.0
+            ELSE c3 / (len(s1) + len(s3) - c3) END AS near_next,
+       len(s1) AS n_signatures,
+       CASE WHEN len(s1) > 0 THEN floor(ln(len(s1)) / -ln({PRUNE}::DOUBLE) + 1e-9)::INTEGER ELSE -2 END AS length_partition
 FROM counted
 """

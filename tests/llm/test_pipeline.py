@@ -43,6 +43,14 @@ def test_one_document_of_each_group_stays(spark, documents):
     assert sorted((r.doc_id for r in out.where("doc_id >= 90000 OR doc_id IS NULL").collect()), key=str) == [90001, 90002, 90003, 90004, None]
 
 
+def test_rows_that_share_a_doc_id_are_one_document(spark):
+    one, two, three = ("the old man of the sea went out to fish", "a b c d e f g h i j", "k l m n o p q r s t")
+    rows = [(2, one), (4, one), (4, two), (5, two), (6, two), (7, three), (7, two + " other"), (8, three), (9, "alone here"), (9, "and here too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = STAGES["near_duplicates"](spark, docs, FOLDER)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(2, one), (9, "alone here"), (9, "and here too")]
+
+
 def test_leaks_go_and_clean_documents_stay(spark, documents):
     docs = odd(spark, documents)
     items = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]

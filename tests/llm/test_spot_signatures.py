@@ -18,7 +18,13 @@ def signatures(text):
 
 
 def jaccard(a, b):
-    return 1.0 if not a and not b else len(a & b) / len(a | b)
+    if not a and not b:
+        return 1.0
+    return 0.0 if min(len(a), len(b)) < max(len(a), len(b)) * spot.PRUNE else len(a & b) / len(a | b)
+
+
+def partition(size):
+    return next(k for k in range(99) if size < 10 ** (k + 1)) if size else -2
 
 
 def digest(found):
@@ -34,7 +40,7 @@ def by_force(rows):
         third = len(text) // 3
         edited = text[: len(text) - third] + after[:third]
         own, other, following = signatures(text), signatures(edited), signatures(after)
-        out[key] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(own), digest(other), jaccard(own, other), jaccard(own, following), len(own))
+        out[key] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(own), digest(other), jaccard(own, other), jaccard(own, following), len(own), partition(len(own)))
     return out
 
 
@@ -66,9 +72,12 @@ def test_repeated_rows(spark):
 
 def test_pruning_loses_nothing(spark):
     sets = [[f"s{i}" for i in range(a, b)] for a in (0, 3) for b in (0, 4, 10, 12, 13, 40)]
-    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets], "a array<string>, b array<string>")
-    for row in pairs.select(spot.likeness(F.col("a"), F.col("b")).alias("whole"), spot.likeness(F.col("a"), F.col("b"), 0.8).alias("pruned")).collect():
-        assert row.whole == row.pruned if row.whole >= 0.8 else row.pruned in (0.0, row.whole)
+    pairs = [(a, b) for a in sets for b in sets]
+    whole = [1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b)) for a, b in pairs]
+    table = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    for threshold in (0.1, 0.5, 0.8):
+        found = [r[0] for r in table.select(spot.likeness(F.col("a"), F.col("b"), threshold)).collect()]
+        assert all(f == w if w >= threshold else f in (0.0, w) for f, w in zip(found, whole, strict=True))
 
 
 def test_runs_without_python(spark):
