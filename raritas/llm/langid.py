@@ -16,11 +16,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raritas.functions.runtime import ship_package
-from raritas.llm.common import slices, text_bytes, unit_interval
+from raritas.llm.common import slices, text_bytes, tidied, unit_interval
 
 # Families by ISO 639-1 code. A code that is not here is a family of its own.
 FAMILIES = {
@@ -42,7 +43,7 @@ DIMENSIONS = 1 << 15
 GRAMS = (2, 3, 4)
 SCALE = 20.0
 SLOPE = 4.0
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def family_of(lang: str) -> str:
@@ -61,27 +62,23 @@ def _letters_only() -> np.ndarray:
 LETTERS = _letters_only()
 
 
-def gram_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams within the rows, one array for all rows in row order, and the bounds of each row in it."""
-    text = LETTERS[data].astype(np.uint32)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    found, owners = [], []
+def gram_hashes(data: np.ndarray) -> list[np.ndarray]:
+    """For each length in ``GRAMS`` the hash of the n-gram at each byte, whether or not it ends within its row."""
+    text = LETTERS[data]
+    out = []
     for n in GRAMS:
-        size = len(text) - n + 1
-        if size <= 0:
-            continue
+        size = max(0, len(text) - n + 1)
         hashed = np.full(size, n * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
         for k in range(n):
             hashed = (hashed ^ text[k : k + size]) * np.uint32(0x01000193)
         hashed ^= hashed >> np.uint32(15)
-        inside = row[:size] == row[n - 1 :]
-        found.append((hashed[inside] & np.uint32(DIMENSIONS - 1)).astype(np.int32))
-        owners.append(row[:size][inside])
-    if not found:
-        return np.zeros(0, dtype=np.int32), np.zeros(len(bounds), dtype=np.int64)
-    owner, hashed = np.concatenate(owners), np.concatenate(found)
-    order = np.argsort(owner, kind="stable")
-    return hashed[order], np.searchsorted(owner[order], np.arange(len(bounds)))
+        out.append((hashed & np.uint32(DIMENSIONS - 1)).astype(np.int32))
+    return out
+
+
+def gram_counts(bounds: np.ndarray) -> np.ndarray:
+    """How many n-grams each row has, all lengths together."""
+    return sum(np.maximum(0, np.diff(bounds) - n + 1) for n in GRAMS)
 
 
 def lowered(column: pa.Array) -> pa.Array:
@@ -116,17 +113,21 @@ class LanguageModel:
         rest = [("family", f) for f in self.families] if len(self.families) > 1 else []
         return rest + [("pair", a, b) for langs in self.families.values() for a, b in combinations(langs, 2)]
 
-    def predict(self, hashed: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def predict(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language and score of each row: the product of the logistic of the family's margin and the mean logistic of
         the margins of the language's pairs."""
-        sizes = np.diff(bounds)
-        full = np.flatnonzero(sizes)
+        hashes, sizes = gram_hashes(data), np.maximum(1, gram_counts(bounds))
 
         def margin(task: tuple[str, ...]) -> np.ndarray:
             out, w = np.zeros(len(sizes)), self.weights[task]
-            if len(full):
-                out[full] = np.add.reduceat(w[hashed], bounds[full]) * SCALE / sizes[full]
-            return out + w[-1]
+            for n, hashed in zip(GRAMS, hashes, strict=True):
+                full = np.flatnonzero(np.diff(bounds) >= n)
+                if len(full):
+                    # sums from the first n-gram of a row to its last, and between, which are passed over
+                    edges = np.column_stack((bounds[full], bounds[full + 1] - n + 1)).ravel()
+                    known = np.append(w[hashed], 0.0)
+                    out[full] += np.add.reduceat(known, edges)[::2]
+            return out * SCALE / sizes + w[-1]
 
         def logistic(x: np.ndarray) -> np.ndarray:
             return 1.0 / (1.0 + np.exp(-np.clip(SLOPE * x, -60, 60)))
@@ -191,7 +192,7 @@ def fit_languages(
             elif label in task[1:]:
                 uses[label].append((number, 1 if label == task[1] else -1))
     table = spark.createDataFrame([(label, n, side) for label, pairs in uses.items() for n, side in pairs], "label string, task int, side int")
-    vectors = sample.select("key", "text", "label").mapInArrow(_vectors, "key string, label string, idx array<int>, val array<float>")
+    vectors = sample.select("key", "text", "label").mapInArrow(tidied(_vectors), "key string, label string, idx array<int>, val array<float>")
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "label"], kind="stable")
@@ -208,12 +209,14 @@ def fit_languages(
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
-            hashed, bounds = gram_hashes(*text_bytes(lowered(part.column("text"))))
+            data, bounds = text_bytes(lowered(part.column("text")))
+            hashes, sizes = gram_hashes(data), np.maximum(1, gram_counts(bounds))
             idx, val = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                i, n = np.unique(hashed[a:b], return_counts=True)
+            for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                own = np.concatenate([h[a : max(a, b - n + 1)] for n, h in zip(GRAMS, hashes, strict=True)])
+                i, n = np.unique(own, return_counts=True)
                 idx.append(i)
-                val.append((n * (SCALE / max(1, b - a))).astype(np.float32))
+                val.append((n * (SCALE / sizes[row])).astype(np.float32))
             keys = pa.array([None if k is None else str(k) for k in part.column("key").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [keys, part.column("label"), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))],
@@ -221,20 +224,22 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (columns by these names give way).
+def identify_languages(
+    docs: DataFrame, model: LanguageModel | None, text: str = "text", marks: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """All columns of ``docs`` with the language and its score under the names ``marks`` (older columns by these give way).
 
     Null texts and texts without a letter get ``und`` and 0; so does everything if there is no model. Repeated rows get
     equal predictions; very long texts are read whole.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    plain = docs.drop("lang_pred", "score")
+    plain = docs.drop(*marks)
     rest = plain.columns
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     given = plain.withColumn("__lettered", whole.rlike(r"\p{L}"))
     shared = spark.sparkContext.broadcast(model)
-    schema = plain.select(*rest).schema.add("lang_pred", "string").add("score", "double")
+    schema = plain.select(*rest).schema.add(marks[0], "string").add(marks[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
@@ -244,13 +249,13 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, key: str =
                 if fitted is None:
                     lang, score = np.full(part.num_rows, UNKNOWN, dtype=object), np.zeros(part.num_rows)
                 else:
-                    lang, score = fitted.predict(*gram_hashes(*text_bytes(lowered(part.column(text).fill_null("")))))
+                    lang, score = fitted.predict(*text_bytes(lowered(part.column(text).fill_null(""))))
                     lang[~known], score[~known] = UNKNOWN, 0.0
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in rest), pa.array(lang, pa.string()), pa.array(score)], names=schema.names
                 )
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidied(run), schema)
 
 
 def held_out(key: str = "doc_id"):
