@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidied(run: Callable) -> Callable:
+    """``run`` over a task's batches, after which the worker, which Spark keeps, gives unused memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.util.find_library("c")
+            if libc and hasattr(trim := ctypes.CDLL(libc), "malloc_trim"):
+                trim.malloc_trim(0)
+
+    return whole
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``keys`` (distinct values, counted; broadcast only when few)."""
     few = keys.count() <= BROADCAST_ROWS

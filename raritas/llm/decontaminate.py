@@ -23,16 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raritas.functions.runtime import cut_lineage, ship_package
-from raritas.llm.common import keyed_text, slices, text_bytes
+from raritas.llm.common import keyed_text, slices, text_bytes, tidied
 from raritas.llm.shingles import hash_spans, run_hashes
 
 WINDOW = 8
 LEAST_WORDS = 4
-SHARE = 0.5
+SHARE = 0.3
 AGREEMENT = 0.8
 # Item windows that are looked up in memory at once; more of them are looked up in further blocks of as many.
 BLOCK_WINDOWS = 2_000_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 # Units of measure and money.
 UNITS = frozenset(
@@ -173,7 +173,7 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", win
 
     names = ["item", "item_pos", "hash", "kinds", "item_values", "length"]
     schema = f"item {_key_type(given)}, item_pos int, hash bigint, kinds array<int>, item_values array<bigint>, length int"
-    found = given.mapInArrow(run, schema).dropDuplicates(["item", "item_pos", "hash"])
+    found = given.mapInArrow(tidied(run), schema).dropDuplicates(["item", "item_pos", "hash"])
     return found.join(found.groupBy("item").agg(F.countDistinct("item_pos").cast("int").alias("item_windows")), "item")
 
 
@@ -205,7 +205,7 @@ def text_hits(docs: DataFrame, hashes: np.ndarray, lengths: list[int], key: str,
                 del columns[3]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "pos", "hash", "doc_values"])
 
-    return given.mapInArrow(run, f"key {_key_type(given)}, pos int, hash bigint, doc_values array<bigint>")
+    return given.mapInArrow(tidied(run), f"key {_key_type(given)}, pos int, hash bigint, doc_values array<bigint>")
 
 
 def find_leaks(

@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raritas.functions.runtime import cut_lineage, ship_package
-from raritas.llm.common import BROADCAST_ROWS, keyed_text, release, slices, text_bytes
+from raritas.llm.common import BROADCAST_ROWS, keyed_text, release, slices, text_bytes, tidied
 from raritas.llm.components import components
 from raritas.llm.shingles import mixed, shingle_sets
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 MOST_BOUNDARY = 64
 # Shingles in a block of a bundle, and in a task's pack of small bundles; a longer set is a block of its own.
 BLOCK_SHINGLES = 250_000
@@ -128,7 +128,7 @@ def document_sets(given: DataFrame, rule: Rule) -> DataFrame:
             columns = [keys, pa.array(np.diff(rows)), pa.array(nodes, pa.binary()), pa.array(_nids(nodes))]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "n_shingles", "node", "nid"])
 
-    return given.mapInArrow(run, f"key {_key_type(given)}, n_shingles bigint, node binary, nid bigint")
+    return given.mapInArrow(tidied(run), f"key {_key_type(given)}, n_shingles bigint, node binary, nid bigint")
 
 
 def probe_entries(given: DataFrame, rule: Rule, boundary: int) -> DataFrame:
@@ -148,7 +148,7 @@ def probe_entries(given: DataFrame, rule: Rule, boundary: int) -> DataFrame:
             if keys:
                 yield _entries(np.repeat(nids[small], [len(k) for k in keys]), np.concatenate(keys), True)
 
-    return given.mapInArrow(run, "nid bigint, token bigint, light boolean")
+    return given.mapInArrow(tidied(run), "nid bigint, token bigint, light boolean")
 
 
 def _entries(nids: np.ndarray, tokens: np.ndarray, light: bool) -> pa.RecordBatch:
@@ -164,7 +164,7 @@ def full_sets(given: DataFrame, rule: Rule, boundary: int) -> DataFrame:
             keys = [subset_keys(t, rule, boundary) if 0 < len(t) < boundary else t[:0] for t in own]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.diff(rows)), _lists(own), _lists(keys)], names=["node", "n", "tokens", "keys"])
 
-    return given.mapInArrow(run, "node binary, n bigint, tokens array<bigint>, keys array<bigint>")
+    return given.mapInArrow(tidied(run), "node binary, n bigint, tokens array<bigint>, keys array<bigint>")
 
 
 def _key_type(df: DataFrame) -> str:

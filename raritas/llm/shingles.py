@@ -9,7 +9,7 @@ from raritas.llm.common import SPACES
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raritas.functions.runtime import ship_package
-from raritas.llm.common import SLICE_BYTES, keyed_text, slices, strings_at, sums_by_row, text_bytes
+from raritas.llm.common import SLICE_BYTES, keyed_text, slices, strings_at, sums_by_row, text_bytes, tidied
 
 MARK = "▁"
 LIMIT = 4096
@@ -103,7 +103,7 @@ def count_tokens(
 
     given = keyed_text(docs, key, text).withColumn("n_bytes", F.octet_length("text").cast("long"))
     schema = given.drop("text").schema.add("n_tokens", "long")
-    counted = given.mapInArrow(run, schema)
+    counted = given.mapInArrow(tidied(run), schema)
     return counted.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from raritas.functions.runtime import ship_package
-from raritas.llm.common import SPACES, keyed_text, shared_folder, slices, strings_at, text_bytes
+from raritas.llm.common import SPACES, keyed_text, shared_folder, slices, strings_at, text_bytes, tidied
 
 END_ID = 1
 SLICE_BYTES = 8 << 20
-# Distinct parts a worker remembers between batches; beyond it the memory starts anew, nothing is dropped.
-MEMORY_PARTS = 700_000
+# Distinct parts a task remembers between batches; beyond it the memory starts anew, nothing is dropped.
+MEMORY_PARTS = 400_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
 
@@ -154,8 +154,9 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, key: str, text: str, end_
                     bounds = bounds + np.arange(len(bounds))
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("key"), lists], names=["key", "ids"])
+        code.forget()
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidied(run), schema)
 
 
 def write_token_files(
@@ -220,7 +221,7 @@ def ids_checksum(files: DataFrame) -> DataFrame:
                 names=[*rest, "n_read", "ids_crc32"],
             )
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(tidied(run), schema)
 
 
 def token_digests(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
