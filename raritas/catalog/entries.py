@@ -425,7 +425,7 @@ register("stratified_folds", _folds, sql.stratified_folds(10, 3))
 
 # ---------------------------------------------------------------- trained detectors
 
-# Parts that the sample is trained on side by side, and the labelled rows that the search of networks uses.
+# Parts that the sample is trained on side by side, and the labelled rows that the search of networks fits weights on.
 SHARDS = 8
 FIT_ROWS = 400
 FEW_TREES = 10

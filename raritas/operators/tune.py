@@ -135,13 +135,11 @@ def search_autoencoder(
     """(candidate, layers, epochs, activation, batch, accuracy, fits); ``label`` is 1 for outliers.
 
     One network per candidate and fold reads all attributes at once. A task trains a block of networks on its shard of
-    the rows, each on those outside its fold. ``fit_rows`` bounds the labelled rows that the search uses, drawn by a
-    hash of their keys; without it all are used.
+    the rows, each on those outside its fold. ``fit_rows`` bounds the rows that weights are fitted on, drawn by a hash of
+    their keys in each repeat. Folds, standardisation, cuts and accuracy are those of all labelled rows, whatever it is.
     """
-    if fit_rows is not None:
-        df, _, _ = sample_rows(df, key, lambda n: min(n, fit_rows), seed)
     specs = grid.specs(len(attrs))
-    parts = [_net_repeat(df, key, attrs, label, specs, splits, contamination, seed + r, shards) for r in range(repeats)]
+    parts = [_net_repeat(df, key, attrs, label, specs, splits, contamination, seed + r, shards, fit_rows) for r in range(repeats)]
     scored = (
         reduce(DataFrame.unionByName, parts)
         .groupBy("candidate")
@@ -171,6 +169,7 @@ def _net_repeat(
     contamination: float,
     seed: int,
     shards: int,
+    fit_rows: int | None,
 ) -> DataFrame:
     spark = df.sparkSession
     folds = stratified_folds(df.select(key, label, *[F.col(a).cast("double").alias(a) for a in attrs]), key, label, splits, 1, seed)
@@ -188,7 +187,8 @@ def _net_repeat(
     mean = {r["train"]: [r[f"mean{i}"] for i in range(len(attrs))] for r in stats}
     scale = {r["train"]: [r[f"std{i}"] or 1.0 for i in range(len(attrs))] for r in stats}
     hashed = key_hash(key, seed)
-    rows = folds.select(
+    fitted = folds if fit_rows is None else sample_rows(folds, key, lambda n: min(n, fit_rows), seed)[0]
+    rows = fitted.select(
         F.pmod(F.xxhash64(hashed), F.lit(shards)).cast("int").alias("shard"), "fold", hashed.alias("_order"), F.array(*attrs).alias("v")
     )
     inputs = tuple((i,) for i in range(len(attrs)))

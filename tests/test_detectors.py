@@ -314,3 +314,13 @@ def test_grid_search(cloud):
     nets = search_autoencoder(marked, "id", ATTRS, "label", grid, splits=3, repeats=1)
     assert best(nets).first()["accuracy"] > 0.85
     assert len(NetGrid().specs(4)) == 54
+
+
+def test_bounded_fitting_still_judges_every_labelled_row(spark, cloud):
+    """Labels are turned for the rows outside the fitted sample: only an accuracy over all rows can fall to match."""
+    small = sample_rows(cloud, "id", lambda n: 60, 1)[0].select("id").withColumn("drawn", F.lit(True))
+    outlier = (F.col("id") < PLANTED).cast("int")
+    turned = cloud.join(small, "id", "left").withColumn("label", F.when(F.col("drawn"), outlier).otherwise(1 - outlier))
+    grid = NetGrid(layers=[(4, 1, 4)], epochs=[2], activations=["relu"], batches=[64])
+    found = search_autoencoder(turned, "id", ATTRS, "label", grid, splits=3, repeats=1, fit_rows=60).first()
+    assert found["accuracy"] < 0.4
