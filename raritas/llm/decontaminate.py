@@ -7,19 +7,21 @@ slot; every other word is itself, in lower case. Windows are ``window`` consecut
 ``least_words`` are no slots (an item with fewer words has one window, the whole of it, if it has that many).
 
 Join. The windows of the items are hashed; each text's windows are looked up among them, and those found are joined by
-hash. For each pair of document and item, the item's windows found are lined up by the offset between both texts. A pair
-is a leak if the share of the item's windows found is at least ``share`` and its slots are consistent: each of the item's
-slot values stands for one value of the document throughout (of most of its places, ``agreement``), which holds for a
-verbatim copy and for a copy with values replaced, but not for a template that merely occurs in both.
+hash. For each pair of document and item, the item's windows found are lined up by the offset between both texts. An
+alignment is one offset, or a run of offsets of which neighbours differ by at most DRIFT words (words put in or left out).
+A pair is a leak if one alignment by itself holds at least ``share`` of the item's windows and its slots are consistent:
+each of the item's slot values stands for one value of the document throughout (of most of its places, ``agreement``),
+which holds for a verbatim copy and for a copy with values replaced, but not for a template that merely occurs in both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raritas.functions.runtime import cut_lineage, ship_package
@@ -30,6 +32,7 @@ WINDOW = 8
 LEAST_WORDS = 4
 SHARE = 0.3
 AGREEMENT = 0.8
+DRIFT = 8
 # Item windows that are looked up in memory at once; more of them are looked up in further blocks of as many.
 BLOCK_WINDOWS = 2_000_000
 SLICE_BYTES = 1 << 20
@@ -222,7 +225,7 @@ def find_leaks(
 ) -> DataFrame:
     """Leaks: key, item key, n_found and share of the item's windows, agreement, verbatim, first_word, last_word.
 
-    One row per pair of document and item. Rows of either table that share a key are judged together. Null and empty
+    One row per pair of document and item, with the figures of its best alignment. Rows of either table that share a key are judged together. Null and empty
     texts have no windows. Items are a query set: their windows are held in blocks of BLOCK_WINDOWS hashes, each against
     all texts. Hits are rows of matching windows only, so a passage in very many texts gives rows in proportion.
     """
@@ -243,35 +246,50 @@ def find_leaks(
         hits = hits.unionByName(part)
     few = blocks == 1  # at most BLOCK_WINDOWS short rows
     lined = hits.join(F.broadcast(windows) if few else windows, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    lined = cut_lineage(lined)
-    pairs = lined.groupBy("key", "item").agg(
+    # alignments: each offset alone, and runs of offsets whose neighbours differ by at most DRIFT words
+    pair = Window.partitionBy("key", "item").orderBy("shift")
+    apart = (F.col("shift") - F.lag("shift").over(pair) > DRIFT).cast("int")
+    lined = cut_lineage(lined.withColumn("apart", F.coalesce(apart, F.lit(0))).withColumn("drift", F.sum("apart").over(pair)).drop("apart"))
+    found = [_aligned(lined, "shift"), _aligned(lined, "drift")]
+    fit = reduce(DataFrame.unionByName, found).where((F.col("share") >= share) & (F.col("agreement") >= agreement))
+    order = ["share", "verbatim", "agreement", "n_found", "first_word", "last_word"]
+    # one row per pair, that of its best alignment
+    best = fit.groupBy("key", "item").agg(F.max(F.struct(*order)).alias("b"))
+    return best.select(
+        F.col("key").alias(key),
+        F.col("item").alias(item_key),
+        "b.n_found",
+        "b.share",
+        "b.agreement",
+        "b.verbatim",
+        "b.first_word",
+        "b.last_word",
+    )
+
+
+def _aligned(lined: DataFrame, by: str) -> DataFrame:
+    """Share and agreement of each alignment, the hits of a pair with one value of ``by``."""
+    alignment = ["key", "item", by]
+    pairs = lined.groupBy(*alignment).agg(
         F.countDistinct("item_pos").alias("n_found"),
         F.first("item_windows").alias("item_windows"),
         F.min("pos").alias("first_word"),
         F.max(F.col("pos") + F.col("length") - 1).alias("last_word"),
     )
-    slots = lined.select("key", "item", "shift", "item_pos", F.explode(F.arrays_zip("kinds", "item_values", "doc_values", F.sequence(F.lit(0), F.col("length") - 1).alias("k"))).alias("s"))
+    pairs = pairs.withColumn("share", F.col("n_found") / F.col("item_windows"))
+    offsets = list(dict.fromkeys([*alignment, "shift"]))
+    slots = lined.select(*offsets, "item_pos", F.explode(F.arrays_zip("kinds", "item_values", "doc_values", F.sequence(F.lit(0), F.col("length") - 1).alias("k"))).alias("s"))
     # each place once, however many windows cover it
-    places = slots.where("s.kinds <> 0").select("key", "item", "shift", (F.col("item_pos") + F.col("s.k")).alias("at"), "s.kinds", "s.item_values", "s.doc_values").distinct()
-    values = places.groupBy("key", "item", "shift", "kinds", "item_values", "doc_values").agg(F.count(F.lit(1)).alias("n"))
-    mapped = values.groupBy("key", "item", "shift", "kinds", "item_values").agg(
+    places = slots.where("s.kinds <> 0").select(*offsets, (F.col("item_pos") + F.col("s.k")).alias("at"), "s.kinds", "s.item_values", "s.doc_values").distinct()
+    values = places.groupBy(*offsets, "kinds", "item_values", "doc_values").agg(F.count(F.lit(1)).alias("n"))
+    mapped = values.groupBy(*offsets, "kinds", "item_values").agg(
         F.max("n").alias("most"), F.sum("n").alias("all"), F.min((F.col("item_values") == F.col("doc_values")).cast("int")).alias("same")
     )
-    agreed = mapped.groupBy("key", "item").agg((F.sum("most") / F.sum("all")).alias("agreement"), (F.min("same") == 1).alias("verbatim"))
-    pairs = pairs.withColumn("share", F.col("n_found") / F.col("item_windows")).where(F.col("share") >= share)
-    agreed = agreed.withColumnsRenamed({"key": "a_key", "item": "a_item"})
-    joined = pairs.join(agreed, F.col("key").eqNullSafe(F.col("a_key")) & F.col("item").eqNullSafe(F.col("a_item")), "left")
-    leaks = joined.select(
-        F.col("key").alias(key),
-        F.col("item").alias(item_key),
-        "n_found",
-        "share",
-        F.coalesce("agreement", F.lit(1.0)).alias("agreement"),
-        F.coalesce("verbatim", F.lit(True)).alias("verbatim"),
-        "first_word",
-        "last_word",
-    )
-    return leaks.where(F.col("agreement") >= agreement)
+    agreed = mapped.groupBy(*alignment).agg((F.sum("most") / F.sum("all")).alias("agreement"), (F.min("same") == 1).alias("verbatim"))
+    agreed = agreed.withColumnsRenamed({c: f"a_{c}" for c in alignment})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in alignment])
+    joined = pairs.join(agreed, same, "left").withColumns({"agreement": F.coalesce("agreement", F.lit(1.0)), "verbatim": F.coalesce("verbatim", F.lit(True))})
+    return joined.select("key", "item", "n_found", "share", "agreement", "verbatim", "first_word", "last_word")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,3 +67,16 @@ def test_finds_the_passages_of_the_tables(spark):
     holding = {(d.doc_id, i.item_id) for i in items for d in docs if " ".join(i.text.lower().split()) in " ".join(d.text.lower().split())}
     found = {(r.doc_id, r.item_id) for r in decontaminate.query(spark, folder).collect()}
     assert holding <= found and len(found) <= len(holding) + 3
+
+
+LONG_ITEM = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(200))
+
+
+def test_alignments_are_judged_one_by_one(spark):
+    item = "the farmer sold 5 eggs and 7 hens on monday and 5 eggs and 9 hens on the following friday morning"
+    changed = " ".join(item.replace("5", str(n), 1).replace("5", str(n + 1)) + " " + FILL for n in range(20, 40))
+    words = [w for w in LONG_ITEM.split()][:60]
+    # verbatim beside twenty copies of inconsistent values; windows of an item far apart from each other, in wrong order
+    scattered = " ".join(" ".join(words[i : i + 8]) + " " + FILL for i in range(50, -1, -3))
+    found = leaks(spark, [FILL + item + " " + changed, FILL + scattered], [(1, item), (2, " ".join(words))])
+    assert set(found) == {(0, 1)} and found[0, 1].verbatim
