@@ -12,6 +12,7 @@ alignment is one offset, or a run of offsets of which neighbours differ by at mo
 A pair is a leak if one alignment by itself holds at least ``share`` of the item's windows and its slots are consistent:
 each of the item's slot values stands for one value of the document throughout (of most of its places, ``agreement``),
 which holds for a verbatim copy and for a copy with values replaced, but not for a template that merely occurs in both.
+A pair is a leak as well, however long the item, if ``run_words`` of its running words occur with equal values.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ WINDOW = 8
 LEAST_WORDS = 4
 SHARE = 0.3
 AGREEMENT = 0.8
+RUN_WORDS = 13
 DRIFT = 8
 # Item windows that are looked up in memory at once; more of them are looked up in further blocks of as many.
 BLOCK_WINDOWS = 2_000_000
@@ -222,10 +224,11 @@ def find_leaks(
     least_words: int = LEAST_WORDS,
     share: float = SHARE,
     agreement: float = AGREEMENT,
+    run_words: int = RUN_WORDS,
 ) -> DataFrame:
     """Leaks: key, item key, n_found and share of the item's windows, agreement, verbatim, first_word, last_word.
 
-    One row per pair of document and item, with the figures of its best alignment. Rows of either table that share a key are judged together. Null and empty
+    One row per pair of document and item, with the figures of its best alignment or verbatim run. Rows of either table that share a key are judged together. Null and empty
     texts have no windows. Items are a query set: their windows are held in blocks of BLOCK_WINDOWS hashes, each against
     all texts. Hits are rows of matching windows only, so a passage in very many texts gives rows in proportion.
     """
@@ -246,6 +249,7 @@ def find_leaks(
         hits = hits.unionByName(part)
     few = blocks == 1  # at most BLOCK_WINDOWS short rows
     lined = hits.join(F.broadcast(windows) if few else windows, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
+    lined = lined.withColumn("equal", F.col("item_values") == F.col("doc_values"))
     # alignments: each offset alone, and runs of offsets whose neighbours differ by at most DRIFT words
     pair = Window.partitionBy("key", "item").orderBy("shift")
     apart = (F.col("shift") - F.lag("shift").over(pair) > DRIFT).cast("int")
@@ -254,7 +258,7 @@ def find_leaks(
     fit = reduce(DataFrame.unionByName, found).where((F.col("share") >= share) & (F.col("agreement") >= agreement))
     order = ["share", "verbatim", "agreement", "n_found", "first_word", "last_word"]
     # one row per pair, that of its best alignment
-    best = fit.groupBy("key", "item").agg(F.max(F.struct(*order)).alias("b"))
+    best = fit.unionByName(_verbatim_runs(lined, run_words)).groupBy("key", "item").agg(F.max(F.struct(*order)).alias("b"))
     return best.select(
         F.col("key").alias(key),
         F.col("item").alias(item_key),
@@ -292,5 +296,19 @@ def _aligned(lined: DataFrame, by: str) -> DataFrame:
     return joined.select("key", "item", "n_found", "share", "agreement", "verbatim", "first_word", "last_word")
 
 
+def _verbatim_runs(lined: DataFrame, run_words: int) -> DataFrame:
+    """Runs of neighbouring item windows on one offset, all values equal, that cover at least ``run_words`` words."""
+    equal = lined.where("equal").select("key", "item", "shift", "item_pos", "length", "item_windows").distinct()
+    place = F.dense_rank().over(Window.partitionBy("key", "item", "shift").orderBy("item_pos"))
+    runs = equal.withColumn("run", F.col("item_pos") - place).groupBy("key", "item", "shift", "run").agg(
+        F.countDistinct("item_pos").alias("n_found"),
+        F.first("item_windows").alias("item_windows"),
+        (F.min("item_pos") + F.col("shift")).alias("first_word"),
+        (F.max(F.col("item_pos") + F.col("length")) + F.col("shift") - 1).alias("last_word"),
+    )
+    long = runs.where(F.col("last_word") - F.col("first_word") + 1 >= run_words)
+    return long.select("key", "item", "n_found", (F.col("n_found") / F.col("item_windows")).alias("share"), F.lit(1.0).alias("agreement"), F.lit(True).alias("verbatim"), "first_word", "last_word")
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))

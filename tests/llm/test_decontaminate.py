@@ -72,6 +72,12 @@ def test_finds_the_passages_of_the_tables(spark):
 LONG_ITEM = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(200))
 
 
+def test_long_verbatim_runs_are_leaks_however_long_the_item(spark):
+    words = LONG_ITEM.split()
+    texts = [FILL + " ".join(words[50:63]) + " " + FILL, FILL + " ".join(words[50:62]) + " " + FILL, FILL.join([" ".join(words[i : i + 10]) + " " for i in (0, 60, 120)])]
+    assert set(leaks(spark, texts, [(1, LONG_ITEM)])) == {(0, 1)}
+
+
 def test_alignments_are_judged_one_by_one(spark):
     item = "the farmer sold 5 eggs and 7 hens on monday and 5 eggs and 9 hens on the following friday morning"
     changed = " ".join(item.replace("5", str(n), 1).replace("5", str(n + 1)) + " " + FILL for n in range(20, 40))
