@@ -6,6 +6,11 @@ a number is a ``unit`` slot; a capitalised word that does not begin a sentence i
 slot; every other word is itself, in lower case. Windows are ``window`` consecutive canonical words of which at least
 ``least_words`` are no slots (an item with fewer words has one window, the whole of it, if it has that many).
 
+Readings. Windows are read three times: NAMED as above; CASELESS, where a name is a word like others, so that a copy in
+other case or without its full stops has the same windows; VERBATIM, where every word is itself, numbers too, and no
+least number of plain words is asked for (windows of numbers alone count in verbatim runs only). A share is taken per
+reading, of the item's windows that the reading has, and the greatest counts.
+
 Join. The windows of the items are hashed; each text's windows are looked up among them, and those found are joined by
 hash. For each pair of document and item, the item's windows found are lined up by the offset between both texts. An
 alignment is one offset, or a run of offsets of which neighbours differ by at most DRIFT words (words put in or left out).
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +53,7 @@ UNITS = frozenset(
     " dollars cent cents euro euros pound pounds usd eur gbp kmh mph kb mb gb tb".split()
 )
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
+NAMED, CASELESS, VERBATIM = 0, 1, 2
 SLOTS = ("", "<number>", "<unit>", "<name>")
 _SEPARATOR = np.ones(256, dtype=bool)
 _SEPARATOR[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = False
@@ -124,6 +131,12 @@ def hash_windows(tokens: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.
     return place, hashed[place].view(np.int64)
 
 
+def readings(tokens: np.ndarray, kind: np.ndarray, values: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Each reading with its words and, as running totals, those that the reading before holds as slots."""
+    totals = [np.concatenate(([0], np.cumsum(mask))) for mask in (kind == NAME, (kind == NUMBER) | (kind == UNIT))]
+    return [(NAMED, tokens, np.zeros(0, dtype=np.int64)), (CASELESS, np.where(kind == NAME, values, tokens), totals[0]), (VERBATIM, values, totals[1])]
+
+
 def _lists(values: np.ndarray, place: np.ndarray, length: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Lists ``values[place[i] : place[i] + length[i]]``."""
     ends = np.concatenate(([0], np.cumsum(length)))
@@ -147,11 +160,13 @@ def _key_type(df: DataFrame) -> str:
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per window of each item: item, item_pos, hash, kinds and item_values of its words, length, item_windows.
+    """One row per window and reading of each item: item, item_pos, hash, kinds and item_values of its words, length,
+    reading (the strictest with this hash), in_named, in_caseless, in_verbatim (readings whose share counts the window),
+    and all_named, all_caseless, all_verbatim, the item's numbers of these.
 
-    An item's first word may stand within a sentence of a text, so windows that begin with it are there in both readings.
-    An item with fewer words than ``window`` has one window, of all its words. Items without a window of enough plain
-    words, null and empty ones among them, have no row. Rows that share a key are read as one item each and joined.
+    An item's first word may stand within a sentence of a text, so windows that begin with it are there in both ways.
+    An item with fewer words than ``window`` has one window, of all its words. Items of fewer than ``least_words`` words,
+    null and empty ones among them, have no row. Rows that share a key are read as one item each and joined.
     """
     ship_package(items.sparkSession)
     given = keyed_text(items, key, text)
@@ -162,24 +177,30 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", win
                 for head_opens in (True, False):
                     tokens, kind, values, rows = canonical(part.column("text"), head_opens)
                     count = np.diff(rows)
-                    plain = np.concatenate(([0], np.cumsum(kind == WORD)))
-                    places, lengths, hashes = [], [], []
-                    for length in range(least_words, window + 1):
-                        place, hashed = hash_windows(tokens, rows, length)
-                        owner = np.searchsorted(rows, place, side="right") - 1
-                        fit = ((count[owner] == length) | (length == window)) & (plain[place + length] - plain[place] >= least_words)
-                        fit &= head_opens | (place == rows[owner])
-                        places.append(place[fit])
-                        hashes.append(hashed[fit])
-                        lengths.append(np.full(fit.sum(), length))
-                    place, length, hashed = np.concatenate(places), np.concatenate(lengths), np.concatenate(hashes)
+                    totals = [np.concatenate(([0], np.cumsum(mask))) for mask in (kind == WORD, (kind == WORD) | (kind == NAME), kind != NUMBER, kind == NAME, kind != WORD)]
+                    out = []
+                    # names at the head differ in the first reading alone
+                    for reading, words, _ in readings(tokens, kind, values)[: 3 if head_opens else 1]:
+                        for length in range(least_words, window + 1):
+                            place, hashed = hash_windows(words, rows, length)
+                            owner = np.searchsorted(rows, place, side="right") - 1
+                            whole = ((count[owner] == length) | (length == window)) & (head_opens | (place == rows[owner]))
+                            plain, worded, lettered, names_in, slots_in = (t[place + length] - t[place] for t in totals)
+                            counted = [plain >= least_words, worded >= least_words, lettered > 0]
+                            fit = whole & (counted[reading] if reading < VERBATIM else True)
+                            strictest = [np.where(slots_in == 0, VERBATIM, np.where(names_in == 0, CASELESS, NAMED)), np.where(slots_in == names_in, VERBATIM, CASELESS), np.full(len(place), VERBATIM)]
+                            out.append([x[fit] for x in (place, np.full(len(place), length), hashed, strictest[reading], *counted)])
+                    place, length, hashed, strict, *counted = (np.concatenate(x) for x in zip(*out))
                     columns = _rows(part.column("key"), rows, place, length, hashed, kind, values)
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(length.astype(np.int32))], names=names)
+                    extra = [pa.array(length.astype(np.int32)), pa.array(strict.astype(np.int32)), *map(pa.array, counted)]
+                    yield pa.RecordBatch.from_arrays([*columns, *extra], names=names)
 
-    names = ["item", "item_pos", "hash", "kinds", "item_values", "length"]
-    schema = f"item {_key_type(given)}, item_pos int, hash bigint, kinds array<int>, item_values array<bigint>, length int"
+    counts = ["named", "caseless", "verbatim"]
+    names = ["item", "item_pos", "hash", "kinds", "item_values", "length", "reading", *[f"in_{c}" for c in counts]]
+    schema = f"item {_key_type(given)}, item_pos int, hash bigint, kinds array<int>, item_values array<bigint>, length int, reading int, in_named boolean, in_caseless boolean, in_verbatim boolean"
     found = given.mapInArrow(tidied(run), schema).dropDuplicates(["item", "item_pos", "hash"])
-    return found.join(found.groupBy("item").agg(F.countDistinct("item_pos").cast("int").alias("item_windows")), "item")
+    totals = found.groupBy(F.col("item").alias("t_item")).agg(*[F.countDistinct(F.when(F.col(f"in_{c}"), F.col("item_pos"))).cast("int").alias(f"all_{c}") for c in counts])
+    return found.join(totals, F.col("item").eqNullSafe(F.col("t_item"))).drop("t_item")
 
 
 def text_hits(docs: DataFrame, hashes: np.ndarray, lengths: list[int], key: str, text: str) -> DataFrame:
@@ -198,9 +219,11 @@ def text_hits(docs: DataFrame, hashes: np.ndarray, lengths: list[int], key: str,
             for part in slices(batch, "text", SLICE_BYTES):
                 tokens, kind, values, rows = canonical(part.column("text"))
                 places, sizes, found = [], [], []
-                for length in lengths:
-                    place, hashed = hash_windows(tokens, rows, length)
+                for (_, words, slots), length in product(readings(tokens, kind, values), lengths):
+                    place, hashed = hash_windows(words, rows, length)
                     maybe = np.flatnonzero(sieve[hashed & 0xFFFFFF])
+                    if len(slots):  # without slots the window is that of the reading before
+                        maybe = maybe[slots[place[maybe] + length] > slots[place[maybe]]]
                     maybe = maybe[known[np.minimum(np.searchsorted(known, hashed[maybe]), len(known) - 1)] == hashed[maybe]]
                     places.append(place[maybe])
                     found.append(hashed[maybe])
@@ -226,7 +249,7 @@ def find_leaks(
     agreement: float = AGREEMENT,
     run_words: int = RUN_WORDS,
 ) -> DataFrame:
-    """Leaks: key, item key, n_found and share of the item's windows, agreement, verbatim, first_word, last_word.
+    """Leaks: key, item key, n_found, share of the item's windows (the greatest of the readings'), agreement, verbatim, first_word, last_word.
 
     One row per pair of document and item, with the figures of its best alignment or verbatim run. Rows of either table that share a key are judged together. Null and empty
     texts have no windows. Items are a query set: their windows are held in blocks of BLOCK_WINDOWS hashes, each against
@@ -276,11 +299,15 @@ def _aligned(lined: DataFrame, by: str) -> DataFrame:
     alignment = ["key", "item", by]
     pairs = lined.groupBy(*alignment).agg(
         F.countDistinct("item_pos").alias("n_found"),
-        F.first("item_windows").alias("item_windows"),
+        F.countDistinct(F.when(F.col("in_named"), F.col("item_pos"))).alias("named"),
+        F.countDistinct(F.when(F.col("in_caseless") & (F.col("equal") | (F.col("reading") >= CASELESS)), F.col("item_pos"))).alias("caseless"),
+        F.countDistinct(F.when(F.col("in_verbatim") & F.col("equal"), F.col("item_pos"))).alias("verbatim_found"),
+        *[F.first(c).alias(c) for c in ("all_named", "all_caseless", "all_verbatim")],
         F.min("pos").alias("first_word"),
         F.max(F.col("pos") + F.col("length") - 1).alias("last_word"),
     )
-    pairs = pairs.withColumn("share", F.col("n_found") / F.col("item_windows"))
+    shares = [F.coalesce(F.try_divide(F.col(n), F.col(f"all_{r}")), F.lit(0.0)) for n, r in (("named", "named"), ("caseless", "caseless"), ("verbatim_found", "verbatim"))]
+    pairs = pairs.withColumn("share", F.greatest(*shares))
     offsets = list(dict.fromkeys([*alignment, "shift"]))
     slots = lined.select(*offsets, "item_pos", F.explode(F.arrays_zip("kinds", "item_values", "doc_values", F.sequence(F.lit(0), F.col("length") - 1).alias("k"))).alias("s"))
     # each place once, however many windows cover it
@@ -298,16 +325,17 @@ def _aligned(lined: DataFrame, by: str) -> DataFrame:
 
 def _verbatim_runs(lined: DataFrame, run_words: int) -> DataFrame:
     """Runs of neighbouring item windows on one offset, all values equal, that cover at least ``run_words`` words."""
-    equal = lined.where("equal").select("key", "item", "shift", "item_pos", "length", "item_windows").distinct()
+    equal = lined.where("equal").select("key", "item", "shift", "item_pos", "length", "in_verbatim", "all_verbatim").distinct()
     place = F.dense_rank().over(Window.partitionBy("key", "item", "shift").orderBy("item_pos"))
     runs = equal.withColumn("run", F.col("item_pos") - place).groupBy("key", "item", "shift", "run").agg(
         F.countDistinct("item_pos").alias("n_found"),
-        F.first("item_windows").alias("item_windows"),
+        F.countDistinct(F.when(F.col("in_verbatim"), F.col("item_pos"))).alias("counted"),
+        F.first("all_verbatim").alias("all_verbatim"),
         (F.min("item_pos") + F.col("shift")).alias("first_word"),
         (F.max(F.col("item_pos") + F.col("length")) + F.col("shift") - 1).alias("last_word"),
     )
     long = runs.where(F.col("last_word") - F.col("first_word") + 1 >= run_words)
-    return long.select("key", "item", "n_found", (F.col("n_found") / F.col("item_windows")).alias("share"), F.lit(1.0).alias("agreement"), F.lit(True).alias("verbatim"), "first_word", "last_word")
+    return long.select("key", "item", "n_found", F.coalesce(F.try_divide(F.col("counted"), F.col("all_verbatim")), F.lit(0.0)).alias("share"), F.lit(1.0).alias("agreement"), F.lit(True).alias("verbatim"), "first_word", "last_word")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

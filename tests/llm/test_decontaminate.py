@@ -86,3 +86,16 @@ def test_alignments_are_judged_one_by_one(spark):
     scattered = " ".join(" ".join(words[i : i + 8]) + " " + FILL for i in range(50, -1, -3))
     found = leaks(spark, [FILL + item + " " + changed, FILL + scattered], [(1, item), (2, " ".join(words))])
     assert set(found) == {(0, 1)} and found[0, 1].verbatim
+
+
+GERMAN = "Der Bauer verkauft dem Nachbarn zwei Kisten Birnen und der Nachbar bringt dem Bauern einen Sack Mehl vom Markt in die Scheune"
+NAMES = "Anna Berg, Carl Dorn, Emma Falk, Georg Hahn, Ida Jung and Karl Lang met Maria Nagel"
+SUMS = "Add 17 and 25, 31, 48, 52, 66, 73, 89, 94, 105"
+
+
+def test_copies_in_other_case_and_copies_rich_in_slots_are_leaks(spark):
+    texts = [FILL + t + " " + FILL for t in (ITEM.lower(), ITEM.upper(), GERMAN.lower(), NAMES, NAMES.lower(), SUMS, SUMS.replace("5", "4"))]
+    texts.append(FILL + ITEM.lower().replace("120", "350").replace("9", "7") + FILL)
+    found = leaks(spark, texts, [(1, ITEM), (2, GERMAN), (3, NAMES), (4, SUMS)])
+    assert set(found) == {(0, 1), (1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (7, 1)}
+    assert found[0, 1].share == 1.0 and found[0, 1].verbatim and not found[7, 1].verbatim
