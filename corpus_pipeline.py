@@ -25,11 +25,23 @@ from raritas.llm.components import components  # noqa: E402
 NEAR = near_join.Rule(words=5, percent=80)
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not among ``keys`` (one column, __gone), null matching null."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with __key: the doc_id, or where there are null ones a struct in which each of these rows has a key of
+    its own, above all others. Rows without a doc_id are written first, so that their numbers stay."""
+    none = docs.where("doc_id IS NULL")
+    if none.isEmpty():
+        return docs.withColumn("__key", F.col("doc_id"))
+    none = cut_lineage(none.withColumns({"__hash": F.xxhash64("text"), "__row": F.monotonically_increasing_id()}))
+    rest = docs.where("doc_id IS NOT NULL").withColumns({c: F.lit(None).cast("long") for c in ("__hash", "__row")})
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "__hash", "__row")
+    return rest.unionByName(none).withColumn("__key", key).drop("__hash", "__row")
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose __key is not among ``keys`` (one column, __gone)."""
     keys = cut_lineage(keys.distinct())
     few = keys.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(keys) if few else keys, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return keyed.join(F.broadcast(keys) if few else keys, F.col("__key") == F.col("__gone"), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,28 +59,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without a word are linked with nothing and stay. Rows that share a doc_id are one document, whatever their
     texts: their groups are one, and of rows with the doc_id that stays, if any of them is linked, the first by text does.
+    Rows without a doc_id are documents of their own, which go before those that have one.
     """
-    groups = cut_lineage(near_join.near_join(docs, rule=NEAR))
-    ends = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most"))
-    parted = cut_lineage(ends.where("least < most").select("doc_id", "least"))
+    keyed = _keyed(docs)
+    groups = cut_lineage(near_join.near_join(keyed, key="__key", rule=NEAR))
+    ends = groups.groupBy("__key").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most"))
+    parted = cut_lineage(ends.where("least < most").select("__key", "least"))
     if not parted.isEmpty():
-        joined = components(groups.join(parted, "doc_id").select(F.col("component_id").alias("a"), F.col("least").alias("b")))
+        joined = components(groups.join(parted, "__key").select(F.col("component_id").alias("a"), F.col("least").alias("b")))
         merged = groups.join(joined, F.col("component_id") == F.col("a"), "left")
-        groups = cut_lineage(merged.select("doc_id", "n_links", F.coalesce("m", "component_id").alias("component_id")))
-    kept = _without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")))
-    repeated = cut_lineage(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_links").alias("links")).where("n > 1 AND links > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")))
+        groups = cut_lineage(merged.select("__key", "n_links", F.coalesce("m", "component_id").alias("component_id")))
+    kept = _without(keyed, groups.where("__key <> component_id").select(F.col("__key").alias("__gone")))
+    repeated = cut_lineage(groups.groupBy("__key").agg(F.count(F.lit(1)).alias("n"), F.max("n_links").alias("links")).where("n > 1 AND links > 0").select(F.col("__key").alias("__gone")))
     if repeated.isEmpty():
-        return kept
-    columns = docs.columns
-    again = kept.join(repeated, F.col("doc_id") == F.col("__gone"), "left_semi")
-    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return _without(kept, repeated).unionByName(first)
+        return kept.select(*docs.columns)
+    again = kept.join(repeated, F.col("__key") == F.col("__gone"), "left_semi")
+    first = again.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return _without(kept, repeated).select(*docs.columns).unionByName(first)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, verbatim or with its values replaced."""
+    """Documents that hold no benchmark item, verbatim or with its values replaced. Rows without a doc_id are judged one
+    by one."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.find_leaks(docs, items).select(F.col("doc_id").alias("__gone")))
+    keyed = _keyed(docs)
+    leaks = decontaminate.find_leaks(keyed, items, key="__key").select(F.col("__key").alias("__gone"))
+    return _without(keyed, leaks).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,16 @@ def test_empty_documents(spark, documents):
     for stage in STAGES.values():
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0
+
+
+def test_rows_without_a_doc_id_are_documents_of_their_own(spark):
+    one, two, three = ("the old man of the sea went out to fish", "a b c d e f g h i j", "k l m n o p q r s t")
+    rows = [(4, one), (None, one), (None, two), (None, two), (None, three), (None, "clean and linked with nothing at all"), (None, None), (6, three + " u v w x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = STAGES["near_duplicates"](spark, docs, FOLDER)
+    wanted = [(4, one), (None, two), (None, three), (None, "clean and linked with nothing at all"), (None, None), rows[-1]]
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == sorted(wanted, key=str)
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy(F.desc(F.length("text"))).first().text
+    more = docs.unionByName(spark.createDataFrame([(None, item), (None, "so it goes " + item), (9, item)], "doc_id long, text string"))
+    clean = STAGES["benchmark_decontamination"](spark, more, FOLDER)
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect()), key=str) == sorted(rows, key=str)
