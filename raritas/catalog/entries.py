@@ -425,16 +425,26 @@ register("stratified_folds", _folds, sql.stratified_folds(10, 3))
 
 # ---------------------------------------------------------------- trained detectors
 
-# Parts that the sample is trained on side by side, and the labelled rows that the search of networks fits weights on.
+# Least number of parts that the sample is trained on side by side, the rows of one at most (about: dealt by hash), and the labelled rows that the search of networks fits weights on.
 SHARDS = 8
+SHARD_ROWS = 50_000
 FIT_ROWS = 400
 FEW_TREES = 10
 
 
+def shards_of(rows: int) -> int:
+    """Parts for the sample of a table of so many rows."""
+    return max(SHARDS, -(-int(SPLIT * rows) // SHARD_ROWS))
+
+
+def _shards(spark: SparkSession, folder: str, method: str) -> int:
+    return shards_of(NUM3.read(spark, folder).count()) if method == "AE" else SHARDS
+
+
 def _detected(method: str, profile: str = "small", compat: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         view = NUM3.read_spread(spark, folder)
-        flagged = detect(view, NUM3.key, method, SPLIT, profile=profile, shards=SHARDS, compat=compat)
+        flagged = detect(view, NUM3.key, method, SPLIT, profile=profile, shards=_shards(spark, folder, method), compat=compat)
         return as_text(flagged, NUM3.key, method)
 
     return query
@@ -442,7 +452,8 @@ def _detected(method: str, profile: str = "small", compat: bool = False) -> Quer
 
 def _ranked(method: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        flagged = cut_lineage(detect(NUM3.read_spread(spark, folder), NUM3.key, method, SPLIT, profile="small", shards=SHARDS))
+        shards = _shards(spark, folder, method)
+        flagged = cut_lineage(detect(NUM3.read_spread(spark, folder), NUM3.key, method, SPLIT, profile="small", shards=shards))
         return rank_rows(flagged, NUM3.key, method, 0, TOP)[0]
 
     return query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from raritas import detect, rank_attributes, rank_rows
 from raritas.functions import quantiles
 from raritas.functions.quantiles import exact_percentiles
+from raritas.catalog import entries
 from raritas.operators import autoencoder, iforest, loda
 from raritas.operators.autoencoder import NetSpec, fit_autoencoder, gradient, initial_weights, reconstruction_error
 from raritas.operators.evaluate import evaluate, stratified_folds
@@ -324,3 +325,9 @@ def test_bounded_fitting_still_judges_every_labelled_row(spark, cloud):
     grid = NetGrid(layers=[(4, 1, 4)], epochs=[2], activations=["relu"], batches=[64])
     found = search_autoencoder(turned, "id", ATTRS, "label", grid, splits=3, repeats=1, fit_rows=60).first()
     assert found["accuracy"] < 0.4
+
+
+def test_shards_follow_the_table():
+    for rows in (0, 1000, 600_000, 10**7, 10**9):
+        assert entries.shards_of(rows) >= entries.SHARDS
+        assert entries.SPLIT * rows / entries.shards_of(rows) <= entries.SHARD_ROWS
