@@ -172,7 +172,7 @@ def loda_ctes(view: View, split: float = 0.5, contamination: float = 0.1, bins:
         surprise AS MATERIALIZED (SELECT id, {surprise} FROM binned {joins}),
         scored AS MATERIALIZED ({scored}),
         thr AS MATERIALIZED (SELECT set_id, quantile_cont(score, {1 - contamination}) AS t FROM scored SEMI JOIN smp USING (id) GROUP BY set_id),
-        flag AS (SELECT s.*, s.score > t.t AS is_outlier FROM scored s JOIN thr t ON s.set_id = t.set_id)"""
+        flag AS MATERIALIZED (SELECT s.*, s.score > t.t AS is_outlier FROM scored s JOIN thr t ON s.set_id = t.set_id)"""
 
 
 def loda_scores(view: View) -> str:
