@@ -28,8 +28,10 @@ from raritas.llm.common import SPACES, keyed_text, shared_folder, slices, string
 
 END_ID = 1
 SLICE_BYTES = 8 << 20
-# Distinct parts a task remembers between batches; beyond it the memory starts anew, nothing is dropped.
-MEMORY_PARTS = 400_000
+# What a worker remembers between batches and tasks: distinct parts, and the bytes of their letters and ids. Beyond
+# either, the older half is forgotten; such parts are encoded again when they return.
+MEMORY_PARTS = 600_000
+MEMORY_BYTES = 32 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
 
@@ -66,13 +68,23 @@ class PartCoder:
         self.flat = np.zeros(0, dtype=np.int32)
         self.first = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
+        self.bytes = 0
+
+    def forget_older(self) -> None:
+        """Keep the younger half of the parts, which are numbered as they were met."""
+        kept = list(self.places)[(len(self.places) + 1) // 2 :]
+        start = len(self.first) - len(kept)
+        at = self.first[start] if kept else len(self.flat)
+        self.flat, self.first, self.size = self.flat[at:].copy(), self.first[start:] - at, self.size[start:].copy()
+        self.places = dict(zip(kept, range(len(kept)), strict=True))
+        self.bytes = sum(map(len, kept))
 
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each part begin in ``flat``, and how many they are."""
         new = [p for p in parts if p not in self.places]
-        if len(self.places) + len(new) > MEMORY_PARTS:
-            self.forget()
-            new = parts
+        while self.places and (len(self.places) + len(new) > MEMORY_PARTS or self.bytes + 4 * len(self.flat) > MEMORY_BYTES):
+            self.forget_older()
+            new = [p for p in parts if p not in self.places]
         words, rest = [], []
         for p in new:
             (words if p.isascii() and p.isalpha() else rest).append(p)
@@ -89,6 +101,7 @@ class PartCoder:
         self._singly(rest, chunks, sizes)
         if new:
             self.places.update(zip([*words, *rest], range(len(self.places), len(self.places) + len(new)), strict=True))
+            self.bytes += sum(map(len, new))
             added = np.concatenate(sizes)
             self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(added) - added))
             self.size = np.concatenate((self.size, added))
@@ -154,7 +167,6 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, key: str, text: str, end_
                     bounds = bounds + np.arange(len(bounds))
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("key"), lists], names=["key", "ids"])
-        code.forget()
 
     return given.mapInArrow(tidied(run), schema)
 
@@ -188,10 +200,12 @@ def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``start`` to rows with file, row and n_tokens: the ids of all documents before it in the files.
 
     It comes from the counts alone: sums per file, a running sum over the files (as many rows as files), and running
-    sums within each file in the order of its rows.
+    sums within each file in the order of its rows. Files are in the order of their part numbers, which Spark writes with
+    five digits at least, and of their names where one task wrote several.
     """
     totals = files.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("in_file"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"part-(\d+)", 1)
+    earlier = Window.orderBy(F.length(number), number, "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("file", F.coalesce(F.sum("in_file").over(earlier), F.lit(0)).alias("base"))
     before = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("n_tokens").over(before), F.lit(0))

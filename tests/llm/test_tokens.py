@@ -37,8 +37,9 @@ def test_split_ids_equal_whole_ones():
             assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
-def test_memory_starts_anew_and_loses_nothing(monkeypatch):
-    monkeypatch.setattr(token_files, "MEMORY_PARTS", 50)
+@pytest.mark.parametrize("limit, most", [("MEMORY_PARTS", 50), ("MEMORY_BYTES", 400)])
+def test_memory_is_halved_and_loses_nothing(monkeypatch, limit, most):
+    monkeypatch.setattr(token_files, limit, most)
     code, plain = token_files.PartCoder(WORD), Tokenizer.from_file(WORD)
     for text in texts(200):
         ids, _ = token_files.token_ids(code, pa.array([text]))
@@ -70,6 +71,15 @@ def test_files_round_trip(spark, tmp_path):
         at += len(ids)
 
 
+def test_files_stand_in_the_order_of_their_numbers(spark, tmp_path):
+    given = {"part-99999-a.parquet": [1, 2], "part-100000-a.parquet": [3], "part-09999-a.parquet": [0]}
+    for name, keys in given.items():
+        lists = pa.array([[k, 1] for k in keys], pa.list_(pa.int32()))
+        pq.write_table(pa.table({"key": pa.array(keys, pa.int64()), "n_tokens": pa.array([2] * len(keys), pa.int64()), "ids": lists}), tmp_path / name)
+    out = token_files.token_digests(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.start for r in out} == {0: 0, 1: 2, 2: 4, 3: 6}
+
+
 def test_files_are_laid_out_for_selective_reads(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"the word {i} " * 20) for i in range(4000)], "doc_id long, text string")
     folder = token_files.write_token_files(docs.coalesce(1), str(tmp_path / "ids"), WORD)
