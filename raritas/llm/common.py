@@ -40,6 +40,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of our own whose table a later one has replaced."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tidied(run: Callable) -> Callable:
     """``run`` over a task's batches, after which the worker, which Spark keeps, gives unused memory back."""
 

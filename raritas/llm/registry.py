@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from raritas.llm import decontaminate, langid, mixing, near_join, secret_scan, spot_signatures, token_counts, token_files, url_filter, warc
+from raritas.llm import (
+    centroids,
+    decontaminate,
+    langid,
+    mixing,
+    near_join,
+    secret_scan,
+    spot_signatures,
+    token_counts,
+    token_files,
+    url_filter,
+    vector_codes,
+    warc,
+)
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -15,6 +28,15 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_mixing": mixing.query,
     "op10_near_join": near_join.query,
+    "op12_centroids": centroids.query,
+    "op13_vector_codes": vector_codes.query,
 }
 
-ORACLES = {"op3_spot_signatures": spot_signatures.SQL, "op5_warc": warc.SQL, "op8_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL}
+ORACLES = {
+    "op3_spot_signatures": spot_signatures.SQL,
+    "op5_warc": warc.SQL,
+    "op8_url_filter": url_filter.SQL,
+    "op9_mixing": mixing.SQL,
+    "op12_centroids": centroids.SQL,
+    "op13_vector_codes": vector_codes.SQL,
+}
