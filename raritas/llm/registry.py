@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from raritas.llm import (
+    bpe_lexicon,
     centroids,
     decontaminate,
     langid,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_mixing": mixing.query,
     "op10_near_join": near_join.query,
+    "op11_bpe_lexicon": bpe_lexicon.query,
     "op12_centroids": centroids.query,
     "op13_vector_codes": vector_codes.query,
 }
