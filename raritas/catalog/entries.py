@@ -13,7 +13,7 @@ from raritas.catalog.tables import DOC3, NUM2, NUM3, TEXT2, TEXT3, TEXT4, TEXT_L
 from raritas.catalog.workbook_bytes import as_workbooks
 from raritas.functions.runtime import cut_lineage, ensure_checkpoint_dir
 from raritas.operators import attributes, graph, ngram, rowrank
-from raritas.operators.autoencoder import input_statistics, product_features
+from raritas.operators.autoencoder import NetSpec, fit_autoencoder, input_statistics, product_features
 from raritas.operators.evaluate import evaluate, stratified_folds
 from raritas.operators.featuresets import feature_sets
 from raritas.operators.flags import collate_long, long_flags, members
@@ -430,6 +430,12 @@ SHARDS = 8
 SHARD_ROWS = 50_000
 FIT_ROWS = 400
 FEW_TREES = 10
+# Share of outliers, and digits to which scores are compared with their cut where SQL does the same.
+SHARE = 0.1
+COMPARED_DIGITS = 9
+# Exact steps, each over one of so many parts of the sample, of networks small enough for SQL.
+FEW_STEPS, FEW_BATCHES = 4, 2
+SMALL_NET = NetSpec((4, 2, 4), activation="tanh", learning_rate=0.05)
 
 
 def shards_of(rows: int) -> int:
@@ -476,6 +482,25 @@ def _forest_scores(spark: SparkSession, folder: str) -> DataFrame:
     return model.scores(table, NUM3.key).select(NUM3.key, "attrs", rounded("score", 6), "is_outlier")
 
 
+def _forest_share(spark: SparkSession, folder: str) -> DataFrame:
+    """The same few trees, with a share of the sample as outliers instead of a fixed score."""
+    table = NUM3.read_spread(spark, folder)
+    sample = train_sample(table, NUM3.key, SPLIT)
+    sets = feature_sets(len(NUM3.attrs))
+    model = fit_iforest(sample, NUM3.key, list(NUM3.attrs), sets, FEW_TREES, contamination=SHARE, digits=COMPARED_DIGITS)
+    return model.scores(table, NUM3.key).select(NUM3.key, "attrs", rounded("score", 6), "is_outlier")
+
+
+def _net_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Networks after a few exact steps over the whole sample, few enough to be taken in SQL as well."""
+    table = NUM3.read_spread(spark, folder)
+    sample = train_sample(table, NUM3.key, SPLIT)
+    model = fit_autoencoder(
+        sample, NUM3.key, list(NUM3.attrs), SMALL_NET, SHARE, steps=FEW_STEPS, batches=FEW_BATCHES, digits=COMPARED_DIGITS
+    )
+    return model.scores(table, NUM3.key).select(NUM3.key, "attrs", rounded("score", 6), "is_outlier")
+
+
 def _search_forest(spark: SparkSession, folder: str) -> DataFrame:
     return best(search_iforest(labelled(spark, folder), "doc_id", list(DOC3.attrs), "truth"))
 
@@ -485,12 +510,14 @@ def _search_net(spark: SparkSession, folder: str) -> DataFrame:
 
 
 register("iforest_scores_few_trees", _forest_scores, sql.iforest_scores(NUM3, FEW_TREES))
+register("iforest_scores_share", _forest_share, sql.iforest_scores(NUM3, FEW_TREES, share=SHARE))
 register("iforest_flags", _detected("IF"), sql.iforest_wide(NUM3, PROFILES["small"].estimators))
 register("iforest_flags_big", _detected("IF", "big"), sql.iforest_wide(NUM3, PROFILES["big"].estimators))
 register("iforest_flags_compat", _detected("IF", compat=True), sql.iforest_wide_compat(NUM3, PROFILES["small"].estimators))
 register("iforest_rank_rows", _ranked("IF"), sql.iforest_rank_cutoff(NUM3, PROFILES["small"].estimators, TOP))
 register("autoencoder_flags", _detected("AE"))
 register("autoencoder_flags_big", _detected("AE", "big"))
+register("autoencoder_scores_few_steps", _net_steps, sql.autoencoder_steps(NUM3, SMALL_NET, FEW_STEPS, FEW_BATCHES, SHARE))
 register("autoencoder_inputs", _inputs, sql.autoencoder_inputs(NUM3))
 register("autoencoder_rank_rows", _ranked("AE"))
 register("grid_search_iforest", _search_forest)

@@ -6,6 +6,7 @@ import math
 from itertools import combinations
 
 from raritas.catalog.tables import View
+from raritas.operators.autoencoder import DRAW_DIGITS, DRAW_FACTOR, DRAW_PRIME, DRAW_STEPS, NetSpec
 
 
 def _sets(d: int, arities=(1, 2, 3)) -> list[tuple[int, tuple[int, ...]]]:
@@ -368,10 +369,20 @@ def attribute_summary(view: View, function: str) -> str:
 
 
 def iforest_scores(
-    view: View, trees: int, sets=None, split: float = 0.5, sample_seed: int = 0, most: int = 256, levels: int = 8, seed: int = 42
+    view: View,
+    trees: int,
+    sets=None,
+    split: float = 0.5,
+    sample_seed: int = 0,
+    most: int = 256,
+    levels: int = 8,
+    seed: int = 42,
+    share: float | None = None,
 ) -> str:
     """A forest per feature set: sub-samples by hashes of the keys, trees level by level by hashes of their nodes.
 
+    Scores above 0.5 are outliers, or with a ``share`` those above the percentile of the sample's scores to 9 digits.
+
     ``sets`` are (number, reported attributes, read attributes); values a set does not read are null. For samples of
     129 rows at least, for which trees have ``levels`` levels.
     """
@@ -428,6 +439,12 @@ def iforest_scores(
             f" FROM w{k} w LEFT JOIN p{k} p ON w.set_id = p.set_id AND w.tree = p.tree AND w.node = p.node)"
         )
     labels = ", ".join(f"({i}, '{'-'.join(map(str, c))}')" for i, c, _ in sets)
+    if share is not None:
+        return f"""WITH {', '.join(ctes)}, names(set_id, attrs) AS (VALUES {labels}),
+        scored AS MATERIALIZED (SELECT id, w.set_id AS set_id, round(pow(2.0, -avg(path) / (SELECT {length} FROM (SELECT psi AS n FROM plan))), 9) AS score
+            FROM w{levels} w JOIN leaf l ON w.set_id = l.set_id AND w.tree = l.tree AND w.node = l.node GROUP BY id, w.set_id),
+        thr AS MATERIALIZED (SELECT set_id, quantile_cont(score, {1 - share}) AS t FROM scored SEMI JOIN smp USING (id) GROUP BY set_id)
+        SELECT id AS {view.key}, attrs, round(score, 6) AS score, score > t AS is_outlier FROM scored JOIN names USING (set_id) JOIN thr USING (set_id)"""
     return f"""WITH {', '.join(ctes)}, names(set_id, attrs) AS (VALUES {labels}),
         scored AS (SELECT id, w.set_id AS set_id, pow(2.0, -avg(path) / (SELECT {length} FROM (SELECT psi AS n FROM plan))) AS score
             FROM w{levels} w JOIN leaf l ON w.set_id = l.set_id AND w.tree = l.tree AND w.node = l.node GROUP BY id, w.set_id)
@@ -505,6 +522,86 @@ def autoencoder_inputs(view: View, split: float = 0.5) -> str:
     return f"WITH base AS ({view.base}), {sample_cte(split)} {lines}"
 
 
+def autoencoder_steps(
+    view: View, spec: NetSpec, steps: int, batches: int, share: float = 0.1, split: float = 0.5, seed: int = 0, digits: int = 9
+) -> str:
+    """A network per feature set, its weights by exact steps: forward, backward and update as joins and sums.
+
+    Weights are rows (set_id, l, i, j, w, m, v), a bias has i = -1. For one input, tanh and a sigmoid at the end.
+    """
+    widths, last = spec.widths, len(spec.widths) - 1
+    sets = _sets(len(view.attrs))
+    products = " UNION ALL ".join(f"SELECT {i} AS set_id, id, {' * '.join(f'a{a}' for a in c)} AS p FROM {{0}}" for i, c in sets)
+    number = f"CAST('0x' || substr(md5(id || ':{seed + 4}'), 1, {DRAW_DIGITS}) AS BIGINT)"
+    first = " UNION ALL ".join(
+        f"SELECT set_id, {l} AS l, i, j, {math.sqrt(6.0 / (a + b))!r}::DOUBLE * (2.0 * (CAST('0x' || substr(md5('{seed}:' || set_id || ':{l}:' || i || ':' || j), 1, 13)"
+        f" AS BIGINT) / 4503599627370496.0) - 1.0) AS w FROM stat, unnest(range({a})) AS x(i), unnest(range({b})) AS y(j)"
+        f" UNION ALL SELECT set_id, {l}, -1, j, 0.0 FROM stat, unnest(range({b})) AS y(j)"
+        for l, (a, b) in enumerate(zip(widths, widths[1:]), start=1)
+    )
+    ctes = [
+        f"base AS ({view.base})",
+        sample_cte(split),
+        f"stat AS MATERIALIZED (SELECT set_id, avg(p) AS mean, coalesce(nullif(stddev_pop(p), 0), 1) AS dev FROM ({products.format('smp')}) GROUP BY set_id)",
+        f"x AS MATERIALIZED (SELECT set_id, id, 0 AS j, (p - mean) / dev AS h FROM ({products.format('base')}) JOIN stat USING (set_id))",
+        f"drawn AS MATERIALIZED (SELECT id, {number} AS num FROM smp)",
+        f"w0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM ({first}))",
+    ]
+
+    def layer(l: int, before: str, weights: str) -> str:
+        """(set_id, id, j, z) of layer ``l``."""
+        return f"""SELECT s.set_id AS set_id, s.id AS id, s.j AS j, s.z + b.w AS z FROM (SELECT h.set_id AS set_id, h.id AS id, w.j AS j, sum(h.h * w.w) AS z
+            FROM {before} h JOIN {weights} w ON w.set_id = h.set_id AND w.i = h.j WHERE w.l = {l} GROUP BY h.set_id, h.id, w.j) s
+            JOIN {weights} b ON b.set_id = s.set_id AND b.j = s.j WHERE b.l = {l} AND b.i = -1"""
+
+    mix = f"(x * x + {DRAW_FACTOR} * x + 11) % {DRAW_PRIME}"
+    keep = 1.0 - spec.dropout
+    for t in range(steps):
+        w = f"w{t}"
+        ctes.append(f"h{t}_0 AS MATERIALIZED (SELECT x.* FROM x JOIN drawn USING (id) WHERE num % {batches} = {t % batches})")
+        ctes.append(f"n{t} AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM drawn WHERE num % {batches} = {t % batches})")
+        for l in range(1, last):
+            start = f"num + {DRAW_STEPS['step'] * t + DRAW_STEPS['layer'] * l} + {DRAW_STEPS['network']} * set_id + {DRAW_STEPS['unit']} * j"
+            ctes.append(
+                f"""a{t}_{l} AS MATERIALIZED (SELECT set_id, id, j, tanh(z) AS a, CASE WHEN d / {DRAW_PRIME}.0 >= {spec.dropout} THEN 1 / {keep!r}::DOUBLE ELSE 0.0 END AS mask
+                FROM (SELECT * EXCLUDE (x), {mix} AS d FROM (SELECT * EXCLUDE (x), {mix} AS x FROM
+                    (SELECT f.*, ({start}) % {DRAW_PRIME} AS x FROM ({layer(l, f"h{t}_{l - 1}", w)}) f JOIN drawn USING (id)))))"""
+            )
+            ctes.append(f"h{t}_{l} AS (SELECT set_id, id, j, a * mask AS h FROM a{t}_{l})")
+        out = layer(last, f"h{t}_{last - 1}", w)
+        ctes.append(f"o{t} AS (SELECT f.set_id AS set_id, f.id AS id, f.j AS j, 1 / (1 + exp(-z)) AS o, h AS x FROM ({out}) f JOIN h{t}_0 h ON h.set_id = f.set_id AND h.id = f.id)")
+        ctes.append(f"d{t}_{last} AS MATERIALIZED (SELECT set_id, id, j, (2 * (o - x) / n + {2 * spec.activity_l2} * o / n) * o * (1 - o) AS d FROM o{t}, n{t})")
+        for l in range(last - 1, 0, -1):
+            ctes.append(
+                f"""d{t}_{l} AS MATERIALIZED (SELECT a.set_id AS set_id, a.id AS id, a.j AS j, (back * mask + {2 * spec.activity_l2} * a / n) * (1 - a * a) AS d
+                FROM a{t}_{l} a JOIN (SELECT d.set_id AS set_id, d.id AS id, w.i AS j, sum(d.d * w.w) AS back FROM d{t}_{l + 1} d
+                    JOIN {w} w ON w.set_id = d.set_id AND w.j = d.j WHERE w.l = {l + 1} AND w.i >= 0 GROUP BY d.set_id, d.id, w.i) b
+                ON b.set_id = a.set_id AND b.id = a.id AND b.j = a.j, n{t})"""
+            )
+        slopes = " UNION ALL ".join(
+            f"""SELECT h.set_id AS set_id, {l} AS l, h.j AS i, d.j AS j, sum(h.h * d.d) AS g FROM h{t}_{l - 1} h
+                JOIN d{t}_{l} d ON d.set_id = h.set_id AND d.id = h.id GROUP BY h.set_id, h.j, d.j
+                UNION ALL SELECT set_id, {l}, -1, j, sum(d) FROM d{t}_{l} GROUP BY set_id, j"""
+            for l in range(1, last + 1)
+        )
+        rate = spec.learning_rate * math.sqrt(1.0 - 0.999 ** (t + 1)) / (1.0 - 0.9 ** (t + 1))
+        ctes.append(
+            f"""w{t + 1} AS MATERIALIZED (SELECT set_id, l, i, j, w - {rate!r}::DOUBLE * m / (sqrt(v) + 1e-7) AS w, m, v FROM (SELECT w.set_id AS set_id, w.l AS l,
+                w.i AS i, w.j AS j, w, 0.9 * m + 0.1 * g AS m, 0.999 * v + 0.001 * g * g AS v FROM {w} w
+                JOIN ({slopes}) g ON g.set_id = w.set_id AND g.l = w.l AND g.i = w.i AND g.j = w.j))"""
+        )
+    before = "x"
+    for l in range(1, last):
+        ctes.append(f"f{l} AS MATERIALIZED (SELECT set_id, id, j, tanh(z) AS h FROM ({layer(l, before, f'w{steps}')}))")
+        before = f"f{l}"
+    names = ", ".join(f"({i}, '{'-'.join(map(str, c))}')" for i, c in sets)
+    return f"""WITH {', '.join(ctes)}, names(set_id, attrs) AS (VALUES {names}),
+        scored AS MATERIALIZED (SELECT x.id AS id, x.set_id AS set_id, round(abs(x.h - 1 / (1 + exp(-z))), {digits}) AS score
+            FROM x JOIN ({layer(last, before, f"w{steps}")}) f ON f.set_id = x.set_id AND f.id = x.id),
+        thr AS MATERIALIZED (SELECT set_id, quantile_cont(score, {1 - share}) AS t FROM scored SEMI JOIN smp USING (id) GROUP BY set_id)
+        SELECT id AS {view.key}, attrs, round(score, 6) AS score, score > t AS is_outlier FROM scored JOIN names USING (set_id) JOIN thr USING (set_id)"""
+
+
 def evaluate_flags(view: View) -> str:
     return f"""WITH {loda_ctes(view)},
         judged AS (SELECT id, CAST(bool_or(is_outlier) AS INTEGER) AS prediction FROM flag GROUP BY id),

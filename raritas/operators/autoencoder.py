@@ -5,11 +5,17 @@ parallel: each shard of the sample runs some epochs from the common state, the s
 are averaged weighted by shard size (McMahan et al., 2017), and the next round starts from there. The number of shards
 and the epochs of a round are settings, whatever the size of the table. With one shard the average is that shard's
 state, so the rounds add up to ordinary mini-batch training.
+
+The other plan takes exact steps: a step's gradients are summed over the rows of all tasks, and the driver updates the
+weights once. Initial weights and dropout are drawn by hashing numbers and keys, so weights depend on the rows and the
+settings, and not on shards or partitions.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -21,7 +27,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raritas.functions.quantiles import exact_percentiles
+from raritas.functions.array_quantiles import array_percentiles
 from raritas.functions.runtime import ship_package, task_count
 from raritas.operators.featuresets import FeatureSet, feature_sets
 from raritas.operators.flags import collate_scores
@@ -129,29 +135,40 @@ def fresh_state(spec: NetSpec, rng: np.random.Generator) -> np.ndarray:
 
 def train_local(spec: NetSpec, state: np.ndarray, x: np.ndarray, epochs: int, rng: np.random.Generator) -> np.ndarray:
     """Mini-batch Adam over the rows of one shard, from a state to a state."""
-    flat, first, second = (part.copy() for part in np.split(state[:-1], 3))
-    step = state[-1]
+    size = len(state) // 3
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for start in range(0, len(x), spec.batch):
-            g = gradient(spec, flat, x[order[start : start + spec.batch]], rng)
-            step += 1
-            first = 0.9 * first + 0.1 * g
-            second = 0.999 * second + 0.001 * g * g
-            rate = spec.learning_rate * math.sqrt(1.0 - 0.999**step) / (1.0 - 0.9**step)
-            flat -= rate * first / (np.sqrt(second) + 1e-7)
-    return np.concatenate([flat, first, second, [step]])
+            state = adam_step(spec, state, gradient(spec, state[:size], x[order[start : start + spec.batch]], rng))
+    return state
+
+
+def adam_step(spec: NetSpec, state: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The state after one update by the gradient ``g``."""
+    flat, first, second = np.split(state[:-1], 3)
+    step = state[-1] + 1
+    first = 0.9 * first + 0.1 * g
+    second = 0.999 * second + 0.001 * g * g
+    rate = spec.learning_rate * math.sqrt(1.0 - 0.999**step) / (1.0 - 0.9**step)
+    return np.concatenate([flat - rate * first / (np.sqrt(second) + 1e-7), first, second, [step]])
 
 
 @dataclass(frozen=True)
 class Network:
-    """A network to train: each input is a product of attributes, standardised; rows of ``skip`` are left out."""
+    """A network to train: each input is a product of attributes, standardised.
+
+    Rows whose fold in a repeat is that of ``skip`` (repeat, fold) are left out. Random numbers are drawn by ``name``:
+    networks of one name and shape begin alike, and see the same rows and dropout in the same epoch. ``reads`` are epochs
+    before the last at which the weights are wanted, too.
+    """
 
     spec: NetSpec
     inputs: tuple[tuple[int, ...], ...]
     mean: tuple[float, ...]
     scale: tuple[float, ...]
-    skip: int | None = None
+    skip: tuple[int, int] | None = None
+    name: tuple[int, ...] = (0,)
+    reads: tuple[int, ...] = ()
 
     def read(self, table: np.ndarray) -> np.ndarray:
         columns = [reduce(np.multiply, [table[:, a] for a in attrs]) for attrs in self.inputs]
@@ -159,20 +176,27 @@ class Network:
 
 
 def train_networks(
-    rows: DataFrame, networks: list[Network], shards: int, seed: int = 0, local_epochs: int = LOCAL_EPOCHS
-) -> list[np.ndarray]:
-    """Weights of each network, trained on (shard, fold, _order, v) rows, ``v`` the array of attributes.
-
-    A group is one shard for a block of networks, so rows are sent once per block and never once per network. Only
-    states travel: to the tasks by broadcast, back through a two-level weighted mean, so that no task gathers the states
-    of all shards.
+    rows: DataFrame,
+    networks: list[Network],
+    shards: int,
+    seed: int = 0,
+    local_epochs: int = LOCAL_EPOCHS,
+    per_task: int = NETWORKS_PER_TASK,
+) -> dict[tuple[int, int], np.ndarray]:
+    """Weights by (network, epoch) for the last epoch and all ``reads``; ``rows`` are (shard, folds, _order, v).
+
+    ``v`` is the array of attributes and ``folds`` the row's fold in each repeat. A group is one shard for a block of
+    ``per_task`` networks, so rows are sent once per block and never once per network. Only states travel: to the tasks by
+    broadcast, from the second round on, and back through a two-level weighted mean, so that no task gathers the states of
+    all shards. Weights read at an epoch are those that training for so many epochs would end with.
     """
     spark = rows.sparkSession
     ship_package(spark)
-    states = {m: fresh_state(n.spec, np.random.default_rng([seed, m])) for m, n in enumerate(networks)}
-    blocks = math.ceil(len(networks) / NETWORKS_PER_TASK)
+    blocks = math.ceil(len(networks) / per_task)
     sent = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else rows.withColumn("block", F.lit(0))
     sent = sent.repartition(max(task_count(spark), shards * blocks), "block", "shard").persist()
+    states: dict[int, np.ndarray] = {}
+    weights: dict[tuple[int, int], np.ndarray] = {}
     try:
         for number in range(max(math.ceil(n.spec.epochs / local_epochs) for n in networks)):
             shared = spark.sparkContext.broadcast((states, networks))
@@ -181,38 +205,143 @@ def train_networks(
                 block, shard = int(group["block"].iloc[0]), int(group["shard"].iloc[0])
                 known, settings = shared.value
                 group = group.sort_values("_order")
-                table, fold = np.stack(group["v"].to_numpy()).astype(np.float64), group["fold"].to_numpy()
+                table, folds = np.stack(group["v"].to_numpy()).astype(np.float64), group["folds"].to_numpy()
                 lines = []
-                for m in range(block * NETWORKS_PER_TASK, min(len(settings), (block + 1) * NETWORKS_PER_TASK)):
+                for m in range(block * per_task, min(len(settings), (block + 1) * per_task)):
                     network = settings[m]
-                    x = network.read(table if network.skip is None else table[fold != network.skip])
-                    epochs = min(local_epochs, network.spec.epochs - number * local_epochs)
-                    state = known[m]
-                    if epochs > 0 and len(x):
-                        state = train_local(network.spec, state, x, epochs, np.random.default_rng([seed, m, shard, number]))
-                    lines.append((m, shard, float(len(x)), state))
-                return pd.DataFrame(lines, columns=["model", "shard", "size", "w"])
-
-            trained = sent.groupBy("block", "shard").applyInPandas(local, "model int, shard int, size double, w array<double>")
-            states.update(_averaged(trained.where("size > 0"), shards))
+                    skip = network.skip
+                    x = network.read(table if skip is None else table[[f[skip[0]] != skip[1] for f in folds]])
+                    state = known[m] if number else fresh_state(network.spec, np.random.default_rng([seed, *network.name]))
+                    last = min(network.spec.epochs, (number + 1) * local_epochs)
+                    for epoch in range(number * local_epochs, last if len(x) else 0):
+                        state = train_local(network.spec, state, x, 1, np.random.default_rng([seed, *network.name, shard, epoch]))
+                        if epoch + 1 in network.reads or epoch + 1 == last:
+                            going_on = epoch + 1 == last < network.spec.epochs
+                            lines.append((m, epoch + 1, shard, float(len(x)), state if going_on else state[: len(state) // 3]))
+                return pd.DataFrame(lines, columns=["model", "epoch", "shard", "size", "w"])
+
+            trained = sent.groupBy("block", "shard").applyInPandas(local, "model int, epoch int, shard int, size double, w array<double>")
+            states = {}
+            for (m, epoch), w in _averaged(trained, shards).items():
+                length = weight_count(networks[m].spec)
+                if len(w) > length:
+                    states[m] = w
+                if epoch == networks[m].spec.epochs or epoch in networks[m].reads:
+                    weights[m, epoch] = w[:length]
             shared.unpersist()
     finally:
         sent.unpersist()
-    return [states[m][: (len(states[m]) - 1) // 3] for m in range(len(networks))]
+    for m, network in enumerate(networks):  # a network without rows stays as it began
+        for epoch in {*network.reads, network.spec.epochs}:
+            if (m, epoch) not in weights:
+                weights[m, epoch] = initial_weights(network.spec, np.random.default_rng([seed, *network.name]))
+    return weights
 
 
-def _averaged(trained: DataFrame, shards: int) -> dict[int, np.ndarray]:
-    """States per model, averaged over shards by their sizes."""
-    vectors = trained.select("model", "shard", "size", array_to_vector("w").alias("w"))
-    merged = vectors
+def weight_count(spec: NetSpec) -> int:
+    return sum((a + 1) * b for a, b in zip(spec.widths, spec.widths[1:]))
+
+
+def _averaged(trained: DataFrame, shards: int) -> dict[tuple[int, int], np.ndarray]:
+    """States per model and epoch, averaged over shards by their sizes."""
+    merged = trained
     if shards > 1:
+        vectors = trained.select("model", "epoch", "shard", "size", array_to_vector("w").alias("w"))
         slot = F.pmod(F.col("shard"), F.lit(max(1, shards // _MERGE_FAN_IN)))
-        partial = vectors.groupBy("model", slot.alias("slot")).agg(
+        partial = vectors.groupBy("model", "epoch", slot.alias("slot")).agg(
             Summarizer.mean(F.col("w"), F.col("size")).alias("w"), F.sum("size").alias("size")
         )
-        merged = partial.groupBy("model").agg(Summarizer.mean(F.col("w"), F.col("size")).alias("w"))
-    table = merged.select("model", vector_to_array("w").alias("w")).toArrow()
-    return {m: np.array(w.as_py()) for m, w in zip(table["model"].to_pylist(), table["w"])}
+        mean = partial.groupBy("model", "epoch").agg(Summarizer.mean(F.col("w"), F.col("size")).alias("w"))
+        merged = mean.select("model", "epoch", vector_to_array("w").alias("w"))
+    table = merged.select("model", "epoch", "w").toArrow().combine_chunks()
+    places = zip(table["model"].to_pylist(), table["epoch"].to_pylist())
+    return {place: np.array(w.values.to_numpy(zero_copy_only=False)) for place, w in zip(places, table["w"])}
+
+
+# Fixed values of the hash that dropout is drawn by: a prime, and a step for each number that is hashed.
+DRAW_PRIME = 2_147_483_647
+DRAW_STEPS = {"step": 7919, "layer": 104_729, "unit": 1_299_709, "network": 15_485_863}
+DRAW_FACTOR = 48_271
+DRAW_DIGITS = 7
+
+
+class HashedDraws:
+    """Draws in [0, 1) for rows and units, layer by layer, by hashing the rows' numbers: a generator for ``gradient``."""
+
+    def __init__(self, rows: np.ndarray, step: int, network: int):
+        self.rows = rows + DRAW_STEPS["step"] * step + DRAW_STEPS["network"] * network
+        self.layer = 0
+
+    def random(self, shape: tuple[int, int]) -> np.ndarray:
+        self.layer += 1
+        units = DRAW_STEPS["layer"] * self.layer + DRAW_STEPS["unit"] * np.arange(shape[1])
+        x = (self.rows[:, None] + units) % DRAW_PRIME
+        for _ in range(2):
+            x = (x * x + DRAW_FACTOR * x + 11) % DRAW_PRIME
+        return x / DRAW_PRIME
+
+
+def hashed_weights(spec: NetSpec, seed: int, network: int) -> np.ndarray:
+    """Initial weights from the MD5 of ``seed:network:layer:from:to``; biases are 0."""
+    parts = []
+    for layer, (a, b) in enumerate(zip(spec.widths, spec.widths[1:]), start=1):
+        names = [f"{seed}:{network}:{layer}:{i}:{j}" for i in range(a) for j in range(b)]
+        share = np.array([int(hashlib.md5(n.encode()).hexdigest()[:13], 16) for n in names]) / 2.0**52
+        parts += [math.sqrt(6.0 / (a + b)) * (2.0 * share - 1.0), np.zeros(b)]
+    return np.concatenate(parts)
+
+
+def train_by_gradients(rows: DataFrame, networks: list[Network], steps: int, batches: int = 1, seed: int = 0) -> list[np.ndarray]:
+    """Weights of each network after exact Adam steps, from (number, v) rows, ``number`` a hash of the row's key.
+
+    Step t reads the rows whose number is t modulo ``batches``. A task sums the gradients of its rows, Arrow batch by
+    batch; the sums of all tasks are added up in two levels, and the driver takes one step. Only weights and gradients
+    travel, and the result does not depend on how the rows are dealt out, but for the rounding of sums.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    states = []
+    for m, network in enumerate(networks):
+        flat = hashed_weights(network.spec, seed, m)
+        states.append(np.concatenate([flat, np.zeros(2 * len(flat) + 1)]))
+    table = rows.select("number", "v").persist()
+    try:
+        for step in range(steps):
+            shared = spark.sparkContext.broadcast(([s[: len(s) // 3] for s in states], networks))
+            sums = _gradient_sums(table.where(F.col("number") % batches == step % batches), shared, step)
+            for m, (size, total) in sums.items():
+                states[m] = adam_step(networks[m].spec, states[m], total / size)
+            shared.unpersist()
+    finally:
+        table.unpersist()
+    return [s[: len(s) // 3] for s in states]
+
+
+def _gradient_sums(rows: DataFrame, shared, step: int) -> dict[int, tuple[float, np.ndarray]]:
+    """Rows and summed gradients of each network."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, networks = shared.value
+        size, sums = 0, [np.zeros(len(w)) for w in weights]
+        for batch in batches:
+            lists = batch.column("v")
+            if not len(lists):
+                continue
+            values = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+            numbers = batch.column("number").to_numpy(zero_copy_only=False)
+            size += len(values)
+            for m, network in enumerate(networks):
+                sums[m] += gradient(network.spec, weights[m], network.read(values), HashedDraws(numbers, step, m)) * len(values)
+        if size:
+            columns = [pa.array(range(len(sums)), pa.int32()), pa.array([float(size)] * len(sums)), pa.array([g.tolist() for g in sums])]
+            yield pa.RecordBatch.from_arrays(columns, names=["model", "size", "g"])
+
+    partial = rows.mapInArrow(add_up, "model int, size double, g array<double>")
+    slot = F.pmod(F.spark_partition_id(), F.lit(_MERGE_FAN_IN))
+    vectors = partial.select("model", slot.alias("slot"), "size", array_to_vector("g").alias("g"))
+    half = vectors.groupBy("model", "slot").agg(Summarizer.sum(F.col("g")).alias("g"), F.sum("size").alias("size"))
+    whole = half.groupBy("model").agg(Summarizer.sum(F.col("g")).alias("g"), F.sum("size").alias("size"))
+    return {r["model"]: (r["size"], r["g"].toArray()) for r in whole.collect()}
 
 
 def product_features(df: DataFrame, key: str | list[str], attrs: list[str], arity: int) -> DataFrame:
@@ -237,9 +366,11 @@ class AutoencoderModel:
     scale: list[float]
     weights: list[np.ndarray]
     thresholds: dict[int, float] = field(default_factory=dict)
+    digits: int | None = None
 
     def scores_column(self, spark: SparkSession) -> Column:
-        """Array of reconstruction errors, one per set in the order of ``sets``."""
+        """Array of reconstruction errors, one per set in the order of ``sets``, rounded if ``digits`` are given."""
+        digits = self.digits
         shared = spark.sparkContext.broadcast((self.spec, [s.features for s in self.sets], self.mean, self.scale, self.weights))
 
         def score(*columns: pa.Array) -> pa.Array:
@@ -249,7 +380,7 @@ class AutoencoderModel:
             for i, members in enumerate(features):
                 x = reduce(np.multiply, [table[a] for a in members])
                 result[:, i] = reconstruction_error(spec, weights[i], ((x - mean[i]) / scale[i])[:, None])
-            return as_list_array(result)
+            return as_list_array(result if digits is None else result.round(digits))
 
         return F.arrow_udf(score, "array<double>")(*[F.col(a).cast("double") for a in self.attrs])
 
@@ -294,30 +425,36 @@ def fit_autoencoder(
     seed: int = 0,
     shards: int = 1,
     local_epochs: int = LOCAL_EPOCHS,
+    steps: int | None = None,
+    batches: int = 1,
+    digits: int | None = None,
 ) -> AutoencoderModel:
     """Train a network per feature set on ``sample`` and take thresholds from the training errors.
 
     The sample is dealt out to ``shards`` tasks by a hash of its keys; one task holds one shard, so a large sample needs
-    a number of shards to match. Training takes ``epochs / local_epochs`` rounds, whatever their number.
+    a number of shards to match. Training takes ``epochs / local_epochs`` rounds, whatever their number. With ``steps``
+    there are no shards and epochs: so many exact steps are taken, each over one of ``batches`` parts of the sample, and a
+    task holds one Arrow batch at a time. ``digits`` rounds errors before they are compared.
     """
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must be a share up to one half")
-    if shards < 1 or local_epochs < 1:
-        raise ValueError("shards and local_epochs must be positive")
+    if shards < 1 or local_epochs < 1 or batches < 1 or (steps is not None and steps < 1):
+        raise ValueError("shards, local_epochs, steps and batches must be positive")
     sets = feature_sets(len(attrs))
     mean, scale = input_statistics(sample, attrs, sets)
-    hashed = key_hash(key, seed + 3)
-    rows = sample.select(
-        F.pmod(F.xxhash64(hashed), F.lit(shards)).cast("int").alias("shard"),
-        F.lit(-1).alias("fold"),
-        hashed.alias("_order"),
-        F.array(*[F.col(a).cast("double") for a in attrs]).alias("v"),
-    )
-    networks = [Network(spec, (s.features,), (mean[i],), (scale[i],)) for i, s in enumerate(sets)]
-    weights = train_networks(rows, networks, shards, seed, local_epochs)
-    model = AutoencoderModel(attrs, sets, spec, mean, scale, weights)
-    scored = sample.select(F.posexplode(model.scores_column(sample.sparkSession)).alias("i", "score")).persist()
-    cuts = exact_percentiles(scored, "i", "score", 1 - contamination)
-    scored.unpersist()
-    model.thresholds = {s.set_id: cuts[i] for i, s in enumerate(sets)}
+    networks = [Network(spec, (s.features,), (mean[i],), (scale[i],), name=(i,)) for i, s in enumerate(sets)]
+    values = F.array(*[F.col(a).cast("double") for a in attrs]).alias("v")
+    if steps is None:
+        hashed = key_hash(key, seed + 3)
+        shard = F.pmod(F.xxhash64(hashed), F.lit(shards)).cast("int").alias("shard")
+        rows = sample.select(shard, F.array().cast("array<int>").alias("folds"), hashed.alias("_order"), values)
+        trained = train_networks(rows, networks, shards, seed, local_epochs)
+        weights = [trained[m, spec.epochs] for m in range(len(networks))]
+    else:
+        number = F.conv(F.substring(key_hash(key, seed + 4), 1, DRAW_DIGITS), 16, 10).cast("long").alias("number")
+        weights = train_by_gradients(sample.select(number, values), networks, steps, batches, seed)
+    model = AutoencoderModel(attrs, sets, spec, mean, scale, weights, digits=digits)
+    scored = sample.select(model.scores_column(sample.sparkSession).alias("scores"))
+    cuts = array_percentiles(scored, "scores", len(sets), 1 - contamination)
+    model.thresholds = {s.set_id: cut for s, cut in zip(sets, cuts, strict=True)}
     return model

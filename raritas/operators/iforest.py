@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from raritas.functions.quantiles import exact_percentiles
+from raritas.functions.array_quantiles import array_percentiles
 from raritas.functions.runtime import ship_package, task_count
 from raritas.operators.featuresets import FeatureSet
 from raritas.operators.flags import collate_scores
@@ -163,9 +163,10 @@ class ForestModel:
     trees: dict[int, PackedTrees]
     psi: int
     thresholds: dict[int, float] = field(default_factory=dict)
+    digits: int | None = None
 
     def scores_column(self, spark: SparkSession) -> Column:
-        """Array of anomaly scores, one per set in the order of ``sets``."""
+        """Array of anomaly scores, one per set in the order of ``sets``, rounded if ``digits`` are given."""
         parts, size = [[]], 0
         for s in self.sets:
             if size and size + self.trees[s.set_id].nbytes > _PART_BYTES:
@@ -177,7 +178,7 @@ class ForestModel:
         return F.concat(*columns) if len(columns) > 1 else columns[0]
 
     def _part_column(self, spark: SparkSession, part: list[FeatureSet]) -> Column:
-        norm = average_path(self.psi) or 1.0
+        norm, digits = average_path(self.psi) or 1.0, self.digits
         packed = []
         for s in part:
             trees = self.trees[s.set_id]
@@ -193,7 +194,7 @@ class ForestModel:
                 else:
                     mean = trees.mean_path(table[:, list(features)])
                 result[:, i] = 2.0 ** (-mean / norm)
-            return as_list_array(result)
+            return as_list_array(result if digits is None else result.round(digits))
 
         return F.arrow_udf(score, "array<double>")(*[F.col(a).cast("double") for a in self.attrs])
 
@@ -238,10 +239,12 @@ def fit_iforest(
     contamination: float | str = "auto",
     psi: int = PSI,
     seed: int = 42,
+    digits: int | None = None,
 ) -> ForestModel:
     """Grow ``trees`` trees for each set. All sets of a tree number share that tree's sub-sample.
 
-    ``contamination`` is 'auto' (score above 0.5) or the share of the training sample to be flagged.
+    ``contamination`` is 'auto' (score above 0.5) or the share of the training sample to be flagged. ``digits`` rounds
+    scores before they are compared.
     """
     if trees < 1:
         raise ValueError("a forest needs at least one tree")
@@ -250,14 +253,13 @@ def fit_iforest(
     drawn, psi = subsamples(sample, key, attrs, trees, psi, seed)
     limit = depth_limit(psi)
     packed = grow_forest(drawn, attrs, sets, limit, seed)
-    model = ForestModel(attrs, sets, {i: t for (_, i), t in packed.items()}, psi)
+    model = ForestModel(attrs, sets, {i: t for (_, i), t in packed.items()}, psi, digits=digits)
     if contamination == "auto":
         model.thresholds = {s.set_id: AUTO_THRESHOLD for s in sets}
     else:
-        scored = sample.select(F.posexplode(model.scores_column(sample.sparkSession)).alias("i", "score")).persist()
-        cuts = exact_percentiles(scored, "i", "score", 1 - contamination)
-        scored.unpersist()
-        model.thresholds = {s.set_id: cuts[i] for i, s in enumerate(sets)}
+        scored = sample.select(model.scores_column(sample.sparkSession).alias("scores"))
+        cuts = array_percentiles(scored, "scores", len(sets), 1 - contamination)
+        model.thresholds = {s.set_id: cut for s, cut in zip(sets, cuts, strict=True)}
     return model
 
 

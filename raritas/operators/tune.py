@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 from itertools import product
 
 import numpy as np
@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raritas.functions.quantiles import exact_percentiles
+from raritas.functions.array_quantiles import array_percentiles
 from raritas.functions.runtime import cut_lineage
-from raritas.operators.autoencoder import Network, NetSpec, reconstruction_error, train_networks
+from raritas.operators.autoencoder import NETWORKS_PER_TASK, Network, NetSpec, reconstruction_error, train_networks
 from raritas.operators.evaluate import stratified_folds
 from raritas.operators.featuresets import FeatureSet
 from raritas.operators.iforest import (
@@ -35,6 +35,7 @@ LAYER_GRID = (LAYERS["long"], LAYERS["short"], (4, 1, 4))
 EPOCH_GRID = (20, 50, 100)
 ACTIVATION_GRID = ("relu", "tanh")
 BATCH_GRID = (32, 64, 128)
+ACCURACY_DIGITS = 9
 
 
 def best(results: DataFrame) -> DataFrame:
@@ -42,6 +43,12 @@ def best(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("accuracy"), "candidate").limit(1)
 
 
+def _mean_accuracy(fits: DataFrame) -> DataFrame:
+    """(candidate, accuracy, fits); rounded, so that equal candidates stay equal whatever order the fits are added in."""
+    mean = F.round(F.avg("accuracy"), ACCURACY_DIGITS).alias("accuracy")
+    return fits.groupBy("candidate").agg(mean, F.count(F.lit(1)).alias("fits"))
+
+
 def search_iforest(
     df: DataFrame,
     key: str,
@@ -103,7 +110,7 @@ def search_iforest(
         .agg(F.avg("right").alias("accuracy"))
     )
     sizes_of = F.array(*map(F.lit, trees))
-    scored = per_fold.groupBy("candidate").agg(F.avg("accuracy").alias("accuracy"), F.count(F.lit(1)).alias("fits"))
+    scored = _mean_accuracy(per_fold)
     return scored.select("candidate", F.get(sizes_of, F.col("candidate")).alias("trees"), "accuracy", "fits")
 
 
@@ -134,17 +141,43 @@ def search_autoencoder(
 ) -> DataFrame:
     """(candidate, layers, epochs, activation, batch, accuracy, fits); ``label`` is 1 for outliers.
 
-    One network per candidate and fold reads all attributes at once. A task trains a block of networks on its shard of
-    the rows, each on those outside its fold. ``fit_rows`` bounds the rows that weights are fitted on, drawn by a hash of
-    their keys in each repeat. Folds, standardisation, cuts and accuracy are those of all labelled rows, whatever it is.
+    One network per shape, activation, batch size and fold reads all attributes at once and is trained for the most epochs;
+    the candidates with fewer are its weights on the way, which are those that training for so many would give. A task
+    trains some networks on its shard of the rows, each on those outside its fold. ``fit_rows`` bounds the rows that weights
+    are fitted on, drawn by a hash of their keys. Folds, standardisation, cuts and accuracy are those of all labelled
+    rows, whatever it is; no row is written once per network.
     """
     specs = grid.specs(len(attrs))
-    parts = [_net_repeat(df, key, attrs, label, specs, splits, contamination, seed + r, shards, fit_rows) for r in range(repeats)]
-    scored = (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("candidate")
-        .agg(F.avg("accuracy").alias("accuracy"), F.count(F.lit(1)).alias("fits"))
-    )
+    numbers = [F.col(a).cast("double").alias(a) for a in attrs]
+    dealt = stratified_folds(df.select(key, label, *numbers), key, label, splits, repeats, seed)
+    by_repeat = F.sort_array(F.collect_list(F.struct("repeat", "fold")))
+    folds = cut_lineage(dealt.groupBy(key, label, *attrs).agg(by_repeat.alias("_f")).select(key, label, *attrs, F.col("_f.fold").alias("folds")))
+    statistics = _outside_statistics(folds, attrs, splits, repeats)
+    trained, longest = [], max(grid.epochs)
+    reads = tuple(e for e in grid.epochs if e < longest)
+    inputs = tuple((i,) for i in range(len(attrs)))
+    models: dict[tuple, int] = {}
+    for shape in specs:
+        kind = (shape.layers, shape.activation, shape.batch)
+        if kind not in models:
+            models[kind] = len(models)
+            for place in product(range(repeats), range(splits)):
+                mean, scale = statistics[place]
+                trained.append(Network(replace(shape, epochs=longest), inputs, mean, scale, place, (models[kind], *place), reads))
+    hashed = key_hash(key, seed)
+    fitted = folds if fit_rows is None else sample_rows(folds, key, lambda n: min(n, fit_rows), seed)[0]
+    rows = fitted.select(F.pmod(F.xxhash64(hashed), F.lit(shards)).cast("int").alias("shard"), "folds", hashed.alias("_order"), F.array(*attrs).alias("v"))
+    # Networks are spread over the tasks that can run at once; few rows are sent to many of them.
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    per_task = max(1, min(NETWORKS_PER_TASK, len(trained) * shards // tasks))
+    weights = train_networks(rows, trained, shards, seed, longest, per_task)
+    per_fold = repeats * splits
+    read_off = []
+    for s in specs:
+        first = models[s.layers, s.activation, s.batch] * per_fold
+        read_off += [(trained[first + place], weights[first + place, s.epochs]) for place in range(per_fold)]
+    hits = _judge(folds, attrs, label, read_off, len(specs), splits, repeats, contamination)
+    scored = _mean_accuracy(hits.select("candidate", (F.col("right") / F.col("rows")).alias("accuracy")))
     described = F.array(
         *[
             F.struct(
@@ -159,58 +192,80 @@ def search_autoencoder(
     return scored.withColumn("_s", F.get(described, F.col("candidate"))).select("candidate", "_s.*", "accuracy", "fits")
 
 
-def _net_repeat(
-    df: DataFrame,
-    key: str,
+def _outside_statistics(
+    folds: DataFrame, attrs: list[str], splits: int, repeats: int
+) -> dict[tuple[int, int], tuple[tuple[float, ...], tuple[float, ...]]]:
+    """Mean and deviation of the attributes over the rows outside each (repeat, fold), put together from the folds' own.
+
+    Rows are read once per repeat; counts, means and squared deviations of all folds but one are merged on the driver.
+    """
+    own = folds.select(*attrs, F.posexplode("folds").alias("repeat", "fold")).groupBy("repeat", "fold")
+    measures = [f(a).alias(f"{n}{i}") for i, a in enumerate(attrs) for n, f in (("mean", F.avg), ("var", F.var_pop))]
+    found = {(r["repeat"], r["fold"]): r for r in own.agg(F.count(F.lit(1)).alias("rows"), *measures).collect()}
+    result = {}
+    for repeat, fold in product(range(repeats), range(splits)):
+        rest = [found[repeat, f] for f in range(splits) if f != fold and (repeat, f) in found]
+        size = sum(r["rows"] for r in rest)
+        mean = [sum(r["rows"] * r[f"mean{i}"] for r in rest) / max(1, size) for i in range(len(attrs))]
+        var = [sum(r["rows"] * (r[f"var{i}"] + (r[f"mean{i}"] - mean[i]) ** 2) for r in rest) / max(1, size) for i in range(len(attrs))]
+        result[repeat, fold] = (tuple(mean), tuple(math.sqrt(v) or 1.0 for v in var))
+    return result
+
+
+def _judge(
+    folds: DataFrame,
     attrs: list[str],
     label: str,
-    specs: list[NetSpec],
+    networks: list[tuple[Network, np.ndarray]],
+    candidates: int,
     splits: int,
+    repeats: int,
     contamination: float,
-    seed: int,
-    shards: int,
-    fit_rows: int | None,
 ) -> DataFrame:
-    spark = df.sparkSession
-    folds = stratified_folds(df.select(key, label, *[F.col(a).cast("double").alias(a) for a in attrs]), key, label, splits, 1, seed)
-    folds = folds.persist()
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(splits - 1)), lambda f: f != F.col("fold")))
-    stats = (
-        folds.withColumn("train", others)
-        .groupBy("train")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[f(a).alias(f"{n}{i}") for i, a in enumerate(attrs) for n, f in (("mean", F.avg), ("std", F.stddev_pop))],
-        )
-        .collect()
-    )
-    mean = {r["train"]: [r[f"mean{i}"] for i in range(len(attrs))] for r in stats}
-    scale = {r["train"]: [r[f"std{i}"] or 1.0 for i in range(len(attrs))] for r in stats}
-    hashed = key_hash(key, seed)
-    fitted = folds if fit_rows is None else sample_rows(folds, key, lambda n: min(n, fit_rows), seed)[0]
-    rows = fitted.select(
-        F.pmod(F.xxhash64(hashed), F.lit(shards)).cast("int").alias("shard"), "fold", hashed.alias("_order"), F.array(*attrs).alias("v")
-    )
-    inputs = tuple((i,) for i in range(len(attrs)))
-    networks = [Network(s, inputs, tuple(mean[f]), tuple(scale[f]), f) for s in specs for f in range(splits)]
-    # One round: with one shard there is nothing to average in between, with more the average is taken at the end.
-    weights = train_networks(rows, networks, shards, seed, max(s.epochs for s in specs))
-    shared = spark.sparkContext.broadcast((networks, weights))
-
-    def errors(*columns: pa.Array) -> pa.Array:
-        known, trained = shared.value
-        table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
-        return as_list_array(np.column_stack([reconstruction_error(n.spec, w, n.read(table)) for n, w in zip(known, trained)]))
-
-    scored = folds.select(
-        "fold", label, F.posexplode(F.arrow_udf(errors, "array<double>")(*map(F.col, attrs))).alias("model", "error")
-    ).persist()
-    own = F.col("model") % splits == F.col("fold")
-    cuts = exact_percentiles(scored.where(~own), "model", "error", 1 - contamination)
-    cut = F.get(F.array(*[F.lit(cuts[m]) for m in range(len(networks))]), F.col("model"))
-    right = (F.col("error") > cut).cast("int") == F.col(label)
-    result = scored.where(own).groupBy("model").agg(F.avg(right.cast("double")).alias("accuracy")).collect()
-    scored.unpersist()
-    folds.unpersist()
-    lines = [(r["model"] // splits, r["accuracy"]) for r in result]
-    return spark.createDataFrame(lines, "candidate int, accuracy double")
+    """(candidate, repeat, fold, right, rows): rows of a fold that the network trained without it judges as labelled.
+
+    ``networks`` go by candidate, repeat and fold. A network's cut is the percentile of its errors on the other folds' rows.
+    """
+    spark = folds.sparkSession
+    shared = spark.sparkContext.broadcast(networks)
+
+    def errors(own: pa.Array, *columns: pa.Array) -> pa.Array:
+        """Errors of all networks; null for the rows that a network is judged by."""
+        table, mine = _matrix(columns), _fold_matrix(own, repeats)
+        found = np.column_stack([reconstruction_error(n.spec, w, n.read(table)) for n, w in shared.value])
+        hidden = np.zeros(found.shape, dtype=bool)
+        for m in range(found.shape[1]):
+            hidden[:, m] = mine[:, m // splits % repeats] == m % splits
+        offsets = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel(), mask=hidden.ravel()))
+
+    outside = folds.select(F.arrow_udf(errors, "array<double>")(F.col("folds"), *map(F.col, attrs)).alias("errors"))
+    cuts = array_percentiles(outside, "errors", len(networks), 1 - contamination)
+    limits = spark.sparkContext.broadcast([float("inf") if c is None else c for c in cuts])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right, rows = np.zeros(len(limits.value), dtype=np.int64), np.zeros(len(limits.value), dtype=np.int64)
+        for batch in batches:
+            table, mine = _matrix([batch.column(a) for a in attrs]), _fold_matrix(batch.column("folds"), repeats)
+            truth = batch.column(label).to_numpy(zero_copy_only=False)
+            for m, (network, weights) in enumerate(shared.value):
+                own = np.flatnonzero(mine[:, m // splits % repeats] == m % splits)
+                outlier = reconstruction_error(network.spec, weights, network.read(table[own])) > limits.value[m]
+                right[m] += np.count_nonzero(outlier == (truth[own] == 1))
+                rows[m] += len(own)
+        seen = np.flatnonzero(rows)
+        lines = [seen // (splits * repeats), seen // splits % repeats, seen % splits, right[seen], rows[seen]]
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in lines], names=["candidate", "repeat", "fold", "right", "rows"])
+
+    given = folds.select("folds", F.col(label).cast("int").alias(label), *attrs)
+    counted = given.mapInArrow(count, "candidate long, repeat long, fold long, right long, rows long")
+    summed = counted.groupBy("candidate", "repeat", "fold").agg(F.sum("right").alias("right"), F.sum("rows").alias("rows"))
+    return summed.withColumn("candidate", F.col("candidate").cast("int"))
+
+
+def _matrix(columns: Sequence[pa.Array]) -> np.ndarray:
+    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
+
+
+def _fold_matrix(own: pa.Array, repeats: int) -> np.ndarray:
+    return own.flatten().to_numpy(zero_copy_only=False).reshape(len(own), repeats)
