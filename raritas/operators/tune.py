@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raritas.functions.array_quantiles import array_percentiles
-from raritas.functions.runtime import cut_lineage
+from raritas.functions.runtime import cut_lineage, task_count
 from raritas.operators.autoencoder import NETWORKS_PER_TASK, Network, NetSpec, reconstruction_error, train_networks
 from raritas.operators.evaluate import stratified_folds
 from raritas.operators.featuresets import FeatureSet
@@ -68,10 +68,9 @@ def search_iforest(
     """
     trees, most = list(trees), max(trees)
     dealt = stratified_folds(df.select(key, *attrs, label), key, label, splits, repeats, seed)
-    folds = cut_lineage(
-        dealt.groupBy(key, label, *attrs).agg(F.sort_array(F.collect_list(F.struct("repeat", "fold"))).alias("_f"))
-        .select(key, label, *attrs, F.col("_f.fold").alias("folds"))
-    )
+    by_repeat = F.sort_array(F.collect_list(F.struct("repeat", "fold")))
+    whole = dealt.groupBy(key, label, *attrs).agg(by_repeat.alias("_f")).select(key, label, *attrs, F.col("_f.fold").alias("folds"))
+    folds = cut_lineage(whole.repartition(task_count(df.sparkSession), key))
     pool, _, _ = sample_rows(folds, key, lambda n: min(n, 2 * most * psi), seed)
     # Each pool row trains the forests of all folds but its own.
     others = F.flatten(
@@ -151,7 +150,8 @@ def search_autoencoder(
     numbers = [F.col(a).cast("double").alias(a) for a in attrs]
     dealt = stratified_folds(df.select(key, label, *numbers), key, label, splits, repeats, seed)
     by_repeat = F.sort_array(F.collect_list(F.struct("repeat", "fold")))
-    folds = cut_lineage(dealt.groupBy(key, label, *attrs).agg(by_repeat.alias("_f")).select(key, label, *attrs, F.col("_f.fold").alias("folds")))
+    whole = dealt.groupBy(key, label, *attrs).agg(by_repeat.alias("_f")).select(key, label, *attrs, F.col("_f.fold").alias("folds"))
+    folds = cut_lineage(whole.repartition(task_count(df.sparkSession), key))
     statistics = _outside_statistics(folds, attrs, splits, repeats)
     trained, longest = [], max(grid.epochs)
     reads = tuple(e for e in grid.epochs if e < longest)
@@ -168,8 +168,7 @@ def search_autoencoder(
     fitted = folds if fit_rows is None else sample_rows(folds, key, lambda n: min(n, fit_rows), seed)[0]
     rows = fitted.select(F.pmod(F.xxhash64(hashed), F.lit(shards)).cast("int").alias("shard"), "folds", hashed.alias("_order"), F.array(*attrs).alias("v"))
     # Networks are spread over the tasks that can run at once; few rows are sent to many of them.
-    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
-    per_task = max(1, min(NETWORKS_PER_TASK, len(trained) * shards // tasks))
+    per_task = max(1, min(NETWORKS_PER_TASK, len(trained) * shards // (2 * task_count(df.sparkSession))))
     weights = train_networks(rows, trained, shards, seed, longest, per_task)
     per_fold = repeats * splits
     read_off = []
