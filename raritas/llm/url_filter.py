@@ -53,19 +53,20 @@ class Trie:
             for label in reversed(rule.host.split(".")):
                 node = node["below"].setdefault(label, {"below": {}, "paths": None})
             if node["paths"] is None:
-                node["paths"] = {"below": {}, "ends": {}}
+                node["paths"] = {"below": {}, "ends": {}, "sizes": []}
             *full, last = rule.path.split("/")
             at = node["paths"]
             for segment in full:
-                at = at["below"].setdefault(segment, {"below": {}, "ends": {}})
+                at = at["below"].setdefault(segment, {"below": {}, "ends": {}, "sizes": []})
             at["ends"][last] = rule
+            at["sizes"] = sorted({*at["sizes"], len(last)}, reverse=True)
 
     @staticmethod
     def _longest(paths: dict, path: str) -> Rule | None:
         best, at, segments = None, paths, path.split("/")
         for place, segment in enumerate(segments):
-            for size in range(len(segment), -1, -1) if at["ends"] else ():
-                if (found := at["ends"].get(segment[:size])) is not None:
+            for size in at["sizes"]:  # the lengths that endings have here, not every length of the segment
+                if size <= len(segment) and (found := at["ends"].get(segment[:size])) is not None:
                     best = found
                     break
             # a further segment begins with a slash, which only the pieces before the last one have
@@ -88,7 +89,8 @@ def judge_urls(
 ) -> DataFrame:
     """Return key, host, path, rule (name or null) and verdict for every row.
 
-    Null and malformed URLs have an empty host and path and get the default. Repeated rows are judged each.
+    Null and malformed URLs have an empty host and path and get the default. Repeated rows are judged each, an empty table
+    gives an empty result, and other columns are not read. A very long URL costs as many look-ups as rules differ in length.
     Up to ``trie_rules`` rules the trie goes to every task; more are joined by (host suffix, path prefix).
     """
     host, path = host_and_path(F.col(url).cast("string"))

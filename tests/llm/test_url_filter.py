@@ -1,5 +1,6 @@
 import random
 
+from raritas.llm import url_filter
 from raritas.llm.url_filter import RULES, Rule, judge_urls
 
 
@@ -43,3 +44,16 @@ def test_odd_tables(spark):
     assert [tuple(r) for r in judge_urls(pages, RULES).collect()] == [(None, "x.net", "/", "net/", "block")] * 2
     assert judge_urls(pages.limit(0), RULES).isEmpty()
     assert [r.verdict for r in judge_urls(pages, [], default="block").collect()] == ["block"] * 2
+
+
+def test_very_long_urls(spark):
+    import time
+
+    long_segment, many = "a" * 2_000_000, "/a" * 300_000
+    urls = [f"https://x.net/{long_segment}", f"https://x.net{many}", f"https://www.org/fr/{long_segment}", f"https://{long_segment}.net/b"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    started = time.time()
+    for trie_rules in (url_filter.TRIE_RULES, 0):
+        out = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.RULES, trie_rules=trie_rules).collect()}
+        assert out == {0: ("net/", "block"), 1: ("net/", "block"), 2: ("org/fr/", "allow"), 3: ("net/", "block")}
+    assert time.time() - started < 60
