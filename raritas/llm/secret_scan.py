@@ -41,14 +41,16 @@ ALLOWED = (
     r"(?:/?[A-Za-z_-]+/)+[A-Za-z_-]*",
     r".*(?:EXAMPLE|example|placeholder|xxxx|XXXX).*",
 )
-# Whether a text can hold anything at all; one pass of an automaton without back-tracking.
-PROBE = (
-    r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]"
-    r"|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|[A-Za-z0-9+/_=-]{20}"
-)
 Span = tuple[int, int, str]
 
 
+def probe(window: int) -> str:
+    """A pattern found in every text that holds anything at all; one pass of an automaton without back-tracking."""
+    base = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"
+    # The automaton counts to 1000 at most; longer runs are a matter of the exact scan.
+    return base + rf"|[A-Za-z0-9+/_=-]{{{min(window, 1000)}}}"
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans (start, end, kind) of the base kinds, in code points."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -133,7 +135,8 @@ def scan_secrets(
 ) -> DataFrame:
     """Return key, n_assign, n_access, n_hex, base_sha256, spans, n_entropy for every row; row-wise, nothing is shuffled.
 
-    Null and empty texts have no spans (empty string, its digest). Repeated rows and null keys are kept as they are.
+    Null and empty texts have no spans (empty string, its digest). Repeated rows and null keys are kept as they are, an empty
+    table gives an empty result, and other columns are not read. Very long texts are slices of their own and scanned whole.
     """
     ship_package(docs.sparkSession)
     limits = {**THRESHOLDS, **(thresholds or {})}
@@ -144,12 +147,12 @@ def scan_secrets(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allow = re.compile("|".join(f"(?:{a})" for a in allowed) if allowed else r"(?!)")
-        nothing = hashlib.sha256(b"").hexdigest()
+        nothing, pattern = hashlib.sha256(b"").hexdigest(), probe(window)
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text")
                 rows = [(0, 0, 0, nothing, "", 0)] * part.num_rows
-                hits = pa.compute.match_substring_regex(texts, PROBE)
+                hits = pa.compute.match_substring_regex(texts, pattern)
                 for i in pa.compute.indices_nonzero(hits).to_pylist():
                     whole = texts[i].as_py()
                     base = base_spans(whole)

@@ -78,3 +78,16 @@ def test_odd_rows(spark):
     assert found[2][0].startswith("assign:2000000:2000022")
     assert {r.base_sha256 for r in out if r.doc_id in (1, None)} == {empty}
     assert secret_scan.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
+
+
+def test_probe_follows_the_window(spark):
+    import re
+
+    from raritas.llm.secret_scan import entropy_spans, scan_secrets
+
+    text = "key: Zx81Qw93Er7T end"
+    for window in (12, 13, 1200):
+        wanted = len(entropy_spans(text, window, {"hex": 3.0, "alnum": 3.0, "base64": 3.0}, re.compile(r"(?!)")))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        found = scan_secrets(docs, window=window, thresholds={"hex": 3.0, "alnum": 3.0, "base64": 3.0}).first()
+        assert found.n_entropy == wanted == (window < 20)
