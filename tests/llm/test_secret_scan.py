@@ -90,4 +90,4 @@ def test_probe_follows_the_window(spark):
         wanted = len(entropy_spans(text, window, {"hex": 3.0, "alnum": 3.0, "base64": 3.0}, re.compile(r"(?!)")))
         docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
         found = scan_secrets(docs, window=window, thresholds={"hex": 3.0, "alnum": 3.0, "base64": 3.0}).first()
-        assert found.n_entropy == wanted == (window < 20)
+        assert found.n_entropy == wanted == (window == 12)
