@@ -21,7 +21,7 @@ from raritas.operators.iforest import fit_iforest
 from raritas.operators.loda import LodaModel, fit_loda
 from raritas.operators.random_cuts import fit_random_cuts, random_cuts
 from raritas.operators.sampling import train_sample
-from raritas.operators.tune import best, search_autoencoder, search_iforest
+from raritas.operators.tune import FOREST_GRID, best, search_autoencoder, search_iforest
 from raritas.plans.detect import detect
 from raritas.plans.rank import rank_attributes, rank_rows
 from raritas.plans.settings import PROFILES
@@ -430,6 +430,9 @@ SHARDS = 8
 SHARD_ROWS = 50_000
 FIT_ROWS = 400
 FEW_TREES = 10
+# A smaller search of forests, and the labelled rows in SQL.
+FEW_TREE_GRID, FEW_SPLITS, FEW_REPEATS = (5, 10, 20), 5, 2
+LABELLED_SQL = "SELECT doc_id AS id, 1 - quality AS truth FROM labels"
 # Share of outliers, and digits to which scores are compared with their cut where SQL does the same.
 SHARE = 0.1
 COMPARED_DIGITS = 9
@@ -505,6 +508,11 @@ def _search_forest(spark: SparkSession, folder: str) -> DataFrame:
     return best(search_iforest(labelled(spark, folder), "doc_id", list(DOC3.attrs), "truth"))
 
 
+def _search_few_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """All candidates of a smaller search over the same rows."""
+    return search_iforest(labelled(spark, folder), "doc_id", list(DOC3.attrs), "truth", FEW_TREE_GRID, FEW_SPLITS, FEW_REPEATS)
+
+
 def _search_net(spark: SparkSession, folder: str) -> DataFrame:
     return best(search_autoencoder(labelled(spark, folder), "doc_id", list(DOC3.attrs), "truth", fit_rows=FIT_ROWS))
 
@@ -520,7 +528,12 @@ register("autoencoder_flags_big", _detected("AE", "big"))
 register("autoencoder_scores_few_steps", _net_steps, sql.autoencoder_steps(NUM3, SMALL_NET, FEW_STEPS, FEW_BATCHES, SHARE))
 register("autoencoder_inputs", _inputs, sql.autoencoder_inputs(NUM3))
 register("autoencoder_rank_rows", _ranked("AE"))
-register("grid_search_iforest", _search_forest)
+register(
+    "grid_search_iforest_few_trees",
+    _search_few_trees,
+    sql.forest_search(DOC3, LABELLED_SQL, FEW_TREE_GRID, FEW_SPLITS, FEW_REPEATS),
+)
+register("grid_search_iforest", _search_forest, sql.forest_search(DOC3, LABELLED_SQL, FOREST_GRID, 10, 10, winner=True))
 register("grid_search_autoencoder", _search_net)
 
 

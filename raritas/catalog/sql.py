@@ -618,3 +618,64 @@ def stratified_folds(splits: int, repeats: int, seed: int = 0) -> str:
         repeated AS (SELECT doc_id, truth, r::INTEGER AS repeat FROM marked CROSS JOIN (SELECT unnest(range({repeats})) AS r))
         SELECT doc_id, truth, repeat, ((row_number() OVER (PARTITION BY repeat, truth
             ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{seed}:' || CAST(repeat AS VARCHAR))) - 1) % {splits})::INTEGER AS fold FROM repeated"""
+
+
+def forest_search(
+    view: View, truth: str, trees: tuple[int, ...], splits: int, repeats: int, winner: bool = False, most: int = 256, levels: int = 8, seed: int = 1
+) -> str:
+    """Accuracy of each number of trees: a forest per repeat and fold, whose first trees are the smaller candidates.
+
+    ``truth`` gives (id, truth). A row is judged in each repeat by the forest grown without its fold. Trees are grown and
+    walked level by level, no deeper than the sub-samples ask for; for three attributes.
+    """
+    full = max(trees)
+    length = "CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE 2.0 * (ln(n - 1) + 0.57721566490153286) - 2.0 * (n - 1) / n END"
+    value = "CASE f WHEN 0 THEN a0 WHEN 1 THEN a1 ELSE a2 END"
+    ctes = [
+        f"base AS ({view.base})",
+        f"marked AS MATERIALIZED (SELECT * FROM base JOIN ({truth}) USING (id))",
+        f"""folds AS MATERIALIZED (SELECT m.*, r, ((row_number() OVER (PARTITION BY r, truth ORDER BY md5(id || ':{seed}:' || r)) - 1) % {splits}) AS fold
+            FROM marked m, unnest(range({repeats})) AS t(r))""",
+        f"""pool AS MATERIALIZED (SELECT f.*, r * {splits} + o AS forest FROM folds f SEMI JOIN (SELECT id FROM marked
+                QUALIFY row_number() OVER (ORDER BY md5(id || ':{seed}')) <= {2 * full * most}) USING (id), unnest(range({splits})) AS t(o) WHERE o <> fold)""",
+        "sizes AS MATERIALIZED (SELECT forest, count(*) AS size FROM pool GROUP BY forest)",
+        f"plan AS MATERIALIZED (SELECT psi, greatest(1, ceil(log2(greatest(psi, 2)))) AS depth FROM (SELECT least({most}, min(size)) AS psi FROM sizes))",
+        f"""dealt AS (SELECT p.*, size // psi AS blocks, psi, d AS deal, row_number() OVER (PARTITION BY forest, d
+                ORDER BY md5(md5(id || ':{seed + 2}') || ':' || forest || ':' || d)) - 1 AS place
+            FROM pool p JOIN sizes USING (forest), plan, unnest(range(CAST(ceil({full} / (size // psi)) AS BIGINT))) AS t(d))""",
+        f"""r0 AS MATERIALIZED (SELECT forest, deal * blocks + place // psi AS tree, a0, a1, a2, 0::BIGINT AS node FROM dealt
+            WHERE place // psi < blocks AND deal * blocks + place // psi < {full})""",
+    ]
+    pick = "CASE WHEN u0 = 1 AND (num % (u0 + u1 + u2)) = 0 THEN 0 WHEN u1 = 1 AND (num % (u0 + u1 + u2)) = u0 THEN 1 ELSE 2 END"
+    for k in range(levels + 1):
+        ends = ", ".join(f"min(a{j}) AS l{j}, max(a{j}) AS h{j}" for j in range(3))
+        drawn = f"md5('{seed}:' || forest || ':' || tree || ':0:' || node)"
+        cuts = " ".join(f"WHEN {j} THEN least(l{j} + share * (h{j} - l{j}), nextafter(h{j}, l{j}))" for j in range(3))
+        ctes.append(
+            f"""p{k} AS MATERIALIZED (SELECT forest, tree, node, n, f, CASE f {cuts} END AS cut FROM
+                (SELECT *, CASE WHEN n > 1 AND u0 + u1 + u2 > 0 AND {k} < (SELECT depth FROM plan) THEN {pick} END AS f FROM
+                (SELECT *, {', '.join(f'(h{j} > l{j})::INTEGER AS u{j}' for j in range(3))}, CAST('0x' || substr({drawn}, 1, 8) AS BIGINT) AS num,
+                    CAST('0x' || substr({drawn}, 9, 13) AS BIGINT) / 4503599627370496.0 AS share
+                FROM (SELECT forest, tree, node, count(*) AS n, {ends} FROM r{k} GROUP BY forest, tree, node))))"""
+        )
+        if k < levels:
+            ctes.append(
+                f"""r{k + 1} AS MATERIALIZED (SELECT r.forest AS forest, r.tree AS tree, a0, a1, a2, 2 * r.node + CASE WHEN ({value}) <= cut THEN 1 ELSE 2 END AS node
+                FROM r{k} r JOIN p{k} p ON r.forest = p.forest AND r.tree = p.tree AND r.node = p.node WHERE f IS NOT NULL)"""
+            )
+    ctes.append(f"w0 AS (SELECT id, truth, a0, a1, a2, r, fold, r * {splits} + fold AS forest, tree, 0::BIGINT AS node, NULL::DOUBLE AS path FROM folds, unnest(range({full})) AS t(tree))")
+    for k in range(levels + 1):
+        ctes.append(
+            f"""w{k + 1} AS (SELECT w.* EXCLUDE (node, path), CASE WHEN path IS NULL AND f IS NOT NULL THEN 2 * w.node + CASE WHEN ({value}) <= cut THEN 1 ELSE 2 END
+                    ELSE w.node END AS node, CASE WHEN path IS NULL AND f IS NULL THEN {k} + ({length}) ELSE path END AS path
+                FROM w{k} w LEFT JOIN p{k} p ON w.forest = p.forest AND w.tree = p.tree AND w.node = p.node)"""
+        )
+    sizes = ", ".join(f"({i}, {t})" for i, t in enumerate(trees))
+    ctes.append(f"tried(candidate, trees) AS (VALUES {sizes})")
+    ctes.append(
+        f"""judged AS (SELECT candidate, trees, id, truth, r, fold, sum(path) / trees < (SELECT {length} FROM (SELECT psi AS n FROM plan)) AS outlier
+            FROM w{levels + 1} JOIN tried ON tree < trees GROUP BY candidate, trees, id, truth, r, fold)"""
+    )
+    ctes.append("fits AS (SELECT candidate, trees, r, fold, avg((outlier = (truth = 1))::INTEGER) AS accuracy FROM judged GROUP BY candidate, trees, r, fold)")
+    ctes.append("scored AS (SELECT candidate, trees, round(avg(accuracy), 9) AS accuracy, count(*) AS fits FROM fits GROUP BY candidate, trees)")
+    return f"WITH {', '.join(ctes)} SELECT * FROM scored" + (" ORDER BY accuracy DESC, candidate LIMIT 1" if winner else "")
