@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 # A table is broadcast only after its rows and bytes were counted and found to be at most this many.
@@ -57,6 +59,19 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder of its own below the checkpoint folder, which all executors see."""
+    return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that Spark names, and the path in it, for tasks that read files themselves."""
+    for name in ("s3a://", "s3n://"):  # Spark's names of what others call s3
+        if uri.startswith(name):
+            uri = "s3://" + uri.removeprefix(name)
+    return fs.FileSystem.from_uri(uri)
+
+
 def task_count(spark: SparkSession) -> int:
     """Partitions for few but costly rows, which adaptive execution would otherwise merge into one task."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)

@@ -142,11 +142,56 @@ def test_forest_ranks_planted_points_first(spark, cloud):
     assert all(r["n"] <= 30 for r in bounded.where("is_outlier").groupBy("set_id").agg(F.count("*").alias("n")).collect())
 
 
-def test_forest_in_several_broadcast_parts(spark, cloud, monkeypatch):
-    model = fit_iforest(cloud, "id", ATTRS, feature_sets(3), trees=10)
-    whole = model.scores(cloud, "id").collect()
-    monkeypatch.setattr(iforest, "_PART_BYTES", 1)
-    assert sorted(model.scores(cloud, "id").collect()) == sorted(whole)
+@pytest.mark.parametrize("block_sets", [1, 2, 7])
+def test_forest_of_a_wide_table_stays_a_table(spark, cloud, monkeypatch, block_sets):
+    whole = fit_iforest(cloud, "id", ATTRS, feature_sets(3), trees=10, contamination=0.1)
+    monkeypatch.setattr(iforest, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(iforest, "BLOCK_BYTES", block_sets * 10 * iforest.tree_bytes(8) + 1)
+    monkeypatch.setattr(type(cloud), "toArrow", lambda self: pytest.fail("trees must not come to the driver"))
+    stored = fit_iforest(cloud, "id", ATTRS, feature_sets(3), trees=10, contamination=0.1)
+    assert stored.trees == {} and stored.block_sets == block_sets and stored.thresholds == whole.thresholds
+    assert sorted(stored.scores(cloud, "id").collect()) == sorted(whole.scores(cloud, "id").collect())
+
+
+def test_many_sets_by_default_rules(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, rng.normal(size=12))) for i in range(300)]
+    names = [f"a{j}" for j in range(12)]
+    table = spark.createDataFrame(rows, ["id", *names])
+    model = fit_iforest(table, "id", names, feature_sets(12), trees=100)
+    assert model.folder and model.trees == {}  # 298 sets of 100 trees are above what is broadcast
+    flagged = model.flag(table.limit(20)).select("single_IF", "pairs_IF", "triplets_IF").collect()
+    assert len(flagged) == 20 and any(r["triplets_IF"] for r in flagged)
+
+
+def one_node_at_a_time(points, limit, draw):
+    """The tree that the SQL of the forests describes, node by node."""
+    feature, split, path = np.zeros(2**limit - 1, dtype=np.int32), np.full(2**limit - 1, np.inf), np.zeros(2**limit)
+    todo = [(0, 0, np.arange(len(points)))]
+    while todo:
+        node, depth, rows = todo.pop()
+        low, high = points[rows].min(axis=0), points[rows].max(axis=0)
+        usable = [f for f in range(points.shape[1]) if high[f] > low[f]] if depth < limit else []
+        if not usable:
+            path[((node + 1) << (limit - depth)) - 2**limit] = depth + iforest.average_path(len(rows))
+            continue
+        number, share = draw(node)
+        f = usable[number % len(usable)]
+        feature[node], split[node] = f, min(low[f] + share * (high[f] - low[f]), np.nextafter(high[f], low[f]))
+        left = points[rows, f] <= split[node]
+        todo += [(2 * node + 1, depth + 1, rows[left]), (2 * node + 2, depth + 1, rows[~left])]
+    return feature, split, path
+
+
+@pytest.mark.parametrize("rows, features, values", [(256, 3, 10**6), (256, 3, 3), (100, 1, 5), (1, 2, 2), (2, 2, 1), (37, 20, 2)])
+def test_trees_grown_by_levels_are_those_grown_by_nodes(rows, features, values):
+    rng = np.random.default_rng(rows + features)
+    some = [rng.integers(0, values, (n, features)) / 7.0 for n in (rows, 1, rows, 2, rows)]
+    draws = [iforest.hashed_draws(f"x:{t}") for t in range(5)]
+    grown = iforest.grow_trees(np.concatenate(some), np.array([len(p) for p in some]), 8, draws)
+    for t in range(5):
+        for found, wanted in zip(grown, one_node_at_a_time(some[t], 8, draws[t])):
+            assert np.array_equal(found[t], wanted)
 
 
 def test_subsamples_hold_distinct_rows(spark):
