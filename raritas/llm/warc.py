@@ -15,12 +15,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raritas.functions.runtime import ship_package
+from raritas.functions.runtime import open_folder, ship_package
 from raritas.llm.common import BROADCAST_ROWS, shared_folder
 
 LEAST_BYTES = 1000
@@ -93,7 +92,7 @@ def write_archives(marked: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
         schema = schema.add(*field.split())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = open_folder(folder)
         store.create_dir(f"{root}/archives", recursive=True)
         out, name, offset = None, None, 0
         try:
@@ -153,7 +152,7 @@ def read_archives(index: DataFrame, folder: str, gap: int = GAP_BYTES, most: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = open_folder(folder)
         opened, name = None, None
         for batch in batches:
             keys = batch.column("key")
