@@ -165,35 +165,73 @@ def _row_scores(df: DataFrame, key: str, attrs: list[str], n: int, th: float, se
     banded = with_band(freq, th).where("tested = 1")
     share = (freq.agg(F.sum("frequency")).first()[0] or 0) / len(sets)
     usual = ~F.col("unusual")
-    first_id = min(s.set_id for s in sets)
-    by_id = {s.set_id: s.features for s in sets}
-    members = literal([by_id[i] for i in range(first_id, first_id + len(sets))])
-    inside = (
+    bits = SetBits(len(attrs), sets)
+    number = F.col("set_id") - min(s.set_id for s in sets)
+    words = (
         # Very frequent tokens stay in the table even when unusual, so that the join can treat them apart.
         banded.where(usual | (F.col("frequency") > share / HOT_PARTS))
-        .groupBy("token")
+        .groupBy("token", F.get(literal(bits.words), number).alias("word"))
         .agg(
-            F.collect_list(F.when(usual, F.col("set_id"))).alias("inside"),
+            F.bit_or(F.when(usual, F.get(literal([f"{1 << p}L" for p in bits.places]), number))).alias("bits"),
             F.max("frequency").alias("rows"),
         )
     )
+    inside = words.groupBy("token").agg(
+        F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("word", "bits"))).alias("inside"), F.max("rows").alias("rows")
+    )
     found = tokens_with_attributes([F.col(a) for a in attrs], n)
     tokens = df.select(key, F.explode_outer(found).alias("token", "holders"))
-    weight = F.octet_length("token") + F.size("inside") * 4 + 64
+    weight = F.octet_length("token") + F.size("inside") * 12 + 64
     joined = join_by_counted_key(tokens, inside, ["token"], "rows", weight)
 
     def hits(arity: int) -> Column:
-        ids = [s.set_id for s in sets if s.arity == arity]  # neighbouring numbers
-        of_size = F.filter("inside", lambda s: (s >= min(ids)) & (s <= max(ids)))
-        none = F.size(F.filter(of_size, lambda s: F.arrays_overlap(F.get(members, s - first_id), F.col("holders"))))
         touched = _sets_touched(len(attrs), arity, sets)
-        return F.coalesce(touched, F.lit(0)) - F.when(F.col("inside").isNull(), 0).otherwise(none)
+        none = F.when(F.col("inside").isNull(), 0).otherwise(bits.count_touched("inside", "holders", arity))
+        return F.coalesce(touched, F.lit(0)) - none
 
     return joined.groupBy(key).agg(
         *[F.sum(hits(arity)).cast("bigint").alias(ROW_COLUMNS[arity]) for arity in arities]
     )
 
 
+class SetBits:
+    """Sets as bits of 63-bit words, those of one size in words of their own; a token's sets are some words.
+
+    A word of a token and the same word of an attribute's sets meet in one operation, so a token with all sets of d
+    attributes takes about d ** 3 / 48 bytes and is compared with the holders of a row in as many steps of 63 sets.
+    """
+
+    WIDTH = 63  # the sign stays out
+
+    def __init__(self, d: int, sets: list[FeatureSet]):
+        self.words, self.places, self.first = [], [], {}
+        word = 0
+        for arity in sorted({s.arity for s in sets}):
+            alike = [s for s in sets if s.arity == arity]  # neighbouring numbers
+            self.first[arity] = word
+            self.words += [word + i // self.WIDTH for i in range(len(alike))]
+            self.places += [i % self.WIDTH for i in range(len(alike))]
+            word += -(-len(alike) // self.WIDTH)
+        self.first[max(self.first, default=0) + 1] = word
+        masks = [[0] * word for _ in range(d)]
+        for s, at, place in zip(sets, self.words, self.places):
+            for a in s.features:
+                masks[a][at] |= 1 << place
+        self.masks = masks
+
+    def count_touched(self, inside: str, holders: str, arity: int) -> Column:
+        """How many sets of a size are in the words ``inside`` and search one of the attributes ``holders``."""
+        masks = literal([[f"{m}L" for m in line] for line in self.masks])
+        low, high = self.first[arity], min(w for a, w in self.first.items() if a > arity)
+
+        def touched(entry: Column) -> Column:
+            own = F.aggregate(F.col(holders), F.lit(0).cast("bigint"), lambda left, a: left.bitwiseOR(F.get(F.get(masks, a), entry["word"])))
+            return F.bit_count(entry["bits"].bitwiseAND(own))
+
+        of_size = F.filter(inside, lambda e: (e["word"] >= low) & (e["word"] < high))
+        return F.aggregate(of_size, F.lit(0), lambda left, e: left + touched(e))
+
+
 def _sets_touched(d: int, arity: int, sets: list[FeatureSet]) -> Column:
     """How many sets of a size search at least one attribute of ``holders``."""
     chosen = [s for s in sets if s.arity == arity]

@@ -180,3 +180,20 @@ def test_shuffled_token_join_leaves_rows_without_tokens_out(spark, monkeypatch):
     monkeypatch.setattr(joins, "HOT_PARTS", 50)
     found = {r["id"]: tuple(r)[1:] for r in ngram.ngram_detect(df, "id", names, 2, 0.3).collect()}
     assert found == dict(enumerate(brute_rows(rows, 2, 0.3)))
+
+
+@pytest.mark.parametrize("d, th", [(40, 0.3), (40, 0.9)])
+def test_forty_attributes_against_brute_force(spark, d, th):
+    rows = random_rows(11, d, 6)
+    df, names = table(spark, rows)
+    found = {r["id"]: (r["single_ngram"], r["pairs_ngram"], r["triplets_ngram"]) for r in ngram.ngram_detect(df, "id", names, 2, th).collect()}
+    assert [found[i] for i in range(len(rows))] == brute_rows(rows, 2, th)
+
+
+def test_sets_of_a_token_are_bits():
+    sets = ngram.feature_sets(40)
+    bits = ngram.SetBits(40, sets)
+    words = 1 + max(bits.words)
+    assert len(sets) == 10_700 and 8 * words <= 1.1 * 40**3 / 48
+    assert len(set(zip(bits.words, bits.places))) == len(sets)
+    assert all(bits.masks[a][w] >> p & 1 == (a in s.features) for s, w, p in zip(sets, bits.words, bits.places) for a in range(40))
