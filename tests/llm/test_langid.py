@@ -69,3 +69,61 @@ def test_one_language(spark):
     docs = made(spark).where("lang = 'en'")
     out = langid.identify_languages(docs, langid.fit_languages(docs))
     assert {r.lang_pred for r in out.collect()} == {"en"}
+
+
+def plain_prediction(model, text):
+    """Language and score by plain loops over the n-grams of one text."""
+    import math
+
+    def letter(b):
+        return b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else 0x20
+
+    raw = [letter(b) for b in text.lower().encode()]
+    grams = []
+    for n in langid.GRAMS:
+        for at in range(len(raw) - n + 1):
+            h = n * 0x9E3779B1 & 0xFFFFFFFF
+            for b in raw[at : at + n]:
+                h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+            grams.append((h ^ h >> 15) & langid.DIMENSIONS - 1)
+
+    def margin(task):
+        w = model.weights[task]
+        return sum(w[g] for g in grams) * langid.SCALE / max(1, len(grams)) + w[-1]
+
+    def logistic(x):
+        return 1 / (1 + math.exp(-langid.SLOPE * x))
+
+    score, family = 1.0, next(iter(model.families))
+    if len(model.families) > 1:
+        margins = {f: margin(("family", f)) for f in model.families}
+        family = max(margins, key=margins.get)
+        score *= logistic(margins[family])
+    langs = model.families[family]
+    wins, sums, sure = dict.fromkeys(langs, 0), dict.fromkeys(langs, 0.0), dict.fromkeys(langs, 0.0)
+    for i, a in enumerate(langs):
+        for b in langs[i + 1 :]:
+            m = margin(("pair", a, b))
+            wins[a if m >= 0 else b] += 1
+            for lang, x in ((a, m), (b, -m)):
+                sums[lang] += x
+                sure[lang] += logistic(x)
+    best = max(langs, key=lambda x: (wins[x], sums[x]))
+    return best, score * (sure[best] / (len(langs) - 1) if len(langs) > 1 else 1.0)
+
+
+def test_predictions_equal_plain_loops():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, draw = np.random.default_rng(3), random.Random(3)
+    for families in ({"a": ["de", "en", "nl"], "b": ["fr"], "c": ["xx", "yy"]}, {"a": ["de", "en", "nl", "sv"]}, {"a": ["de"]}):
+        model = langid.LanguageModel(families)
+        model.weights = {task: rng.normal(size=langid.DIMENSIONS + 1) for task in model.tasks()}
+        texts = ["", "a", "é", "The WORDS, 12 of them.", "Ünïcödé ßtraße"] + ["".join(draw.choice("abcdeÉé ,.1ß中") for _ in range(draw.randrange(80))) for _ in range(60)]
+        lang, score = model.predict(*langid.text_bytes(langid.lowered(pa.array(texts))))
+        for text, found, sure in zip(texts, lang, score):
+            wanted, likely = plain_prediction(model, text)
+            assert found == wanted and abs(sure - likely) < 2e-6, text
