@@ -44,6 +44,8 @@ DRIFT = 8
 # Item windows that are looked up in memory at once; more of them are looked up in further blocks of as many.
 BLOCK_WINDOWS = 2_000_000
 SLICE_BYTES = 1 << 20
+# Stretches of words that repeat after up to so many words are shortened.
+MOST_PERIOD = 8
 
 # Units of measure and money.
 UNITS = frozenset(
@@ -137,6 +139,35 @@ def readings(tokens: np.ndarray, kind: np.ndarray, values: np.ndarray) -> list[t
     return [(NAMED, tokens, np.zeros(0, dtype=np.int64)), (CASELESS, np.where(kind == NAME, values, tokens), totals[0]), (VERBATIM, values, totals[1])]
 
 
+def periodic_regions(kind: np.ndarray, values: np.ndarray, rows: np.ndarray, reach: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Long stretches of words that repeat with a period of up to MOST_PERIOD words: margin, first words, ends.
+
+    The margin is that within which an alignment of an item of ``reach`` words, moved by one period, stays in the stretch.
+    """
+    found = []
+    for period in range(1, min(MOST_PERIOD, len(values) - 1) + 1):
+        same = (values[:-period] == values[period:]) & (kind[:-period] == kind[period:])
+        for back in range(1, period + 1):  # a stretch ends with its row
+            across = rows[1:-1] - back
+            same[across[(across >= 0) & (across < len(same))]] = False
+        margin = reach + period + 1
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8)))
+        first, end = edges[::2], edges[1::2] + period
+        long = end - first > 2 * margin
+        if long.any():
+            found.append((margin, first[long], end[long]))
+    return found
+
+
+def deep_inside(regions: list[tuple[int, np.ndarray, np.ndarray]], place: np.ndarray, length: int) -> np.ndarray:
+    """Windows farther than the margin from both ends of a periodic stretch."""
+    inside = np.zeros(len(place), dtype=bool)
+    for margin, first, end in regions:
+        at = np.searchsorted(first, place - margin, side="right") - 1
+        inside |= (at >= 0) & (place + length + margin <= end[np.maximum(at, 0)])
+    return inside
+
+
 def _lists(values: np.ndarray, place: np.ndarray, length: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Lists ``values[place[i] : place[i] + length[i]]``."""
     ends = np.concatenate(([0], np.cumsum(length)))
@@ -203,8 +234,13 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", win
     return found.join(totals, F.col("item").eqNullSafe(F.col("t_item"))).drop("t_item")
 
 
-def text_hits(docs: DataFrame, hashes: np.ndarray, lengths: list[int], key: str, text: str) -> DataFrame:
-    """Windows of the texts whose hash is among ``hashes``: key, pos, hash, doc_values of its words."""
+def text_hits(docs: DataFrame, hashes: np.ndarray, lengths: list[int], key: str, text: str, reach: int | None = None) -> DataFrame:
+    """Windows of the texts whose hash is among ``hashes``: key, pos, hash, doc_values of its words.
+
+    With a ``reach``, the most words of an item, windows deep inside a stretch of repeated words are left out: each
+    alignment that they take part in has its like, some periods before and behind, at the ends of the stretch. So a text
+    of repeated words has as many windows as an item has words, and not as many as the text.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(np.sort(hashes))
@@ -219,12 +255,15 @@ def text_hits(docs: DataFrame, hashes: np.ndarray, lengths: list[int], key: str,
             for part in slices(batch, "text", SLICE_BYTES):
                 tokens, kind, values, rows = canonical(part.column("text"))
                 places, sizes, found = [], [], []
+                regions = [] if reach is None else periodic_regions(kind, values, rows, reach)
                 for (_, words, slots), length in product(readings(tokens, kind, values), lengths):
                     place, hashed = hash_windows(words, rows, length)
                     maybe = np.flatnonzero(sieve[hashed & 0xFFFFFF])
                     if len(slots):  # without slots the window is that of the reading before
                         maybe = maybe[slots[place[maybe] + length] > slots[place[maybe]]]
                     maybe = maybe[known[np.minimum(np.searchsorted(known, hashed[maybe]), len(known) - 1)] == hashed[maybe]]
+                    if regions:
+                        maybe = maybe[~deep_inside(regions, place[maybe], length)]
                     places.append(place[maybe])
                     found.append(hashed[maybe])
                     sizes.append(np.full(len(maybe), length))
@@ -248,22 +287,25 @@ def find_leaks(
     share: float = SHARE,
     agreement: float = AGREEMENT,
     run_words: int = RUN_WORDS,
+    shorten: bool = True,
 ) -> DataFrame:
     """Leaks: key, item key, n_found, share of the item's windows (the greatest of the readings'), agreement, verbatim, first_word, last_word.
 
     One row per pair of document and item, with the figures of its best alignment or verbatim run. Rows of either table that share a key are judged together. Null and empty
     texts have no windows. Items are a query set: their windows are held in blocks of BLOCK_WINDOWS hashes, each against
-    all texts. Hits are rows of matching windows only, so a passage in very many texts gives rows in proportion.
+    all texts. Hits are rows of matching windows only, so a passage in very many texts gives rows in proportion. Long
+    stretches of repeated words are read at their ends only (``shorten``), where every alignment has its like.
     """
     spark = docs.sparkSession
     windows = cut_lineage(item_windows(items, item_key, item_text, window, least_words))
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most window values
-    blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
+    extent = windows.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("item_pos") + F.col("length")).alias("reach")).first()
+    blocks = max(1, -(-extent["n"] // BLOCK_WINDOWS))
     parts = []
     for block in range(blocks):
         mine = windows.where(F.pmod("hash", F.lit(blocks)) == block).select("hash").distinct().toPandas()["hash"].to_numpy(dtype=np.int64)
         if len(mine):
-            parts.append(text_hits(docs, mine, lengths, key, text))
+            parts.append(text_hits(docs, mine, lengths, key, text, extent["reach"] if shorten else None))
     kind, item_kind = (d.select(F.col(k).alias("key")).schema["key"].dataType.simpleString() for d, k in ((docs, key), (items, item_key)))
     if not parts:
         return spark.createDataFrame([], f"{key} {kind}, {item_key} {item_kind}, n_found long, share double, agreement double, verbatim boolean, first_word int, last_word int")

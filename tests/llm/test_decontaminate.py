@@ -99,3 +99,45 @@ def test_copies_in_other_case_and_copies_rich_in_slots_are_leaks(spark):
     found = leaks(spark, texts, [(1, ITEM), (2, GERMAN), (3, NAMES), (4, SUMS)])
     assert set(found) == {(0, 1), (1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (7, 1)}
     assert found[0, 1].share == 1.0 and found[0, 1].verbatim and not found[7, 1].verbatim
+
+
+def test_long_stretches_of_repeated_words(spark):
+    import time
+
+    started = time.time()
+    texts = ["la " * 16_000, "la le lu " * 6_000, "so ".join([FILL, "la " * 5_000, ITEM, " le" * 5_000]), "word " * 100]
+    items = [(1, "la " * 800), (2, "la le lu " * 30), (3, ITEM)]
+    found = leaks(spark, texts, items)
+    assert set(found) == {(0, 1), (1, 2), (2, 1), (2, 3)}
+    assert found[0, 1].share == 1 and found[0, 1].verbatim and found[1, 2].share == 1 and found[2, 3].share == 1
+    assert found[0, 1].last_word - found[0, 1].first_word + 1 == 800
+    assert time.time() - started < 120
+
+
+def test_shortened_stretches_find_the_same_leaks(spark):
+    import random
+
+    draw = random.Random(12)
+
+    def stretch():
+        words = [draw.choice(["la", "le", "Lu", "12", "kg", "Ann", "so", "ist"]) for _ in range(draw.randrange(1, 6))]
+        return " ".join(words * draw.randrange(1, 60))
+
+    texts = [" ".join(stretch() for _ in range(draw.randrange(1, 5))) for _ in range(40)]
+    items = [(i, " ".join(t.split()[draw.randrange(10) :][: draw.randrange(4, 30)])) for i, t in enumerate(texts[:12])]
+    short, whole = leaks(spark, texts, items), leaks(spark, texts, items, shorten=False)
+    assert len(whole) > 12 and set(short) == set(whole)
+    for pair, row in whole.items():
+        assert (short[pair].share, short[pair].verbatim) == (row.share, row.verbatim), pair
+
+
+def test_windows_deep_inside_a_stretch():
+    import numpy as np
+
+    values, kind, rows = np.array([5] * 100 + [1, 2] * 50 + [7]), np.zeros(201, dtype=int), np.array([0, 60, 201])
+    regions = decontaminate.periodic_regions(kind, values, rows, 5)
+    place = np.arange(0, 190)
+    inside = decontaminate.deep_inside(regions, place, 8)
+    # the first row's 60 words, the second's 40 of one kind, then 100 in pairs: each but for its margins
+    assert inside[7:45].all() and not inside[:7].any() and not inside[46:67].any()
+    assert inside[67:85].all() and not inside[86:107].any() and inside[108:184].all() and not inside[185:].any()
