@@ -30,8 +30,8 @@ END_ID = 1
 SLICE_BYTES = 8 << 20
 # What a worker remembers between batches and tasks: distinct parts, and the bytes of their letters and ids. Beyond
 # either, the older half is forgotten; such parts are encoded again when they return.
-MEMORY_PARTS = 250_000
-MEMORY_BYTES = 16 << 20
+MEMORY_PARTS = 400_000
+MEMORY_BYTES = 24 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
 
