@@ -1,10 +1,10 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
 Texts are cut into parts whose ids do not depend on what stands around them (at ASCII white space, and before closing
-ASCII punctuation that follows an ASCII letter). The parts of all documents are counted; the frequent ones, with the ids
-that the merges give them, are compiled into an automaton whose states are shared by all words with equal endings. Each
-transition carries an output; the outputs along a word add up to its place in a table of ids. The automaton is a file of
-plain arrays, shipped to the executors, where tasks map it into memory.
+ASCII punctuation that follows a Latin or Cyrillic letter). The parts of all documents are counted; the frequent ones, with
+the ids that the merges give them, are compiled into an automaton whose states are shared by all words with equal endings.
+Each transition carries an output; the outputs along a word add up to its place in a table of ids. The automaton is a file
+of plain arrays, shipped to the executors, where tasks map it into memory.
 
 Distinct parts of a slice walk the automaton together, a byte a step. Parts it does not know are normalised and cut by
 the tokenizer's own rules, and merged exactly: the merge of lowest rank first, the leftmost of equals, until none applies.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raritas.functions.runtime import cut_lineage, ship_package
-from raritas.llm.common import SPACES, keyed_text, shared_folder, slices, text_bytes, tidied
+from raritas.llm.common import SPACES, gather, keyed_text, shared_folder, slices, text_bytes, tidied
 from raritas.llm.token_files import word_parts
 
 SLICE_BYTES = 4 << 20
@@ -205,13 +205,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-def gather(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``flat[first:first + size]`` one after the other, and their bounds."""
-    ends = np.concatenate(([0], np.cumsum(sizes)))
-    take = np.arange(ends[-1]) - np.repeat(ends[:-1] - first, sizes)
-    return flat[take], ends
-
-
 # ---------------------------------------------------------------- the automaton
 
 

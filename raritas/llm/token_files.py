@@ -5,8 +5,8 @@ small and of set sizes; ids are dictionary-encoded (a vocabulary of 49k makes in
 delta-encoded (format version 2 without a dictionary); page indexes are written, so a filter on the key reads only the
 pages that can hold it, and counts are read without touching ids.
 
-Words are encoded once per batch: texts are cut at ASCII white space, and before ASCII punctuation that follows an
-ASCII letter, where the tokenizer's own pattern always ends a piece; the parts are encoded and put together again.
+Words are encoded once per batch: texts are cut at ASCII white space, and before ASCII punctuation that follows a Latin or
+Cyrillic letter, where the tokenizer's own pattern always ends a piece; the parts are encoded and put together again.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 import public_tokenizers
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from raritas.functions.runtime import ship_package
-from raritas.llm.common import SPACES, keyed_text, shared_folder, slices, strings_at, text_bytes, tidied
+from raritas.llm.common import SPACES, gather, keyed_text, shared_folder, slices, strings_at, text_bytes, tidied
 
 END_ID = 1
 SLICE_BYTES = 8 << 20
 # What a worker remembers between batches and tasks: distinct parts, and the bytes of their letters and ids. Beyond
-# either, the older half is forgotten; such parts are encoded again when they return.
+# either, the half met in fewer batches is forgotten; such parts are encoded again when they return.
 MEMORY_PARTS = 250_000
 MEMORY_BYTES = 16 << 20
 ROW_GROUP_BYTES = 32 << 20
@@ -39,14 +40,20 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 CLOSING = np.zeros(256, dtype=bool)
 CLOSING[list(b".,;:!?#%&$*()")] = True
+# Letters of two bytes, by their first and second: U+00C0 to U+027F and U+0400 to U+047F without the signs of multiplication
+# and division, and without U+0130, which the lower case ends in a mark.
+LETTER_OF_TWO = np.zeros((256, 256), dtype=bool)
+LETTER_OF_TWO[[*range(0xC3, 0xCA), 0xD0, 0xD1], 0x80:0xC0] = True
+LETTER_OF_TWO[[0xC3, 0xC3, 0xC4], [0x97, 0xB7, 0xB0]] = False
 _coders: dict[str, PartCoder] = {}
 
 
 class PartCoder:
     """Ids of parts by a tokenizer file, remembered from batch to batch.
 
-    Parts of ASCII letters alone are one piece of the tokenizer's pattern and end in one id that carries the end-of-word
-    mark, so many of them are encoded as one text and told apart by these ids; other parts are encoded one by one.
+    Parts of letters alone are one piece of the tokenizer's pattern and end in one id that carries the end-of-word mark, so
+    many of them are encoded as one text and told apart by these ids; other parts are encoded one by one. The memory is
+    arrays, not objects: a part's letters, where its ids stand, and in how many batches it was met.
     """
 
     def __init__(self, path: str):
@@ -64,50 +71,60 @@ class PartCoder:
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[str, int] = {}
+        self.parts = pa.array([], pa.large_string())
         self.flat = np.zeros(0, dtype=np.int32)
         self.first = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
-        self.bytes = 0
-
-    def forget_older(self) -> None:
-        """Keep the younger half of the parts, which are numbered as they were met."""
-        kept = list(self.places)[(len(self.places) + 1) // 2 :]
-        start = len(self.first) - len(kept)
-        at = self.first[start] if kept else len(self.flat)
-        self.flat, self.first, self.size = self.flat[at:].copy(), self.first[start:] - at, self.size[start:].copy()
-        self.places = dict(zip(kept, range(len(kept)), strict=True))
-        self.bytes = sum(map(len, kept))
-
-    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each part begin in ``flat``, and how many they are."""
-        new = [p for p in parts if p not in self.places]
-        while self.places and (len(self.places) + len(new) > MEMORY_PARTS or self.bytes + 4 * len(self.flat) > MEMORY_BYTES):
-            self.forget_older()
-            new = [p for p in parts if p not in self.places]
+        self.met = np.zeros(0, dtype=np.int32)
+
+    def forget_rarer(self) -> None:
+        """Keep the half of the parts that was met in more batches, of equal ones the younger; older meetings count half."""
+        kept = np.sort(np.argsort(self.met, kind="stable")[(len(self.met) + 1) // 2 :])
+        self.parts, self.met = self.parts.take(pa.array(kept)), self.met[kept] // 2
+        self.flat, bounds = gather(self.flat, self.first[kept], self.size[kept])
+        self.first, self.size = bounds[:-1], np.diff(bounds)
+
+    def encode(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in one array, where in it those of each of the distinct parts begin, and how many they are."""
+        places = pa.compute.index_in(parts, value_set=self.parts).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = places < 0
+        places[unknown] = np.arange(len(self.parts), len(self.parts) + np.count_nonzero(unknown))
+        new = parts.filter(pa.array(unknown))
+        ids, first, size = self._encode_new(new.to_pylist())
+        self.parts = pa.concat_arrays([self.parts, new])
+        self.first = np.concatenate((self.first, len(self.flat) + first))
+        self.size = np.concatenate((self.size, size))
+        self.flat = np.concatenate((self.flat, ids))
+        self.met = np.concatenate((self.met, np.zeros(len(new), dtype=np.int32)))
+        self.met[places] += 1
+        coded = self.flat, self.first[places], self.size[places]
+        while len(self.parts) > MEMORY_PARTS or len(self.parts) and text_bytes(self.parts)[1][-1] + self.flat.nbytes > MEMORY_BYTES:
+            self.forget_rarer()
+        return coded
+
+    def _encode_new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words, rest = [], []
-        for p in new:
-            (words if p.isascii() and p.isalpha() else rest).append(p)
-        chunks, sizes = [], []
-        for start in range(0, len(words), 512):
-            some = words[start : start + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=np.int32)
-            ends = np.flatnonzero(self.ends_word[ids])
-            if len(ends) == len(some) and ends[-1] == len(ids) - 1:
-                chunks.append(ids)
-                sizes.append(np.diff(ends, prepend=-1))
-            else:
-                self._singly(some, chunks, sizes)
-        self._singly(rest, chunks, sizes)
-        if new:
-            self.places.update(zip([*words, *rest], range(len(self.places), len(self.places) + len(new)), strict=True))
-            self.bytes += sum(map(len, new))
-            added = np.concatenate(sizes)
-            self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(added) - added))
-            self.size = np.concatenate((self.size, added))
-            self.flat = np.concatenate((self.flat, *chunks))
-        at = np.fromiter((self.places[p] for p in parts), dtype=np.int64, count=len(parts))
-        return self.first[at], self.size[at]
+        for i, part in enumerate(parts):
+            (words if part.isalpha() else rest).append(i)
+        chunks, sizes = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        runs = [[parts[i] for i in words[start : start + 512]] for start in range(0, len(words), 512)]
+        for start in range(0, len(runs), 8):
+            some = runs[start : start + 8]
+            for run, coded in zip(some, self.tokenizer.encode_batch_fast([" ".join(r) for r in some], add_special_tokens=False), strict=True):
+                ids = np.array(coded.ids, dtype=np.int32)
+                ends = np.flatnonzero(self.ends_word[ids])
+                # Each part has a piece at least, so that as many pieces as parts are one of each.
+                if len(ends) == len(run) and ends[-1] == len(ids) - 1:
+                    chunks.append(ids)
+                    sizes.append(np.diff(ends, prepend=-1))
+                else:
+                    self._singly(run, chunks, sizes)
+        self._singly([parts[i] for i in rest], chunks, sizes)
+        added = np.concatenate(sizes)
+        first, size = np.empty_like(added), np.empty_like(added)
+        order = np.array(words + rest, dtype=np.int64)
+        first[order], size[order] = np.cumsum(added) - added, added
+        return np.concatenate(chunks), first, size
 
     def _singly(self, parts: list[str], chunks: list[np.ndarray], sizes: list[np.ndarray]) -> None:
         for start in range(0, len(parts), 4096):
@@ -129,26 +146,30 @@ def word_parts(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarr
         upper = (data >= 0x41) & (data <= 0x5A)
         upper[:-1] &= data[1:] < 0x80  # a combining mark may follow and make one letter of both
         data = data + (upper.view(np.uint8) << 5)
-    starts = ~blank
+    shown = ~blank
+    starts = shown.copy()
     if len(data) > 1:
-        starts[1:] &= blank[:-1] | (CLOSING[data[1:]] & LETTER[data[:-1]])
+        closing = CLOSING[data[1:]]
+        starts[1:] &= blank[:-1] | (closing & LETTER[data[:-1]])
+        after = np.flatnonzero(closing & (data[:-1] >= 0x80)) + 1
+        after = after[after > 1]
+        starts[after[LETTER_OF_TWO[data[after - 2], data[after - 1]]]] = True
     heads = bounds[:-1][bounds[:-1] < len(data)]
-    starts[heads] |= ~blank[heads]
+    starts[heads] |= shown[heads]
+    edges = np.flatnonzero(starts[shown])  # parts begin at no blank, so these are their places without the blanks
     begin = np.flatnonzero(starts)
-    gone = np.flatnonzero(blank)
-    edges = np.concatenate((begin - np.searchsorted(gone, begin), [len(data) - len(gone)]))
-    return strings_at(data[~blank], edges), np.searchsorted(begin, bounds)
+    data = data[shown]
+    return strings_at(data, np.append(edges, len(data))), np.searchsorted(begin, bounds)
 
 
 def token_ids(code: PartCoder, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a column in one array, and the bounds of each text in it."""
     parts, rows = word_parts(*text_bytes(column))
     coded = parts.dictionary_encode()
-    first, sizes = code.encode(coded.dictionary.to_pylist())
+    flat, first, sizes = code.encode(coded.dictionary)
     which = coded.indices.to_numpy(zero_copy_only=False)
-    ends = np.concatenate(([0], np.cumsum(sizes[which])))
-    take = np.arange(ends[-1]) - np.repeat(ends[:-1] - first[which], sizes[which])
-    return code.flat[take], ends[rows]
+    ids, ends = gather(flat, first[which], sizes[which])
+    return ids, ends[rows]
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, key: str, text: str, end_id: int | None) -> DataFrame:

@@ -46,6 +46,45 @@ def test_memory_is_halved_and_loses_nothing(monkeypatch, limit, most):
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_parts_end_before_punctuation_behind_two_byte_letters():
+    given = "tacoó, día. ДОМ! i̇İ. ×; ÷, é́: a…,"
+    parts, _ = token_files.word_parts(*token_files.text_bytes(pa.array([given])))
+    assert parts.to_pylist() == ["tacoó", ",", "día", ".", "ДОМ", "!", "i̇İ.", "×;", "÷,", "é́:", "a…,"]
+
+
+def test_ids_of_every_letter_and_of_punctuation_behind_every_sign():
+    plain = Tokenizer.from_file(WORD)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    random.Random(5).shuffle(letters)
+    signs = [chr(c) for c in range(0xA0, 0x530)]
+    given = letters + [f"{c}{end}" for c in signs for end in (".", "!?x", ",\u0301", ";'s")] + [f"a{c}: {c}a) I{c}*" for c in signs]
+    ids, bounds = token_files.token_ids(token_files.PartCoder(WORD), pa.array(given))
+    wanted = [x.ids for x in plain.encode_batch(given, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == wanted
+
+
+def test_words_of_other_than_ascii_letters_are_encoded_together(monkeypatch):
+    code, singly = token_files.PartCoder(WORD), []
+    one_by_one = code._singly
+    monkeypatch.setattr(code, "_singly", lambda parts, *into: singly.extend(parts) or one_by_one(parts, *into))
+    token_files.token_ids(code, pa.array(["la acción, était über дом. naïve 東京"]))
+    assert singly == [",", "."]
+
+
+def test_memory_keeps_the_parts_met_in_more_batches(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMORY_PARTS", 40)
+    code, plain = token_files.PartCoder(WORD), Tokenizer.from_file(WORD)
+    asked = []
+    encode_new = code._encode_new
+    monkeypatch.setattr(code, "_encode_new", lambda parts: asked.append(parts) or encode_new(parts))
+    for i in range(30):
+        text = " ".join(["the", "of", "día", *(f"w{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}{c}" for c in "uvwxyz")])
+        ids, _ = token_files.token_ids(code, pa.array([text]))
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert [p for parts in asked[1:] for p in parts if p in ("the", "of", "día")] == []
+    assert all(len(parts) == 6 for parts in asked[1:])
+
+
 @pytest.mark.parametrize("slice_bytes", [1, 100, 1 << 20])
 def test_counts_of_odd_rows(spark, slice_bytes):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
